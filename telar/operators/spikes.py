@@ -8,7 +8,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telar.operators.ordered import OrderedParts
@@ -204,13 +204,16 @@ def _fences(seen: DataFrame, fields: list[Field], limits: Limits) -> DataFrame:
     )
     floor = F.element_at(F.array(*[F.lit(200.0 * x.floor) for x in fields]), F.col("f") + 1)
 
-    def quartiles(count: str, at_least: int):
-        q = lambda p: F.when(F.col(count) >= at_least, F.kll_sketch_get_quantile_bigint("croquis", F.lit(p)))
-        # for normal noise Q90 - Q10 is 1.9 times Q75 - Q25; it tells more where values are coarse
-        return q(0.25).alias("q1"), q(0.75).alias("q3"), F.greatest(q(0.75) - q(0.25), (q(0.9) - q(0.1)) / 1.9, floor).alias("iqr")
+    def quartiles(at_least: int, *wider: Column):
+        q = lambda p: F.when(F.col("usables") >= at_least, F.kll_sketch_get_quantile_bigint("croquis", F.lit(p)))
+        return q(0.25).alias("q1"), q(0.75).alias("q3"), F.greatest(q(0.75) - q(0.25), floor, *wider).alias("iqr")
 
-    own = contexts.select("d", "f", "franja", "n", "usables", *quartiles("usables", limits.context_values))
-    all_day = devices.select("d", "f", *[x for x in quartiles("usables", limits.least_values)], "rachas", "rachas_varias").withColumnsRenamed({"q1": "d1", "q3": "d3", "iqr": "d_iqr"})
+    own = contexts.select("d", "f", "franja", "n", *quartiles(limits.context_values))
+    # for normal noise Q90 - Q10 is 1.9 times Q75 - Q25, and it tells more where values are coarse;
+    # a context is too small for it: a handful of spikes would widen it
+    q = lambda p: F.kll_sketch_get_quantile_bigint("croquis", F.lit(p))
+    wide = F.when(F.col("usables") >= limits.least_values, (q(0.9) - q(0.1)) / 1.9)
+    all_day = devices.select("d", "f", *quartiles(limits.least_values, wide), "rachas", "rachas_varias").withColumnsRenamed({"q1": "d1", "q3": "d3", "iqr": "d_iqr"})
     same = F.least(F.lit(0.9), F.greatest(F.lit(0.01), F.col("rachas_varias") / F.col("rachas")))
     long_run = F.greatest(F.lit(float(limits.least_run)), F.ceil(1 + (F.lit(math.log(limits.run_chance)) - F.log(F.col("rachas"))) / F.log(same)))
     noisy = F.coalesce(F.col("iqr") > limits.context_noise * F.col("d_iqr"), F.lit(False))
