@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telar.operators.ordered import PART, OrderedParts, fold
+from telar.session import checkpoint
 
 #: Rows under the rolling hash.
 WINDOW = 4
@@ -82,7 +83,8 @@ def _chunked(df: DataFrame, key: str, columns: list[str], every: int, rows: int)
     schema = ", ".join([f"`{c}` string" for c in (key, *columns)] + ["h1 long, h2 long, trozo long"])
     parts.df = parts.df.select(*[F.col(c).cast("string").alias(c) for c in (key, *columns)], "kh", "h1", "h2", PART)
     out = parts.emit(chunks.scan, schema, chunks.carry(parts))
-    return out.select(F.col(key).cast(kinds[key]).alias(key), *columns, "h1", "h2", "trozo")
+    # read three times: for the fingerprints, for the anti-join and for the rows
+    return checkpoint(out.select(F.col(key).cast(kinds[key]).alias(key), *columns, "h1", "h2", "trozo"))
 
 
 def diff_copies(source: DataFrame, copy: DataFrame, key: str, columns: list[str], source_newest: str | None = None, copy_newest: str | None = None, every: int = 16) -> DataFrame:
