@@ -27,6 +27,23 @@ def encoding(vocabulary: str):
     return tiktoken.Encoding(vocabulary, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def encode(vocabulary: str, text: str) -> list[int]:
+    """Token ids of a text of any length.
+
+    The library's matcher gives up on white space over about a million characters; such
+    a text is split by another one with the same pattern.
+    """
+    e = encoding(vocabulary)
+    try:
+        return e.encode_ordinary(text)
+    except BaseException as x:
+        if type(x).__name__ != "PanicException":
+            raise
+    import regex
+
+    return [token for piece in regex.finditer(PATTERN, text) for token in e._encode_single_piece(piece[0])]
+
+
 @lru_cache(maxsize=4)
 def token_bytes(vocabulary: str) -> np.ndarray:
     """Bytes of each token by its id."""
@@ -42,8 +59,7 @@ def token_count(text: Column, vocabulary: str = VOCABULARY) -> Column:
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        e = encoding(vocabulary)
-        return pd.Series([len(e.encode_ordinary(x)) if x else 0 for x in texts], dtype="int64")
+        return pd.Series([len(encode(vocabulary, x)) if x else 0 for x in texts], dtype="int64")
 
     return count(text)
 
