@@ -1 +1,98 @@
-QUERIES, SQL = {}, {}
+"""The delivery queue as snapshots: census, eligibility, traces and rate limits.
+
+The events table stands for the attempts: an event is an attempt of its user's package,
+of an outcome that depends on its type.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from telar.functions import delivery
+from telar.operators.ranking import top_n
+from telar.queries.registry import Registry
+from telar.session import table
+
+query = Registry()
+
+_QUEUE = """with cola as (select user_id id_outbox, count(*) intentos, max(epoch_us(ts)) ultimo, bool_or(event_type = 'purchase' and user_id % 3 = 0) enviado, bool_or(event_type = 'signup' and user_id % 5 = 0) rechazado from events group by 1),
+q as (select id_outbox, intentos, ultimo, case when enviado then 'ENVIADO' when rechazado or user_fallido then 'FALLIDO' else 'PENDIENTE' end estado, case when enviado then null when rechazado then false when user_fallido then true end reintentable,
+ ultimo + cast(least(60, power(2, least(intentos - 1, 62))) * 1000000 as bigint) proximo from (select *, id_outbox % 7 = 0 user_fallido from cola)) """
+_NOW = 1_706_659_200_000_000
+_LIMIT = 70
+
+
+def queue(spark, d) -> DataFrame:
+    """One row per package: id_outbox, intentos, ultimo, estado, reintentable, proximo (microseconds)."""
+    own = table(spark, d, "events").groupBy(F.col("user_id").alias("id_outbox")).agg(
+        F.count("*").alias("intentos"),
+        F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("ultimo"),
+        F.bool_or((F.col("event_type") == "purchase") & (F.col("user_id") % 3 == 0)).alias("enviado"),
+        F.bool_or((F.col("event_type") == "signup") & (F.col("user_id") % 5 == 0)).alias("rechazado"),
+    )
+    failed = F.col("id_outbox") % 7 == 0
+    state = F.when(F.col("enviado"), delivery.SENT).when(F.col("rechazado") | failed, delivery.FAILED).otherwise(delivery.PENDING)
+    again = F.when(F.col("enviado"), None).when(F.col("rechazado"), False).when(failed, True)
+    return own.select("id_outbox", "intentos", "ultimo", state.alias("estado"), again.alias("reintentable"), (F.col("ultimo") + (delivery.backoff(F.col("intentos")) * 1_000_000).cast("long")).alias("proximo"))
+
+
+@query(_QUEUE + f"""select count(*) total, count(*) filter (estado = 'PENDIENTE') pendientes, count(*) filter (estado = 'ENVIADO') enviados, count(*) filter (estado = 'FALLIDO' and reintentable) reintentables, count(*) filter (estado = 'FALLIDO' and not reintentable) revision,
+count(*) filter (estado <> 'ENVIADO' and intentos >= {_LIMIT}) agotados, min(case when estado = 'PENDIENTE' then id_outbox end) primero, min(case when estado <> 'ENVIADO' then proximo end) proximo, cast(sum(case when estado = 'ENVIADO' then intentos else 0 end) as bigint) intentos_enviados from q""")
+def queue_census(spark, d):
+    """All counters of the queue from one scan, so that they agree with each other."""
+    s, r = F.col("estado"), F.col("reintentable")
+    return queue(spark, d).agg(
+        F.count("*").alias("total"),
+        F.count_if(s == delivery.PENDING).alias("pendientes"),
+        F.count_if(s == delivery.SENT).alias("enviados"),
+        F.count_if((s == delivery.FAILED) & r).alias("reintentables"),
+        F.count_if((s == delivery.FAILED) & ~r).alias("revision"),
+        F.count_if((s != delivery.SENT) & (F.col("intentos") >= _LIMIT)).alias("agotados"),
+        F.min(F.when(s == delivery.PENDING, F.col("id_outbox"))).alias("primero"),
+        F.min(F.when(s != delivery.SENT, F.col("proximo"))).alias("proximo"),
+        F.sum(F.when(s == delivery.SENT, F.col("intentos")).otherwise(0)).alias("intentos_enviados"),
+    )
+
+
+@query(_QUEUE + "select estado, reintentable, count(*) n from q group by 1, 2")
+def queue_summary(spark, d):
+    return queue(spark, d).groupBy("estado", "reintentable").agg(F.count("*").alias("n"))
+
+
+@query(_QUEUE + f"select id_outbox, proximo <= {_NOW} vencido from q where not (estado = 'ENVIADO' or (estado = 'FALLIDO' and not coalesce(reintentable, false))) and intentos < {_LIMIT} and proximo <= {_NOW}")
+def queue_eligible(spark, d):
+    """Packages that may be sent at a given moment."""
+    ok = delivery.eligible(F.col("estado"), F.col("reintentable"), F.col("intentos"), F.lit(_LIMIT), F.col("proximo"), F.lit(_NOW))
+    return queue(spark, d).filter(ok).select("id_outbox", (F.col("proximo") <= _NOW).alias("vencido"))
+
+
+@query(_QUEUE + f"select min(proximo) despertar from q where estado <> 'ENVIADO' and proximo > {_NOW} - 86400000000")
+def next_wakeup(spark, d):
+    return queue(spark, d).filter((F.col("estado") != delivery.SENT) & (F.col("proximo") > _NOW - 86_400_000_000)).agg(F.min("proximo").alias("despertar"))
+
+
+@query("""with a as (select user_id, event_type, epoch_us(ts) t, event_id, row_number() over (partition by user_id order by ts, event_id) numero from events)
+select user_id, numero, t, event_type, event_type = 'purchase' confirmo from a where numero <= 20""")
+def attempt_trace(spark, d):
+    """The first twenty attempts of each package in order."""
+    first = top_n(table(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], 20)
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return first.select("user_id", number.alias("numero"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_type", (F.col("event_type") == "purchase").alias("confirmo"))
+
+
+@query("""select user_id, max(case when event_type = 'purchase' then epoch_us(ts) end) confirmado, max(epoch_us(ts)) ultimo, count(*) filter (event_type = 'error') errores from events group by 1""")
+def confirmation_instant(spark, d):
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    return table(spark, d, "events").groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "purchase", t)).alias("confirmado"), F.max(t).alias("ultimo"), F.count_if(F.col("event_type") == "error").alias("errores"))
+
+
+@query("select e.event_id, q.estado, e.props from (select user_id id_outbox, case when max(case when event_type = 'purchase' then 1 else 0 end) = 1 then 'ENVIADO' else 'PENDIENTE' end estado, max(event_id) event_id from events group by 1) q join events e using (event_id)")
+def queue_payload(spark, d):
+    """Each package's last captured content."""
+    e = table(spark, d, "events")
+    last = e.groupBy("user_id").agg(F.max(F.struct("event_id", "props")).alias("x"), F.max((F.col("event_type") == "purchase").cast("int")).alias("p"))
+    return last.select(F.col("x.event_id").alias("event_id"), F.when(F.col("p") == 1, delivery.SENT).otherwise(delivery.PENDING).alias("estado"), F.col("x.props").alias("props"))
+
+
+QUERIES, SQL = query.QUERIES, query.SQL

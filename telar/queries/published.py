@@ -1 +1,98 @@
-QUERIES, SQL = {}, {}
+"""Published views: pseudonymised, scoped and k-anonymous."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from telar.functions import timeutil
+from telar.operators.ranking import latest_by, numbered
+from telar.plans import relations as R
+from telar.queries.registry import Registry
+from telar.session import table
+
+query = Registry()
+
+_MAP = ", mapa as (select id_embarazo, min(seudonimo) seudonimo from seudonimo_embarazo group by 1) "
+
+
+def pseudonyms(spark, d) -> DataFrame:
+    return table(spark, d, "seudonimo_embarazo").groupBy("id_embarazo").agg(F.min("seudonimo").alias("seudonimo"))
+
+
+@query(R.with_("embarazos", "clinicas") + _MAP + """select m.seudonimo, e.numero_gestas, e.numero_partos, e.estado_embarazo, strftime(e.fecha_inicio, '%Y-%m-01') mes_inicio, strftime(e.fecha_probable_parto, '%Y-%m-01') mes_parto, e.fecha_cierre is not null cerrado, c.provincia
+from embarazos e join mapa m using (id_embarazo) left join clinicas c on e.id_clinica = c.id_clinica""")
+def v_embarazo(spark, d):
+    """Pregnancies without operational ids and with months instead of days."""
+    month = lambda c: F.trunc(c, "MM").cast("string")
+    e = R.pregnancies(spark, d).join(pseudonyms(spark, d), "id_embarazo").join(R.clinics(spark, d).select("id_clinica", "provincia"), "id_clinica", "left")
+    return e.select("seudonimo", "numero_gestas", "numero_partos", "estado_embarazo", month("fecha_inicio").alias("mes_inicio"), month("fecha_probable_parto").alias("mes_parto"), F.col("fecha_cierre").isNotNull().alias("cerrado"), "provincia")
+
+
+@query(R.with_("hechos", "niveles") + _MAP + """, s as (select id_embarazo, id_sesion, row_number() over (partition by id_embarazo order by min(fecha_hora), id_sesion) secuencia from hechos where id_sesion is not null group by 1, 2)
+select m.seudonimo, n.codigo_nivel, n.prioridad, h.estado_hr, h.estado_spo2, h.estado_mov, strftime(h.fecha_hora at time zone 'America/Panama', '%Y-%m-%d') dia, s.secuencia
+from hechos h join mapa m using (id_embarazo) join niveles n using (id_semaforo) left join s on h.id_embarazo = s.id_embarazo and h.id_sesion = s.id_sesion""")
+def v_lectura(spark, d):
+    """Readings with level, clinical day and the session's number in its pregnancy."""
+    f = R.facts(spark, d)
+    first = f.filter("id_sesion is not null").groupBy("id_embarazo", "id_sesion").agg(F.min("fecha_hora").alias("_en"))
+    seq = numbered(first, ["id_embarazo"], "_en", ["id_sesion"], "secuencia").select("id_embarazo", "id_sesion", "secuencia")
+    j = f.join(R.levels(spark, d), "id_semaforo").join(pseudonyms(spark, d), "id_embarazo").join(seq, ["id_embarazo", "id_sesion"], "left")
+    return j.select("seudonimo", "codigo_nivel", "prioridad", "estado_hr", "estado_spo2", "estado_mov", timeutil.clinical_day("fecha_hora").cast("string").alias("dia"), "secuencia")
+
+
+@query(R.with_("hechos", "clinicas", "niveles") + """select c.provincia, n.codigo_nivel, count(*) lecturas, count(distinct h.id_embarazo) embarazos, round(cast(sum(cast(h.hr_valor * 100 as bigint)) as double) / 100 / count(h.hr_valor), 1) hr_medio
+from hechos h join niveles n using (id_semaforo) left join clinicas c on h.id_clinica = c.id_clinica group by 1, 2 having count(distinct h.id_embarazo) >= 5""")
+def v_resumen_administrativo(spark, d):
+    """Provinces and levels with at least five pregnancies, and the mean rounded to one decimal."""
+    h = R.facts(spark, d).join(R.levels(spark, d), "id_semaforo").join(R.clinics(spark, d), "id_clinica", "left")
+    mean = F.round(F.sum((F.col("hr_valor") * 100).cast("long")).cast("double") / 100 / F.count("hr_valor"), 1)
+    return h.groupBy("provincia", "codigo_nivel").agg(F.count("*").alias("lecturas"), F.countDistinct("id_embarazo").alias("embarazos"), mean.alias("hr_medio")).filter("embarazos >= 5")
+
+
+@query(R.with_("niveles") + "select codigo_nivel, etiqueta_visual, prioridad from niveles")
+def v_semaforo(spark, d):
+    return R.levels(spark, d).select("codigo_nivel", "etiqueta_visual", "prioridad")
+
+
+@query(R.with_("embarazos", "medicos", "clinicas") + """select e.id_embarazo, m.nombre_completo || ' — ' || m.email_med responsable, strftime(e.fecha_inicio, '%Y-%m-%d') inicio, c.nombre_clinica from embarazos e join medicos m on m.id_clinica = e.id_clinica left join clinicas c on e.id_clinica = c.id_clinica
+where exists (select 1 from medico_clinica a where a.id_medico = m.id_medico and a.id_clinica = e.id_clinica and a.fecha_final is null and a.fecha_inicio is not null)""")
+def v_embarazo_medico(spark, d):
+    """Pregnancies and the physicians of their clinic with an open affiliation there."""
+    open_ = table(spark, d, "medico_clinica").filter("fecha_final is null and fecha_inicio is not null").select("id_medico", "id_clinica")
+    m = R.physicians(spark, d).join(open_, ["id_medico", "id_clinica"], "left_semi").select("id_clinica", F.concat("nombre_completo", F.lit(" — "), "email_med").alias("responsable"))
+    e = R.pregnancies(spark, d).select("id_embarazo", "id_clinica", F.col("fecha_inicio").cast("string").alias("inicio"))
+    return e.join(m, "id_clinica").join(R.clinics(spark, d).select("id_clinica", "nombre_clinica"), "id_clinica", "left").select("id_embarazo", "responsable", "inicio", "nombre_clinica")
+
+
+_SCOPE = 144
+
+
+@query(R.with_("embarazos") + f"select id_embarazo, estado_embarazo from embarazos where id_paciente = {_SCOPE}")
+def scoped_rows(spark, d):
+    """Rows of one identity; an unknown one and one out of scope are both empty."""
+    return scope(R.pregnancies(spark, d), "PACIENTE", _SCOPE).select("id_embarazo", "estado_embarazo")
+
+
+def scope(pregnancies: DataFrame, role: str, identity: int, followed: DataFrame | None = None) -> DataFrame:
+    """The pregnancies a role may see: a patient's own, a physician's followed ones (a semi-join), none for others."""
+    if role == "PACIENTE":
+        return pregnancies.filter(F.col("id_paciente") == identity)
+    if role == "MEDICO" and followed is not None:
+        return pregnancies.join(followed.filter(F.col("id_medico") == identity).select("id_embarazo"), "id_embarazo", "left_semi")
+    return pregnancies.limit(0)
+
+
+@query(R.with_("hechos") + """, l as (select * from hechos qualify row_number() over (partition by id_embarazo order by epoch_us(fecha_hora) desc, id_lectura desc) = 1),
+m as (select id_embarazo, cast(arg_max(hr_valor, (epoch_us(fecha_hora), id_lectura)) filter (hr_valor is not null) as double) ultimo_hr, arg_max(mov_valor, (epoch_us(fecha_hora), id_lectura)) filter (mov_valor is not null) ultimo_mov, count(*) lecturas from hechos group by 1)
+select m.*, l.id_lectura ultima, coalesce(l.estado_hr, l.estado_mov) estado_ultima from m join l using (id_embarazo)""")
+def summary_document(spark, d):
+    """Latest value of each metric, number of readings, and the level of the latest reading of each pregnancy."""
+    f = R.facts(spark, d).withColumn("t", F.unix_micros("fecha_hora"))
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("t", "id_lectura", c)))[c]
+    m = f.groupBy("id_embarazo").agg(last("hr_valor").cast("double").alias("ultimo_hr"), last("mov_valor").alias("ultimo_mov"), F.count("*").alias("lecturas"))
+    latest = latest_by(f, ["id_embarazo"], ["t", "id_lectura"], ["estado_hr", "estado_mov"])
+    return m.join(latest, "id_embarazo").select("id_embarazo", "ultimo_hr", "ultimo_mov", "lecturas", F.col("id_lectura").alias("ultima"), F.coalesce("estado_hr", "estado_mov").alias("estado_ultima"))
+
+
+QUERIES, SQL = query.QUERIES, query.SQL
