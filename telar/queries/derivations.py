@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telar.functions import axis, delivery, levels, text, timeutil
-from telar.operators.ranking import top_n
+from telar.operators.ranking import numbered
 from telar.operators.skew import skew_safe_join
 from telar.plans import relations as R
 from telar.queries.registry import Registry
@@ -155,11 +155,10 @@ def canonical_hash(spark, d):
 
 
 @query("""with k as (select user_id, row_number() over (partition by user_id order by ts, event_id) intento from events)
-select user_id, intento, cast(least(60, power(2, least(intento - 1, 62))) as double) espera, intento >= 5 agotado from k where intento <= 8""")
+select user_id, intento, cast(least(60, power(2, least(intento - 1, 62))) as double) espera, intento >= 5 agotado from k""")
 def backoff_schedule(spark, d):
-    first = top_n(table(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], 8)
-    number = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("intento")
-    return first.select("user_id", number).select("user_id", "intento", delivery.backoff(F.col("intento")).alias("espera"), (F.col("intento") >= delivery.ATTEMPTS).alias("agotado"))
+    k = numbered(table(spark, d, "events"), ["user_id"], "ts", ["event_id"], "intento")
+    return k.select("user_id", "intento", delivery.backoff(F.col("intento")).alias("espera"), (F.col("intento") >= delivery.ATTEMPTS).alias("agotado"))
 
 
 @query("""select user_id, codigo, case when codigo = 201 then 'ENTREGADO' when codigo = 409 then 'RECHAZO' when codigo >= 500 then 'REINTENTO' when codigo in (401, 403) then 'REINTENTO_Y_ALTO' else 'RECHAZO' end resultado, count(*) n

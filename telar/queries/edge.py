@@ -6,11 +6,11 @@ of an outcome that depends on its type.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telar.functions import delivery
-from telar.operators.ranking import top_n
+from telar.operators.ranking import numbered
 from telar.queries.registry import Registry
 from telar.session import table
 
@@ -72,13 +72,11 @@ def next_wakeup(spark, d):
     return queue(spark, d).filter((F.col("estado") != delivery.SENT) & (F.col("proximo") > _NOW - 86_400_000_000)).agg(F.min("proximo").alias("despertar"))
 
 
-@query("""with a as (select user_id, event_type, epoch_us(ts) t, event_id, row_number() over (partition by user_id order by ts, event_id) numero from events)
-select user_id, numero, t, event_type, event_type = 'purchase' confirmo from a where numero <= 20""")
+@query("""select user_id, row_number() over (partition by user_id order by ts, event_id) numero, epoch_us(ts) t, event_type, event_type = 'purchase' confirmo from events""")
 def attempt_trace(spark, d):
-    """The first twenty attempts of each package in order."""
-    first = top_n(table(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], 20)
-    number = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return first.select("user_id", number.alias("numero"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_type", (F.col("event_type") == "purchase").alias("confirmo"))
+    """All attempts of each package in order."""
+    number = numbered(table(spark, d, "events"), ["user_id"], "ts", ["event_id"], "numero")
+    return number.select("user_id", "numero", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_type", (F.col("event_type") == "purchase").alias("confirmo"))
 
 
 @query("""select user_id, max(case when event_type = 'purchase' then epoch_us(ts) end) confirmado, max(epoch_us(ts)) ultimo, count(*) filter (event_type = 'error') errores from events group by 1""")

@@ -56,22 +56,24 @@ def v_semaforo(spark, d):
 
 
 @query(R.with_("embarazos", "medicos", "clinicas") + """select e.id_embarazo, m.nombre_completo || ' — ' || m.email_med responsable, strftime(e.fecha_inicio, '%Y-%m-%d') inicio, c.nombre_clinica from embarazos e join medicos m on m.id_clinica = e.id_clinica left join clinicas c on e.id_clinica = c.id_clinica
-where exists (select 1 from medico_clinica a where a.id_medico = m.id_medico and a.id_clinica = e.id_clinica and a.fecha_final is null and a.fecha_inicio is not null)""")
+where exists (select 1 from medico_clinica a where a.id_medico = m.id_medico and a.fecha_final is null and a.fecha_inicio is not null)""")
 def v_embarazo_medico(spark, d):
-    """Pregnancies and the physicians of their clinic with an open affiliation there."""
-    open_ = table(spark, d, "medico_clinica").filter("fecha_final is null and fecha_inicio is not null").select("id_medico", "id_clinica")
-    m = R.physicians(spark, d).join(open_, ["id_medico", "id_clinica"], "left_semi").select("id_clinica", F.concat("nombre_completo", F.lit(" — "), "email_med").alias("responsable"))
+    """Pregnancies and the physicians of their clinic who have an open affiliation."""
+    open_ = table(spark, d, "medico_clinica").filter("fecha_final is null and fecha_inicio is not null").select("id_medico")
+    m = R.physicians(spark, d).join(open_, "id_medico", "left_semi").select("id_clinica", F.concat("nombre_completo", F.lit(" — "), "email_med").alias("responsable"))
     e = R.pregnancies(spark, d).select("id_embarazo", "id_clinica", F.col("fecha_inicio").cast("string").alias("inicio"))
     return e.join(m, "id_clinica").join(R.clinics(spark, d).select("id_clinica", "nombre_clinica"), "id_clinica", "left").select("id_embarazo", "responsable", "inicio", "nombre_clinica")
 
 
-_SCOPE = 144
-
-
-@query(R.with_("embarazos") + f"select id_embarazo, estado_embarazo from embarazos where id_paciente = {_SCOPE}")
+@query(R.with_("embarazos", "hechos") + """select 'PACIENTE' rol, id_paciente identidad, count(*) embarazos from embarazos where id_paciente is not null group by 2
+union all select 'MEDICO', id_medico, count(distinct id_embarazo) from hechos where id_medico is not null and id_embarazo in (select id_embarazo from embarazos) group by 2""")
 def scoped_rows(spark, d):
-    """Rows of one identity; an unknown one and one out of scope are both empty."""
-    return scope(R.pregnancies(spark, d), "PACIENTE", _SCOPE).select("id_embarazo", "estado_embarazo")
+    """How many pregnancies each patient and each physician may see."""
+    e = R.pregnancies(spark, d)
+    followed = R.facts(spark, d).select("id_medico", "id_embarazo").distinct().filter("id_medico is not null")
+    own = e.filter("id_paciente is not null").groupBy(F.lit("PACIENTE").alias("rol"), F.col("id_paciente").alias("identidad")).agg(F.count("*").alias("embarazos"))
+    theirs = followed.join(e.select("id_embarazo"), "id_embarazo", "left_semi").groupBy(F.lit("MEDICO").alias("rol"), F.col("id_medico").alias("identidad")).agg(F.count("*").alias("embarazos"))
+    return own.unionByName(theirs)
 
 
 def scope(pregnancies: DataFrame, role: str, identity: int, followed: DataFrame | None = None) -> DataFrame:
