@@ -90,7 +90,8 @@ def queue_machine(stream: DataFrame, policy: machine.Policy = machine.Policy())
     """stream: id_outbox long, llegada long, t long (ms), evento string, intento int.
 
     evento is CAPTURA, RECLAMO, VENCIMIENTO or an outcome of the attempt ``intento``. Gives
-    each step's effect and the state after it. A timer seals an abandoned attempt.
+    each step's effect and the state after it. A timer seals an abandoned attempt. A query
+    with timers goes on under ``availableNow`` too: stop it, or feed VENCIMIENTO events.
     """
     out = "id_outbox long, llegada long, t long, efecto string, estado string, intentos int, proximo long"
     return stream.select("id_outbox", "llegada", "t", "evento", "intento").groupBy("id_outbox").transformWithState(_Queue(policy), out, "Append", "ProcessingTime")

@@ -11,7 +11,7 @@ from telar.streaming import incremental, processors
 from telar.streaming.machine import Package, Policy, admit, claim, inherited_exhaustion, lease_expired, result
 
 P = Policy(base_ms=1000, cap_ms=60_000, attempts=3, lease_ms=70_000)
-#: A finite run waits for the timers of open leases, so those of streams are short.
+#: Short leases, so that a timer fires while a test waits.
 SHORT = Policy(base_ms=1000, cap_ms=60_000, attempts=3, lease_ms=500)
 
 
@@ -64,37 +64,45 @@ def test_rate_limit_ignores_refused_requests():
     assert seen == [True, True, False, False, True, True, False]
 
 
-def run(spark, tmp_path, schema_rows, build):
+def run(spark, tmp_path, schema, batches, build, timers=False):
+    """The stream's rows. One with timers never ends by itself, so it is stopped once its input is through and a timer may have fired."""
     spark.conf.set(*processors.STORE)
     spark.conf.set("spark.sql.shuffle.partitions", "1")
+    out = str(tmp_path / "out")
+    (tmp_path / "in").mkdir()
     try:
-        return _run(spark, tmp_path, schema_rows, build)
+        for i, rows in enumerate(batches):
+            (tmp_path / "in" / f"{i}.json").write_text("\n".join(json.dumps(r) for r in rows))
+            writer = build(spark.readStream.schema(schema).json(str(tmp_path / "in"))).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append")
+            if not timers:
+                q = writer.trigger(availableNow=True).start()
+                assert q.awaitTermination(60) and q.exception() is None
+                continue
+            q = writer.trigger(processingTime="200 milliseconds").start()
+            end = time.time() + 40
+            while q.isActive and time.time() < end and sum(p.numInputRows for p in q.recentProgress) < len(rows):
+                time.sleep(0.2)
+            time.sleep(3)
+            q.stop()
+            assert q.exception() is None
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+    return spark.read.parquet(out)
 
 
-def _run(spark, tmp_path, schema_rows, build):
-    out, seen = str(tmp_path / "out"), []
-    for i, rows in enumerate(schema_rows["batches"]):
-        (tmp_path / "in").mkdir(exist_ok=True)
-        (tmp_path / "in" / f"{i}.json").write_text("\n".join(json.dumps(r) for r in rows))
-        stream = spark.readStream.schema(schema_rows["schema"]).json(str(tmp_path / "in"))
-        q = build(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
-        q.awaitTermination(120)
-        assert q.exception() is None
-    return spark.read.parquet(out)
+QUEUE = "id_outbox long, llegada long, t long, evento string, intento int"
 
 
 def test_claims_stream(spark, tmp_path):
     batches = [[{"clave": "a", "huella": "x", "llegada": 2}, {"clave": "a", "huella": "y", "llegada": 1}, {"clave": "b", "huella": "x", "llegada": 3}], [{"clave": "a", "huella": "y", "llegada": 4}, {"clave": "b", "huella": "z", "llegada": 5}, {"clave": None, "huella": "x", "llegada": 6}]]
-    got = run(spark, tmp_path, {"schema": "clave string, huella string, llegada long", "batches": batches}, processors.ingest_claims).collect()
+    got = run(spark, tmp_path, "clave string, huella string, llegada long", batches, processors.ingest_claims).collect()
     assert {r.llegada: (r.resultado, r.primera) for r in got} == {1: ("NUEVA", 1), 2: ("COLISION", 1), 3: ("NUEVA", 3), 4: ("REPETICION", 1), 5: ("COLISION", 3), 6: ("NUEVA", 6)}
 
 
 def test_queue_stream(spark, tmp_path):
     e = lambda i, t, evento, intento=None: {"id_outbox": 1, "llegada": i, "t": t, "evento": evento, "intento": intento}
     batches = [[e(1, 0, "CAPTURA"), e(2, 10, "RECLAMO"), e(3, 20, RETRY, 1)], [e(5, 1020, "RECLAMO"), e(4, 500, "RECLAMO"), e(6, 100_000, "VENCIMIENTO")], [e(7, 100_001, DELIVERED, 2)]]
-    got = run(spark, tmp_path, {"schema": "id_outbox long, llegada long, t long, evento string, intento int", "batches": batches}, lambda s: processors.queue_machine(s, SHORT)).orderBy("llegada").collect()
+    got = run(spark, tmp_path, QUEUE, batches, lambda s: processors.queue_machine(s, SHORT), timers=True).orderBy("llegada").collect()
     assert [r.efecto for r in got if r.llegada] == ["CAPTURADO", "RECLAMADO", "REPROGRAMADO", "AUN_NO", "RECLAMADO", "ABANDONADO_REPROGRAMADO", "ENTREGADO_TARDE"]
     assert got[-1].estado == SENT
 
@@ -102,13 +110,13 @@ def test_queue_stream(spark, tmp_path):
 def test_a_timer_seals_an_abandoned_attempt(spark, tmp_path):
     now = int(time.time() * 1000)
     e = lambda i, evento: {"id_outbox": 1, "llegada": i, "t": now, "evento": evento, "intento": None}
-    got = run(spark, tmp_path, {"schema": "id_outbox long, llegada long, t long, evento string, intento int", "batches": [[e(1, "CAPTURA"), e(2, "RECLAMO")]]}, lambda s: processors.queue_machine(s, SHORT)).collect()
+    got = run(spark, tmp_path, QUEUE, [[e(1, "CAPTURA"), e(2, "RECLAMO")]], lambda s: processors.queue_machine(s, SHORT), timers=True).collect()
     assert [(r.efecto, r.estado) for r in got if r.llegada is None] == [("ABANDONADO_REPROGRAMADO", FAILED)]
 
 
 def test_rate_limit_stream(spark, tmp_path):
     batches = [[{"origen": "a", "llegada": i, "t": t} for i, t in enumerate((0, 1, 2))], [{"origen": "a", "llegada": 3 + i, "t": t} for i, t in enumerate((500, 1001))]]
-    got = run(spark, tmp_path, {"schema": "origen string, llegada long, t long", "batches": batches}, lambda s: processors.rate_limit(s, 2, 1000)).collect()
+    got = run(spark, tmp_path, "origen string, llegada long, t long", batches, lambda s: processors.rate_limit(s, 2, 1000)).collect()
     assert {r.llegada: r.aceptada for r in got} == {0: True, 1: True, 2: False, 3: False, 4: True}
 
 
