@@ -47,7 +47,7 @@ class Limits:
     #: Hours of a context within the day; a context noisier than the device by the factor
     #: has its own fences if it holds enough values.
     context_hours: int = 6
-    context_noise: float = 1.5
+    context_noise: float = 2.5
     context_values: int = 40
     sketch_k: int = 400
 
@@ -210,9 +210,11 @@ def _fences(seen: DataFrame, fields: list[Field], limits: Limits) -> DataFrame:
 
     own = contexts.select("d", "f", "franja", "n", *quartiles(limits.context_values))
     # for normal noise Q90 - Q10 is 1.9 times Q75 - Q25, and it tells more where values are coarse;
-    # a context is too small for it: a handful of spikes would widen it
+    # where spikes are many it would widen without end, so it counts for twice the quartiles' range
+    # at most; a context is too small for it
     q = lambda p: F.kll_sketch_get_quantile_bigint("croquis", F.lit(p))
-    wide = F.when(F.col("usables") >= limits.least_values, (q(0.9) - q(0.1)) / 1.9)
+    near = q(0.75) - q(0.25)
+    wide = F.when(F.col("usables") >= limits.least_values, F.least((q(0.9) - q(0.1)) / 1.9, F.when(near > 0, 2.0 * near)))
     all_day = devices.select("d", "f", *quartiles(limits.least_values, wide), "rachas", "rachas_varias").withColumnsRenamed({"q1": "d1", "q3": "d3", "iqr": "d_iqr"})
     same = F.least(F.lit(0.9), F.greatest(F.lit(0.01), F.col("rachas_varias") / F.col("rachas")))
     long_run = F.greatest(F.lit(float(limits.least_run)), F.ceil(1 + (F.lit(math.log(limits.run_chance)) - F.log(F.col("rachas"))) / F.log(same)))
