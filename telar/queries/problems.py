@@ -43,8 +43,8 @@ cabezas as (select *, case when v is distinct from lag(v) over w then 1 else 0 e
 numeradas as (select *, sum(cabeza) over (partition by d, campo order by t, id_lectura) corrida from cabezas),
 rachas as (select *, count(*) over (partition by d, campo, corrida) racha from numeradas),
 normales as (select *, v - median(v) over (partition by d, campo order by t, id_lectura rows between 10 preceding and 10 following) salto from rachas where not imposible and racha < 8),
-cercas as (select d, campo, case when count(*) >= 8 then quantile_cont(salto, 0.25) end q1, case when count(*) >= 8 then quantile_cont(salto, 0.75) end q3,
-  greatest(quantile_cont(salto, 0.75) - quantile_cont(salto, 0.25), least((quantile_cont(salto, 0.9) - quantile_cont(salto, 0.1)) / 1.9, case when quantile_cont(salto, 0.75) > quantile_cont(salto, 0.25) then 2 * (quantile_cont(salto, 0.75) - quantile_cont(salto, 0.25)) end), any_value(piso)) iqr from normales group by 1, 2),
+cercas as (select d, campo, case when count(*) >= 8 then quantile_disc(salto, 0.25) end q1, case when count(*) >= 8 then quantile_disc(salto, 0.75) end q3,
+  greatest(quantile_disc(salto, 0.75) - quantile_disc(salto, 0.25), least((quantile_disc(salto, 0.9) - quantile_disc(salto, 0.1)) / 1.9, case when quantile_disc(salto, 0.75) > quantile_disc(salto, 0.25) then 2 * (quantile_disc(salto, 0.75) - quantile_disc(salto, 0.25)) end), any_value(piso)) iqr from normales group by 1, 2),
 largas as (select d, campo, greatest(8, ceil(1 + (ln(0.001) - ln(n)) / ln(least(0.9, greatest(0.01, m / n))))) larga
   from (select d, campo, cast(sum(cabeza) as double) n, cast(sum(case when racha > 1 then cabeza else 0 end) as double) m from rachas group by 1, 2)),
 marcadas as (
