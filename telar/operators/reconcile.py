@@ -11,6 +11,7 @@ from telar.functions.levels import movement_shape, severest, vitals_shape
 from telar.functions.timeutil import clinical_day
 from telar.operators.copies import symmetric_difference
 from telar.operators.coverage import covering
+from telar.session import checkpoint
 
 _c = F.col
 _CLINIC = ["id_clinica", "nombre_clinica", "provincia", "distrito"]
@@ -27,6 +28,7 @@ def report(*, readings: DataFrame, facts: DataFrame, raw_facts: DataFrame, sessi
     distinct set differences in which nulls are equal, and periods are swept (see
     ``covering``) instead of joined by ranges.
     """
+    readings, facts = checkpoint(readings), checkpoint(facts)  # most checks read them
     leveled = facts.join(levels.select("id_semaforo", "codigo_nivel"), "id_semaforo")
     with_source = facts.select("id_lectura", *[_c(c).alias(f"h_{c}") for c in ("id_sesion", "hr_valor", "spo2_valor", "mov_valor", "fecha_hora")]).join(readings, "id_lectura")
     pairs = [("h_id_sesion", "id_sesion"), ("h_hr_valor", "hr_valor"), ("h_spo2_valor", "spo2_valor"), ("h_mov_valor", "mov_valor"), ("h_fecha_hora", "fecha_hora_captura")]

@@ -39,9 +39,13 @@ def clinics(spark: SparkSession, d: str, copy: bool = True) -> DataFrame:
     return latest_by(table(spark, d, "dim_clinica" if copy else "clinica"), ["id_clinica"], ["cargado_en" if copy else "actualizado_en"], CLINIC)
 
 
-def facts(spark: SparkSession, d: str) -> DataFrame:
-    """Loaded readings; repeated rows once."""
-    return table(spark, d, "fact_lectura_biometrica").distinct()
+def facts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Loaded readings, or their id and the columns asked for; repeated rows once.
+
+    Naming the columns keeps the others out of the scan and of the shuffle.
+    """
+    rows = table(spark, d, "fact_lectura_biometrica")
+    return (rows.select("id_lectura", *columns) if columns else rows).distinct()
 
 
 def levels(spark: SparkSession, d: str) -> DataFrame:

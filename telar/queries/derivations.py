@@ -75,7 +75,7 @@ _SEMANAS = R.with_("hechos", "embarazos") + """, s as (select h.id_lectura, h.id
 @query(_SEMANAS + "select id_lectura, declarada, cast(floor(dias / 7.0) as integer) + 1 calculada, case when cast(floor(dias / 7.0) as integer) + 1 <= 13 then 1 when cast(floor(dias / 7.0) as integer) + 1 <= 27 then 2 else 3 end trimestre, cast(least(9, floor(floor(dias / 7.0) / 4.0) + 1) as integer) mes from s")
 def gestational_week(spark, d):
     week = timeutil.gestational_week(timeutil.clinical_day("fecha_hora"), F.col("fecha_inicio"))
-    both = R.facts(spark, d).join(R.pregnancies(spark, d).select("id_embarazo", "fecha_inicio"), "id_embarazo")
+    both = R.facts(spark, d, "id_embarazo", "id_tiempo_gestacional", "fecha_hora").join(R.pregnancies(spark, d).select("id_embarazo", "fecha_inicio"), "id_embarazo")
     return both.select("id_lectura", (F.col("id_tiempo_gestacional") - 99).alias("declarada"), week.alias("calculada")).select("*", timeutil.trimester(F.col("calculada")).alias("trimestre"), timeutil.gestational_month(F.col("calculada")).alias("mes"))
 
 

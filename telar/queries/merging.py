@@ -42,13 +42,13 @@ def insert_missing(spark, d):
 @query(R.with_("hechos", "lecturas") + """, c as (select h.id_lectura, concat_ws(',', case when h.id_sesion is distinct from l.id_sesion then 'id_sesion' end, case when h.hr_valor is distinct from l.hr_valor then 'hr_valor' end, case when h.spo2_valor is distinct from l.spo2_valor then 'spo2_valor' end, case when h.mov_valor is distinct from l.mov_valor then 'mov_valor' end) columnas from hechos h join lecturas l using (id_lectura)) select * from c where columnas <> ''""")
 def load_conflicts(spark, d):
     """Readings loaded before whose values have changed: names of the fields only."""
-    return M.load_conflicts(R.facts(spark, d), R.readings(spark, d), "id_lectura", ["id_sesion", "hr_valor", "spo2_valor", "mov_valor"])
+    return M.load_conflicts(R.facts(spark, d, "id_sesion", "hr_valor", "spo2_valor", "mov_valor"), R.readings(spark, d), "id_lectura", ["id_sesion", "hr_valor", "spo2_valor", "mov_valor"])
 
 
 @query(R.with_("hechos") + """, n as (select id_lectura, count(*) k from candidata_de_carga group by 1) select id_lectura, 'existe' motivo from n where id_lectura in (select id_lectura from hechos) union all select id_lectura, 'repetida' from n where k > 1""")
 def append_anomalies(spark, d):
     """Why the candidates can't simply be appended to the facts."""
-    return M.append_anomalies(R.facts(spark, d), table(spark, d, "candidata_de_carga"), "id_lectura")
+    return M.append_anomalies(table(spark, d, "fact_lectura_biometrica"), table(spark, d, "candidata_de_carga"), "id_lectura")
 
 
 @query("select count(distinct id_lectura) cargadas from fact_lectura_biometrica where id_lectura in (select id_lectura from lectura_resumen)")

@@ -18,7 +18,7 @@ _PERSONAL = R.with_("hechos") + ", h as (select id_embarazo, id_sesion, id_lectu
 
 def _facts(spark, d) -> DataFrame:
     num = lambda c, a: F.col(c).cast("double").alias(a)
-    return R.facts(spark, d).select("id_embarazo", "id_sesion", "id_lectura", "fecha_hora", F.unix_micros("fecha_hora").alias("t"), num("hr_valor", "hr"), num("spo2_valor", "spo2"), num("mov_valor", "mov"))
+    return R.facts(spark, d, "id_embarazo", "id_sesion", "fecha_hora", "hr_valor", "spo2_valor", "mov_valor").select("id_embarazo", "id_sesion", "id_lectura", "fecha_hora", F.unix_micros("fecha_hora").alias("t"), num("hr_valor", "hr"), num("spo2_valor", "spo2"), num("mov_valor", "mov"))
 
 
 @query(_PERSONAL + "select id_sesion, min(t) inicio, max(t) fin, count(*) n from h group by 1")
@@ -92,7 +92,7 @@ def fifo_limit(spark, d):
 @query(R.with_("hechos") + "select id_clinica, count(*) total, array_to_string(list_slice(list_sort(list(distinct id_lectura)), 1, 10), ',') primeras from hechos group by 1")
 def bounded_id_list(spark, d):
     """The ten least ids of each clinic and how many there are; only ten of each leave a task."""
-    f = R.facts(spark, d).select("id_clinica", "id_lectura")
+    f = R.facts(spark, d, "id_clinica")
     n = f.groupBy("id_clinica").agg(F.count("*").alias("total"))
     least = top_n(f.distinct(), ["id_clinica"], [F.col("id_lectura")], 10).groupBy("id_clinica").agg(F.concat_ws(",", F.sort_array(F.collect_list("id_lectura")).cast("array<string>")).alias("primeras"))
     return n.join(least, "id_clinica")

@@ -34,7 +34,7 @@ select m.seudonimo, n.codigo_nivel, n.prioridad, h.estado_hr, h.estado_spo2, h.e
 from hechos h join mapa m using (id_embarazo) join niveles n using (id_semaforo) left join s on h.id_embarazo = s.id_embarazo and h.id_sesion = s.id_sesion""")
 def v_lectura(spark, d):
     """Readings with level, clinical day and the session's number in its pregnancy."""
-    f = R.facts(spark, d)
+    f = R.facts(spark, d, "id_embarazo", "id_sesion", "id_semaforo", "fecha_hora", "estado_hr", "estado_spo2", "estado_mov")
     first = f.filter("id_sesion is not null").groupBy("id_embarazo", "id_sesion").agg(F.min("fecha_hora").alias("_en"))
     seq = numbered(first, ["id_embarazo"], "_en", ["id_sesion"], "secuencia").select("id_embarazo", "id_sesion", "secuencia")
     j = f.join(R.levels(spark, d), "id_semaforo").join(pseudonyms(spark, d), "id_embarazo").join(seq, ["id_embarazo", "id_sesion"], "left")
@@ -45,7 +45,7 @@ def v_lectura(spark, d):
 from hechos h join niveles n using (id_semaforo) left join clinicas c on h.id_clinica = c.id_clinica group by 1, 2 having count(distinct h.id_embarazo) >= 5""")
 def v_resumen_administrativo(spark, d):
     """Provinces and levels with at least five pregnancies, and the mean rounded to one decimal."""
-    h = R.facts(spark, d).join(R.levels(spark, d), "id_semaforo").join(R.clinics(spark, d), "id_clinica", "left")
+    h = R.facts(spark, d, "id_semaforo", "id_clinica", "id_embarazo", "hr_valor").join(R.levels(spark, d), "id_semaforo").join(R.clinics(spark, d), "id_clinica", "left")
     mean = F.round(F.sum((F.col("hr_valor") * 100).cast("long")).cast("double") / 100 / F.count("hr_valor"), 1)
     return h.groupBy("provincia", "codigo_nivel").agg(F.count("*").alias("lecturas"), F.countDistinct("id_embarazo").alias("embarazos"), mean.alias("hr_medio")).filter("embarazos >= 5")
 
@@ -70,7 +70,7 @@ union all select 'MEDICO', id_medico, count(distinct id_embarazo) from hechos wh
 def scoped_rows(spark, d):
     """How many pregnancies each patient and each physician may see."""
     e = R.pregnancies(spark, d)
-    followed = R.facts(spark, d).select("id_medico", "id_embarazo").distinct().filter("id_medico is not null")
+    followed = table(spark, d, "fact_lectura_biometrica").select("id_medico", "id_embarazo").distinct().filter("id_medico is not null")
     own = e.filter("id_paciente is not null").groupBy(F.lit("PACIENTE").alias("rol"), F.col("id_paciente").alias("identidad")).agg(F.count("*").alias("embarazos"))
     theirs = followed.join(e.select("id_embarazo"), "id_embarazo", "left_semi").groupBy(F.lit("MEDICO").alias("rol"), F.col("id_medico").alias("identidad")).agg(F.count("*").alias("embarazos"))
     return own.unionByName(theirs)
@@ -90,7 +90,7 @@ m as (select id_embarazo, cast(arg_max(hr_valor, (epoch_us(fecha_hora), id_lectu
 select m.*, l.id_lectura ultima, coalesce(l.estado_hr, l.estado_mov) estado_ultima from m join l using (id_embarazo)""")
 def summary_document(spark, d):
     """Latest value of each metric, number of readings, and the level of the latest reading of each pregnancy."""
-    f = R.facts(spark, d).withColumn("t", F.unix_micros("fecha_hora"))
+    f = R.facts(spark, d, "id_embarazo", "fecha_hora", "hr_valor", "mov_valor", "estado_hr", "estado_mov").withColumn("t", F.unix_micros("fecha_hora"))
     last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("t", "id_lectura", c)))[c]
     m = f.groupBy("id_embarazo").agg(last("hr_valor").cast("double").alias("ultimo_hr"), last("mov_valor").alias("ultimo_mov"), F.count("*").alias("lecturas"))
     latest = latest_by(f, ["id_embarazo"], ["t", "id_lectura"], ["estado_hr", "estado_mov"])

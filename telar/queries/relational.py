@@ -30,7 +30,7 @@ def reading_context_join(spark, d):
 @query(R.with_("lecturas", "hechos") + "select id_lectura, id_sesion, semana_gestacion from lecturas l where not exists (select 1 from hechos h where h.id_lectura = l.id_lectura)")
 def incremental_antijoin(spark, d):
     """Readings that the facts don't hold yet: by difference of keys, not by time or greatest id."""
-    return R.readings(spark, d).join(R.facts(spark, d).select("id_lectura"), "id_lectura", "left_anti").select("id_lectura", "id_sesion", "semana_gestacion")
+    return R.readings(spark, d).join(table(spark, d, "fact_lectura_biometrica").select("id_lectura"), "id_lectura", "left_anti").select("id_lectura", "id_sesion", "semana_gestacion")
 
 
 @query(R.with_("medicos", "clinicas") + "select m.id_medico, m.especialidad, c.nombre_clinica, c.provincia from medicos m join clinicas c using (id_clinica)")
@@ -41,7 +41,7 @@ def dimension_lookup(spark, d):
 @query(R.with_("hechos", "niveles") + "select h.id_lectura, n.codigo_nivel, n.prioridad from hechos h join niveles n using (id_semaforo)")
 def catalogue_lookup_inner(spark, d):
     """Inner on purpose: a fact with a broken level must not pass as one without a level."""
-    return R.facts(spark, d).join(R.levels(spark, d), "id_semaforo").select("id_lectura", "codigo_nivel", "prioridad")
+    return R.facts(spark, d, "id_semaforo").join(R.levels(spark, d), "id_semaforo").select("id_lectura", "codigo_nivel", "prioridad")
 
 
 @query(R.with_("embarazos", "clinicas") + "select e.id_embarazo, c.nombre_clinica, c.provincia from embarazos e left join clinicas c using (id_clinica)")
@@ -84,7 +84,7 @@ _DIMS = [("sesion", "id_sesion", "sesion_monitoreo"), ("embarazo", "id_embarazo"
 @query(R.with_("hechos") + "select id_lectura, " + ", ".join(f"{c} not in (select {c} from {p} where {c} is not null) sin_{n}" for n, c, p in _DIMS) + " from hechos where " + " or ".join(f"{c} not in (select {c} from {p} where {c} is not null)" for _, c, p in _DIMS))
 def orphans(spark, d):
     """Facts without one of their dimensions, with a flag for each; a null reference is none."""
-    f = R.facts(spark, d).select("id_lectura", *[c for _, c, _ in _DIMS])
+    f = R.facts(spark, d, *[c for _, c, _ in _DIMS])
     for n, c, p in _DIMS:
         f = f.join(table(spark, d, p).select(c).distinct().withColumn(f"_{n}", F.lit(True)), c, "left")
         f = f.withColumn(f"sin_{n}", F.when(F.col(c).isNotNull(), F.col(f"_{n}").isNull()))
@@ -117,7 +117,7 @@ _COVER = R.with_("hechos") + """, c as (select h.id_lectura, h.id_clinica, count
 
 
 def _covered(spark, d) -> DataFrame:
-    f = R.facts(spark, d)
+    f = R.facts(spark, d, "id_medico", "fecha_hora")
     events = f.select(F.col("id_lectura").alias("id"), F.col("id_medico").alias("k"), timeutil.clinical_day("fecha_hora").alias("dia")).distinct()
     periods = table(spark, d, "medico_clinica").select(F.col("id_medico").alias("k"), F.col("fecha_inicio").alias("desde"), F.col("fecha_final").alias("hasta"), F.col("id_clinica").alias("valor"))
     return covering(events, periods)
@@ -142,7 +142,7 @@ def interval_ambiguous(spark, d):
 @query(_COVER + "select case when cubren = 0 then 'sin_afiliacion' when cubren > 1 then 'varias' when valor = id_clinica then 'propia' else 'ajena' end resultado, count(*) n from c group by 1")
 def affiliation_check(spark, d):
     """Facts by whether their physician had exactly one affiliation that day, and at the fact's clinic."""
-    own = R.facts(spark, d).select("id_lectura", "id_clinica")
+    own = R.facts(spark, d, "id_clinica")
     both = own.join(_covered(spark, d).withColumnRenamed("id", "id_lectura"), "id_lectura")
     return both.groupBy(F.when(F.col("cubren") == 0, "sin_afiliacion").when(F.col("cubren") > 1, "varias").when(F.col("valor") == F.col("id_clinica"), "propia").otherwise("ajena").alias("resultado")).agg(F.count("*").alias("n"))
 
@@ -236,7 +236,7 @@ def schema_difference(spark, d):
 def row_is_distinct(spark, d):
     """Loaded readings that differ from their source, nulls being equal."""
     cols = ["hr_valor", "spo2_valor", "mov_valor", "id_sesion"]
-    h, r = R.facts(spark, d).alias("h"), R.readings(spark, d).alias("l")
+    h, r = R.facts(spark, d, *cols).alias("h"), R.readings(spark, d).alias("l")
     differ = ~F.struct(*[F.col(f"h.{c}") for c in cols]).eqNullSafe(F.struct(*[F.col(f"l.{c}") for c in cols]))
     return h.join(r, "id_lectura").filter(differ).select("id_lectura")
 
@@ -248,7 +248,7 @@ _K = 5
 from hechos h join niveles n using (id_semaforo) left join clinicas c on h.id_clinica = c.id_clinica group by 1, 2, 3 having count(distinct h.id_embarazo) >= {_K}""")
 def kanon_summary(spark, d):
     """Cells of province, month and level with at least k pregnancies; sums in hundredths are exact."""
-    h = R.facts(spark, d).select("id_clinica", "id_semaforo", "id_embarazo", "hr_valor", timeutil.month_text(timeutil.clinical_day("fecha_hora")).alias("mes"))
+    h = R.facts(spark, d, "id_clinica", "id_semaforo", "id_embarazo", "hr_valor", "fecha_hora").select("id_clinica", "id_semaforo", "id_embarazo", "hr_valor", timeutil.month_text(timeutil.clinical_day("fecha_hora")).alias("mes"))
     j = h.join(R.levels(spark, d), "id_semaforo").join(R.clinics(spark, d), "id_clinica", "left")
     return j.groupBy("provincia", "mes", "codigo_nivel").agg(F.count("*").alias("lecturas"), F.countDistinct("id_embarazo").alias("embarazos"), F.sum((F.col("hr_valor") * 100).cast("long")).alias("hr_suma"), F.count("hr_valor").alias("hr_n")).filter(F.col("embarazos") >= _K)
 
@@ -266,14 +266,14 @@ def kanon_orders(spark, d):
 
 @query(R.with_("hechos", "niveles", "lecturas") + """select n.codigo_nivel nivel, l.codigo_semaforo origen, count(*) n from hechos h join niveles n using (id_semaforo) join lecturas l on h.id_lectura = l.id_lectura where n.codigo_nivel <> l.codigo_semaforo group by 1, 2""")
 def level_against_source(spark, d):
-    h = R.facts(spark, d).select("id_lectura", "id_semaforo").join(R.levels(spark, d), "id_semaforo")
+    h = R.facts(spark, d, "id_semaforo").join(R.levels(spark, d), "id_semaforo")
     return h.join(R.readings(spark, d).select("id_lectura", "codigo_semaforo"), "id_lectura").filter("codigo_nivel <> codigo_semaforo").groupBy(F.col("codigo_nivel").alias("nivel"), F.col("codigo_semaforo").alias("origen")).agg(F.count("*").alias("n"))
 
 
 @query(R.with_("hechos") + """, s as (select id_lectura, case when 'ERROR' in (estado_hr, estado_spo2, estado_mov) then 'ERROR' when 'WARNING' in (estado_hr, estado_spo2, estado_mov) then 'WARNING' when 'OK' in (estado_hr, estado_spo2, estado_mov) then 'OK' end severo from hechos) select severo, count(*) n from s group by 1""")
 def max_severity(spark, d):
     worst = levels.severest(F.col("estado_hr"), F.col("estado_spo2"), F.col("estado_mov")).alias("severo")
-    return R.facts(spark, d).groupBy(worst).agg(F.count("*").alias("n"))
+    return R.facts(spark, d, "estado_hr", "estado_spo2", "estado_mov").groupBy(worst).agg(F.count("*").alias("n"))
 
 
 QUERIES, SQL = query.QUERIES, query.SQL
