@@ -14,6 +14,12 @@ def clinical_day(ts: Column | str) -> Column:
     return F.to_date(F.convert_timezone(F.current_timezone(), F.lit(ZONE), ts.cast("timestamp_ntz")))
 
 
+def local_micros(ts: Column | str) -> Column:
+    """Microseconds of a timestamp without time zone since 1970, whatever the session's time zone."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts)
+
+
 def clinical_month(ts: Column | str) -> Column:
     """The first day of the clinical month."""
     return F.trunc(clinical_day(ts), "MM")

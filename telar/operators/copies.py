@@ -40,11 +40,11 @@ def _rolling(kh: np.ndarray) -> np.ndarray:
 def _cuts(rows: pd.DataFrame, carried: tuple | None, every: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row the label of its chunk, and the last hashes to carry on."""
     before, label = carried or ([0] * (WINDOW - 1), 0)
-    kh = np.r_[np.array(before, "int64"), rows.kh.to_numpy()]
+    kh = np.r_[np.array(before, "int64"), rows["_kh"].to_numpy()]
     roll = _rolling(kh)
     cut = roll % np.uint64(every) == 0
     at = np.maximum.accumulate(np.where(cut, np.arange(len(cut)), -1))
-    labels = np.where(at >= 0, rows.kh.to_numpy()[np.maximum(at, 0)], label)
+    labels = np.where(at >= 0, rows["_kh"].to_numpy()[np.maximum(at, 0)], label)
     return labels, kh[len(kh) - WINDOW + 1 :]
 
 
@@ -54,7 +54,7 @@ class _Chunks:
 
     def carry(self, parts: OrderedParts) -> dict[int, tuple]:
         """Two rounds: the last keys of each partition, then, with them, its last cut."""
-        tail = lambda rows, _: rows.kh.to_numpy()[-(WINDOW - 1) :].tolist()
+        tail = lambda rows, _: rows["_kh"].to_numpy()[-(WINDOW - 1) :].tolist()
         keys = fold(parts.summaries(tail), lambda state, x: ((state or [0] * (WINDOW - 1)) + x)[-(WINDOW - 1) :])
         given = {part: (x or [0] * (WINDOW - 1), None) for part, x in keys.items()}
         every = self.every
@@ -67,7 +67,7 @@ class _Chunks:
         return {part: (given[part][0], labels[part] or 0) for part in given}
 
     def scan(self, rows: pd.DataFrame, carried: tuple) -> pd.DataFrame:
-        return rows.drop(columns=["kh", PART]).assign(trozo=_cuts(rows, carried, self.every)[0])
+        return rows.drop(columns=["_kh", PART]).assign(_trozo=_cuts(rows, carried, self.every)[0])
 
 
 #: No key hash is told apart from it in practice; a chunk that met it would only be compared in vain.
@@ -76,15 +76,15 @@ NO_CUT = -(2**63)
 
 def _chunked(df: DataFrame, key: str, columns: list[str], every: int, rows: int) -> DataFrame:
     """The rows with the label of their chunk, which is the hash of the key at its cut."""
-    hashed = df.select(key, *columns, _hash([key], 1).alias("kh"), _hash([key, *columns], 2).alias("h1"), _hash([key, *columns], 3).alias("h2"))
+    hashed = df.select(key, *columns, _hash([key], 1).alias("_kh"), _hash([key, *columns], 2).alias("_h1"), _hash([key, *columns], 3).alias("_h2"))
     parts = OrderedParts(hashed, [key], rows)
     kinds = dict(df.dtypes)
     chunks = _Chunks(every)
-    schema = ", ".join([f"`{c}` string" for c in (key, *columns)] + ["h1 long, h2 long, trozo long"])
-    parts.df = parts.df.select(*[F.col(c).cast("string").alias(c) for c in (key, *columns)], "kh", "h1", "h2", PART)
+    schema = ", ".join([f"`{c}` string" for c in (key, *columns)] + ["_h1 long, _h2 long, _trozo long"])
+    parts.df = parts.df.select(*[F.col(c).cast("string").alias(c) for c in (key, *columns)], "_kh", "_h1", "_h2", PART)
     out = parts.emit(chunks.scan, schema, chunks.carry(parts))
     # read three times: for the fingerprints, for the anti-join and for the rows
-    return checkpoint(out.select(F.col(key).cast(kinds[key]).alias(key), *columns, "h1", "h2", "trozo"))
+    return checkpoint(out.select(F.col(key).cast(kinds[key]).alias(key), *columns, "_h1", "_h2", "_trozo"))
 
 
 def diff_copies(source: DataFrame, copy: DataFrame, key: str, columns: list[str], source_newest: str | None = None, copy_newest: str | None = None, every: int = 16) -> DataFrame:
@@ -105,9 +105,9 @@ def diff_copies(source: DataFrame, copy: DataFrame, key: str, columns: list[str]
     sides = []
     for df, newest in ((source, source_newest), (copy, copy_newest)):
         sides.append(_chunked(latest(df, key, columns, newest), key, columns, every, df.count()))
-    prints = [x.groupBy("trozo").agg(F.count("*").alias("n"), F.expr("bit_xor(h1)").alias("x1"), F.expr("bit_xor(h2)").alias("x2")) for x in sides]
-    same = ["trozo", "n", "x1", "x2"]
-    left = [sides[i].join(prints[i].join(prints[1 - i], same, "left_anti").select("trozo"), "trozo", "left_semi") for i in (0, 1)]
+    prints = [x.groupBy("_trozo").agg(F.count("*").alias("_n"), F.expr("bit_xor(_h1)").alias("_x1"), F.expr("bit_xor(_h2)").alias("_x2")) for x in sides]
+    same = ["_trozo", "_n", "_x1", "_x2"]
+    left = [sides[i].join(prints[i].join(prints[1 - i], same, "left_anti").select("_trozo"), "_trozo", "left_semi") for i in (0, 1)]
     a = left[0].select(F.col(key).alias("ka"), F.struct(*columns).alias("a"))
     b = left[1].select(F.col(key).alias("kb"), F.struct(*columns).alias("b"))
     both = a.join(b, F.col("ka").eqNullSafe(F.col("kb")), "full_outer")

@@ -7,9 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from telar.operators.asof import known_at_event
 from telar.operators.ordered import OrderedParts, fold
 
 _SUMS = ("n", "suma")
+_OPEN = 2**31 - 1
 
 
 def _running(rows: pd.DataFrame, carried: tuple | None) -> list[np.ndarray]:
@@ -65,3 +67,20 @@ def covering(events: DataFrame, periods: DataFrame) -> DataFrame:
     swept = parts.emit(_scan, "id long, cubren long, suma long", fold(parts.summaries(_reduce), _step))
     unplaced = events.filter(F.col("k").isNull() | F.col("dia").isNull() | F.col("id").isNull()).select(F.col("id").cast("long").alias("id"), zero.alias("cubren"), zero.alias("suma"))
     return swept.unionByName(unplaced).select("id", "cubren", F.when(F.col("cubren") == 1, F.col("suma")).alias("valor"))
+
+
+def covered_whole(spans: DataFrame, periods: DataFrame) -> DataFrame:
+    """Whether one period covers each span from its first to its last day: id, cubierto.
+
+    spans: id long, k long, desde date, hasta date (null: the first day only). periods: k
+    long, desde date, hasta date (inclusive; null: open). Spans without a key or a first
+    day are not covered. Method: among the periods begun by the span's first day the one
+    that lasts longest is carried along; it covers the span if any does.
+    """
+    day = lambda c: F.unix_date(c).cast("long")
+    zero = F.lit(0).cast("long")
+    events = spans.select("id", "k", F.unix_date("desde").alias("t"), F.coalesce(day("hasta"), day("desde")).alias("propio"))
+    end = F.coalesce(day("hasta"), F.lit(_OPEN).cast("long"))
+    changes = periods.select("k", F.unix_date("desde").alias("t"), end.alias("a"), zero.alias("b"), zero.alias("c"), end.alias("v"))
+    found = known_at_event(events, changes).groupBy("id").agg(F.min(F.col("vigente") >= F.col("propio")).alias("cubierto"))
+    return spans.select(F.col("id").cast("long").alias("id")).distinct().join(found, "id", "left").select("id", F.coalesce("cubierto", F.lit(False)).alias("cubierto"))

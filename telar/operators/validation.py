@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telar.functions.levels import movement_shape, vitals_shape
+from telar.functions.text import EMAIL_FORM, canonical_email, valid_date
+from telar.functions.timeutil import gestational_week
+from telar.operators.coverage import covered_whole
 
 _c = F.col
 
@@ -76,3 +79,58 @@ def package_violations(sessions: DataFrame, readings: DataFrame) -> DataFrame:
         "completa_sin_fin": (_c("estado_sesion") != "COMPLETADA") | _c("fecha_fin").isNotNull(),
     }
     return violations(p, "id_sesion", lambda: rules)
+
+
+def registration_faults(df: DataFrame, key: str, today: Column) -> DataFrame:
+    """key, regla of registrations: required texts, a real day of birth that isn't in the future, a mail address, acceptance.
+
+    Columns: nombre, apellido, cedula, correo, fecha_nac (text), acepta. White space around
+    texts doesn't count; blanks are missing.
+    """
+    there = lambda c: F.length(F.trim(F.coalesce(_c(c), F.lit("")))) > 0
+    born = valid_date(F.trim(_c("fecha_nac")))
+    rules = {
+        **{f"falta_{c}": there(c) for c in ("nombre", "apellido", "cedula")},
+        "correo": F.coalesce(canonical_email(_c("correo")).rlike(EMAIL_FORM), F.lit(False)),
+        "fecha": born.isNotNull(),
+        "fecha_futura": born <= today,
+        "aceptacion": F.coalesce(_c("acepta"), F.lit(False)),
+    }
+    return violations(df, key, lambda: rules)
+
+
+# Links to patients and physicians that an account of each role has.
+LINKS = {"PACIENTE": (1, 0), "MEDICO": (0, 1), "ADMIN": (0, 0)}
+
+
+def incoherent_accounts(accounts: DataFrame, patients: DataFrame, physicians: DataFrame) -> DataFrame:
+    """Accounts (id_usuario, rol) whose numbers of links don't fit their role, or whose role is unknown."""
+    n = lambda df, a: df.groupBy("id_usuario").agg(F.count("*").alias(a))
+    both = accounts.join(n(patients, "pacientes"), "id_usuario", "left").join(n(physicians, "medicos"), "id_usuario", "left").fillna(0, ["pacientes", "medicos"])
+    ok = F.lit(False)
+    for role, (p, m) in LINKS.items():
+        ok = ok | (F.coalesce(_c("rol") == role, F.lit(False)) & (_c("pacientes") == p) & (_c("medicos") == m))
+    return both.filter(~ok).select("id_usuario", "rol", "pacientes", "medicos")
+
+
+def package_reference_faults(readings: DataFrame, sessions: DataFrame, pregnancies: DataFrame, weeks: DataFrame, assignments: DataFrame) -> DataFrame:
+    """id_sesion, regla: a pregnancy that doesn't exist, a device not assigned throughout, a week that isn't the computed one, movement before week 20.
+
+    readings: id_sesion, id_tiempo_gest, dia, mov_valor. sessions: id_sesion, id_embarazo,
+    id_dispositivo, desde, hasta (days). weeks: id_tiempo_gest, semana_gestacion.
+    assignments: id_dispositivo, id_embarazo, fecha_inicio, fecha_fin. Pairs of device and
+    pregnancy are told apart by a hash of 64 bits.
+    """
+    pair = lambda: F.xxhash64("id_dispositivo", "id_embarazo").alias("k")
+    rule = lambda df, name: df.select("id_sesion", F.lit(name).alias("regla")).distinct()
+    absent = sessions.join(pregnancies.select("id_embarazo"), "id_embarazo", "left_anti")
+    held = covered_whole(sessions.select(_c("id_sesion").alias("id"), pair(), "desde", "hasta"), assignments.select(pair(), _c("fecha_inicio").alias("desde"), _c("fecha_fin").alias("hasta")))
+    dated = readings.join(weeks, "id_tiempo_gest").join(sessions.select("id_sesion", "id_embarazo"), "id_sesion").join(pregnancies.select("id_embarazo", "fecha_inicio"), "id_embarazo")
+    computed = gestational_week(_c("dia"), _c("fecha_inicio"))
+    return (
+        rule(absent, "embarazo_inexistente")
+        .unionByName(rule(held.filter("not cubierto").withColumnRenamed("id", "id_sesion"), "dispositivo_sin_asignacion"))
+        .unionByName(rule(readings.join(weeks, "id_tiempo_gest", "left_anti"), "semana_inexistente"))
+        .unionByName(rule(dated.filter((_c("semana_gestacion") != computed) | ~computed.between(1, 42)), "semana_distinta"))
+        .unionByName(rule(dated.filter(_c("mov_valor").isNotNull() & (_c("semana_gestacion") < 20)), "movimiento_antes_de_semana_20"))
+    )

@@ -90,7 +90,7 @@ def exact_weeks(spark, d):
     return R.pregnancies(spark, d).select("id_embarazo", timeutil.exact_weeks(F.col("fecha_probable_parto"), F.col("fecha_inicio")).alias("semanas"), "duracion_est_semanas")
 
 
-@query("""with v as (select distinct id_medico, vigente_desde, cast(registrado_en as date) hasta from dim_medico_version)
+@query("""with v as (select distinct id_medico, vigente_desde, cast(registrado_en at time zone 'UTC' as date) hasta from dim_medico_version)
 select id_medico, strftime(vigente_desde, '%Y-%m-%d') desde, strftime(hasta, '%Y-%m-%d') hasta, cast(5 * floor((year(hasta) - year(vigente_desde) - case when strftime(hasta, '%m%d') < strftime(vigente_desde, '%m%d') then 1 else 0 end) / 5.0) as integer) banda from v""")
 def age_band(spark, d):
     """Five-year bands of calendar years between two days."""

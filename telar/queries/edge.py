@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telar.functions import delivery
+from telar.functions.timeutil import local_micros
 from telar.operators.ranking import numbered
 from telar.queries.registry import Registry
 from telar.session import table
@@ -27,7 +28,7 @@ def queue(spark, d) -> DataFrame:
     """One row per package: id_outbox, intentos, ultimo, estado, reintentable, proximo (microseconds)."""
     own = table(spark, d, "events").groupBy(F.col("user_id").alias("id_outbox")).agg(
         F.count("*").alias("intentos"),
-        F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("ultimo"),
+        F.max(local_micros("ts")).alias("ultimo"),
         F.bool_or((F.col("event_type") == "purchase") & (F.col("user_id") % 3 == 0)).alias("enviado"),
         F.bool_or((F.col("event_type") == "signup") & (F.col("user_id") % 5 == 0)).alias("rechazado"),
     )
@@ -76,12 +77,12 @@ def next_wakeup(spark, d):
 def attempt_trace(spark, d):
     """All attempts of each package in order."""
     number = numbered(table(spark, d, "events"), ["user_id"], "ts", ["event_id"], "numero")
-    return number.select("user_id", "numero", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_type", (F.col("event_type") == "purchase").alias("confirmo"))
+    return number.select("user_id", "numero", local_micros("ts").alias("t"), "event_type", (F.col("event_type") == "purchase").alias("confirmo"))
 
 
 @query("""select user_id, max(case when event_type = 'purchase' then epoch_us(ts) end) confirmado, max(epoch_us(ts)) ultimo, count(*) filter (event_type = 'error') errores from events group by 1""")
 def confirmation_instant(spark, d):
-    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    t = local_micros("ts")
     return table(spark, d, "events").groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "purchase", t)).alias("confirmado"), F.max(t).alias("ultimo"), F.count_if(F.col("event_type") == "error").alias("errores"))
 
 

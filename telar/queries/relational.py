@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from telar.functions import levels, timeutil
 from telar.operators.copies import symmetric_difference
-from telar.operators.coverage import covering
+from telar.operators.coverage import covered_whole, covering
 from telar.operators.ranking import single_or_null
 from telar.plans import relations as R
 from telar.queries.registry import Registry
@@ -147,6 +147,23 @@ def affiliation_check(spark, d):
     return both.groupBy(F.when(F.col("cubren") == 0, "sin_afiliacion").when(F.col("cubren") > 1, "varias").when(F.col("valor") == F.col("id_clinica"), "propia").otherwise("ajena").alias("resultado")).agg(F.count("*").alias("n"))
 
 
+@query(R.with_("hechos") + """, s as (select id_sesion, id_medico, min(cast(fecha_hora at time zone 'America/Panama' as date)) a, max(cast(fecha_hora at time zone 'America/Panama' as date)) b from hechos where id_sesion is not null group by 1, 2)
+select id_sesion, bool_and(exists (select 1 from medico_clinica m where m.id_medico = s.id_medico and m.fecha_inicio <= s.a and (m.fecha_final is null or m.fecha_final >= s.b) and (m.fecha_final is null or m.fecha_final >= m.fecha_inicio))) cubierto from s group by 1""")
+def period_covered(spark, d):
+    """Sessions all of whose days one affiliation of their physician covers."""
+    f = R.facts(spark, d, "id_sesion", "id_medico", "fecha_hora").filter("id_sesion is not null")
+    spans = f.groupBy(F.col("id_sesion").alias("id"), F.col("id_medico").alias("k")).agg(F.min(timeutil.clinical_day("fecha_hora")).alias("desde"), F.max(timeutil.clinical_day("fecha_hora")).alias("hasta"))
+    periods = table(spark, d, "medico_clinica").select(F.col("id_medico").alias("k"), F.col("fecha_inicio").alias("desde"), F.col("fecha_final").alias("hasta"))
+    return covered_whole(spans, periods).select(F.col("id").cast("int").alias("id_sesion"), "cubierto")
+
+
+@query("""select count(*) total, count(*) filter (activo) activas, count(*) filter (activo and fecha_final is null) abiertas, count(*) filter (not activo and fecha_final is null) contradictorias, count(*) filter (fecha_inicio is null) sin_inicio from medico_clinica""")
+def conditional_counts(spark, d):
+    """Several conditional counts from one scan."""
+    n = lambda x, a: F.count_if(F.expr(x)).alias(a)
+    return table(spark, d, "medico_clinica").agg(F.count("*").alias("total"), n("activo", "activas"), n("activo and fecha_final is null", "abiertas"), n("not activo and fecha_final is null", "contradictorias"), n("fecha_inicio is null", "sin_inicio"))
+
+
 @query(R.with_("embarazos", "sesiones") + "select e.id_embarazo, count(s.id_sesion) sesiones from embarazos e left join sesiones s using (id_embarazo) group by 1")
 def bridge_count(spark, d):
     """Sessions of each pregnancy, also where there are none: counted before the join."""

@@ -100,3 +100,30 @@ def test_scope(spark):
     f = spark.createDataFrame([(7, 1), (7, 1), (7, 2), (8, 3)], "id_medico int, id_embarazo int")
     ids = lambda df: sorted(r.id_embarazo for r in df.collect())
     assert ids(scope(e, "PACIENTE", 10)) == [1, 3] and ids(scope(e, "MEDICO", 7, f)) == [1, 2] and ids(scope(e, "ADMIN", 1)) == [] == ids(scope(e, "PACIENTE", 99))
+
+
+def test_registrations_and_accounts(spark):
+    from telar.operators.validation import incoherent_accounts, registration_faults
+
+    rows = [(1, "A", "B", "8-1", " X@y.z ", "1990-01-01", True), (2, " ", None, "8", "x@y", "2999-01-01", None), (3, "A", "B", "8", None, "1990-02-30", True)]
+    got = {}
+    for r in registration_faults(spark.createDataFrame(rows, "id int, nombre string, apellido string, cedula string, correo string, fecha_nac string, acepta boolean"), "id", F.lit("2025-01-01").cast("date")).collect():
+        got.setdefault(r.id, set()).add(r.regla)
+    assert got == {2: {"falta_nombre", "falta_apellido", "correo", "fecha_futura", "aceptacion"}, 3: {"correo", "fecha"}}
+    accounts = spark.createDataFrame([(1, "PACIENTE"), (2, "PACIENTE"), (3, "MEDICO"), (4, "ADMIN"), (5, None), (6, "OTRO")], "id_usuario int, rol string")
+    p = spark.createDataFrame([(1, 1), (3, 2)], "id_usuario int, id_paciente int")
+    m = spark.createDataFrame([(3, 1)], "id_usuario int, id_medico int")
+    assert sorted(r.id_usuario for r in incoherent_accounts(accounts, p, m).collect()) == [2, 3, 5, 6]
+
+
+def test_package_references(spark):
+    from telar.operators.validation import package_reference_faults
+
+    day = lambda c: F.col(c).cast("date").alias(c)
+    sessions = spark.createDataFrame([(1, 1, 1, "2025-06-01", "2025-06-01"), (2, 9, 1, "2025-06-01", None), (3, 1, 1, "2025-06-30", "2025-07-02")], "id_sesion int, id_embarazo int, id_dispositivo int, desde string, hasta string").select("id_sesion", "id_embarazo", "id_dispositivo", day("desde"), day("hasta"))
+    pregnancies = spark.createDataFrame([(1, "2025-01-06")], "id_embarazo int, fecha_inicio string").select("id_embarazo", day("fecha_inicio"))
+    assigned = spark.createDataFrame([(1, 1, "2025-01-06", "2025-06-30"), (1, 1, "2025-07-01", None)], "id_dispositivo int, id_embarazo int, fecha_inicio string, fecha_fin string").select("id_dispositivo", "id_embarazo", day("fecha_inicio"), day("fecha_fin"))
+    weeks = spark.range(1, 43).select((F.col("id") + 99).cast("int").alias("id_tiempo_gest"), F.col("id").cast("int").alias("semana_gestacion"))
+    readings = spark.createDataFrame([(1, 120, "2025-06-01", 4), (3, 110, "2025-06-30", 4), (3, 500, "2025-06-30", None)], "id_sesion int, id_tiempo_gest int, dia string, mov_valor int").select("id_sesion", "id_tiempo_gest", day("dia"), "mov_valor")
+    got = {(r.id_sesion, r.regla) for r in package_reference_faults(readings, sessions, pregnancies, weeks, assigned).collect()}
+    assert got == {(2, "embarazo_inexistente"), (2, "dispositivo_sin_asignacion"), (3, "dispositivo_sin_asignacion"), (3, "semana_inexistente"), (3, "semana_distinta"), (3, "movimiento_antes_de_semana_20")}

@@ -140,8 +140,8 @@ def test_equal_copies_compare_no_rows(spark):
     a = spark.range(3000).select("id", F.lit("x").alias("n"))
     b = a.withColumn("n", F.when(F.col("id") == 1500, "y").otherwise(F.col("n"))).filter("id <> 2500")
     sides = [copies._chunked(x, "id", ["n"], 16, 3000) for x in (a, b)]
-    prints = [x.groupBy("trozo").agg(F.count("*").alias("n"), F.expr("bit_xor(h1)").alias("x")) for x in sides]
-    left = sides[0].join(prints[0].join(prints[1], ["trozo", "n", "x"], "left_anti"), "trozo", "left_semi").count()
+    prints = [x.groupBy("_trozo").agg(F.count("*").alias("n"), F.expr("bit_xor(_h1)").alias("x")) for x in sides]
+    left = sides[0].join(prints[0].join(prints[1], ["_trozo", "n", "x"], "left_anti"), "_trozo", "left_semi").count()
     assert prints[0].count() > 100 and 0 < left < 300
 
 
