@@ -16,9 +16,13 @@ query = Registry()
 _PERSONAL = R.with_("hechos") + ", h as (select id_embarazo, id_sesion, id_lectura, epoch_us(fecha_hora) t, cast(hr_valor as double) hr, cast(spo2_valor as double) spo2, cast(mov_valor as double) mov from hechos) "
 
 
-def _facts(spark, d) -> DataFrame:
-    num = lambda c, a: F.col(c).cast("double").alias(a)
-    return R.facts(spark, d, "id_embarazo", "id_sesion", "fecha_hora", "hr_valor", "spo2_valor", "mov_valor").select("id_embarazo", "id_sesion", "id_lectura", "fecha_hora", F.unix_micros("fecha_hora").alias("t"), num("hr_valor", "hr"), num("spo2_valor", "spo2"), num("mov_valor", "mov"))
+def _facts(spark, d, *metrics: str) -> DataFrame:
+    """Facts with their instant in microseconds and the metrics asked for."""
+    own = R.facts(spark, d, "id_embarazo", "id_sesion", "fecha_hora", *[f"{m}_valor" for m in metrics])
+    return own.select("id_embarazo", "id_sesion", "id_lectura", "fecha_hora", F.unix_micros("fecha_hora").alias("t"), *[F.col(f"{m}_valor").cast("double").alias(m) for m in metrics])
+
+
+_ALL = ("hr", "spo2", "mov")
 
 
 @query(_PERSONAL + "select id_sesion, min(t) inicio, max(t) fin, count(*) n from h group by 1")
@@ -34,20 +38,20 @@ def session_sequence(spark, d):
 
 @query(_PERSONAL + "select id_embarazo, t, id_lectura, hr, spo2, mov from h qualify row_number() over (partition by id_embarazo order by t desc, id_lectura desc) = 1")
 def latest_reading(spark, d):
-    return latest_by(_facts(spark, d), ["id_embarazo"], ["t", "id_lectura"], ["hr", "spo2", "mov"])
+    return latest_by(_facts(spark, d, *_ALL), ["id_embarazo"], ["t", "id_lectura"], ["hr", "spo2", "mov"])
 
 
 @query(_PERSONAL + "select id_embarazo, " + ", ".join(f"arg_max({c}, (t, id_lectura)) filter ({c} is not null) {c}" for c in ("hr", "spo2", "mov")) + " from h group by 1")
 def latest_per_metric(spark, d):
     """The last value of each metric; zero is a value."""
     last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("t", "id_lectura", c)))[c].alias(c)
-    return _facts(spark, d).groupBy("id_embarazo").agg(*[last(c) for c in ("hr", "spo2", "mov")])
+    return _facts(spark, d, *_ALL).groupBy("id_embarazo").agg(*[last(c) for c in ("hr", "spo2", "mov")])
 
 
 @query(_PERSONAL + "select id_embarazo, t, id_lectura, hr valor from h where hr is not null order by 1, 2, 3")
 def metric_series(spark, d):
     """One metric over time, neither filled in nor averaged."""
-    return _facts(spark, d).filter("hr is not null").select("id_embarazo", "t", "id_lectura", F.col("hr").alias("valor")).orderBy("id_embarazo", "t", "id_lectura")
+    return _facts(spark, d, "hr").filter("hr is not null").select("id_embarazo", "t", "id_lectura", F.col("hr").alias("valor")).orderBy("id_embarazo", "t", "id_lectura")
 
 
 @query(_PERSONAL + """, g as (select *, coalesce('s' || id_sesion, 'l' || id_lectura) grupo from h),
@@ -75,7 +79,7 @@ def trailing_30d(spark, d):
 
 @query(_PERSONAL + "select id_embarazo, id_lectura, t, hr, spo2, mov from h qualify row_number() over (partition by id_embarazo order by t desc, id_lectura desc) <= 10")
 def top_n_recent(spark, d):
-    return top_n(_facts(spark, d), ["id_embarazo"], [F.col("t").desc(), F.col("id_lectura").desc()], 10).select("id_embarazo", "id_lectura", "t", "hr", "spo2", "mov")
+    return top_n(_facts(spark, d, *_ALL), ["id_embarazo"], [F.col("t").desc(), F.col("id_lectura").desc()], 10).select("id_embarazo", "id_lectura", "t", "hr", "spo2", "mov")
 
 
 @query(R.with_("embarazos") + "select id_embarazo, id_paciente, strftime(fecha_inicio, '%Y-%m-%d') inicio from embarazos order by fecha_inicio desc, id_embarazo desc")
