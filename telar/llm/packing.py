@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from telar.session import checkpoint, width
 
 
+#: More than there are texts of one size.
+_RANKS = 2**40
+
+
 class _Filling:
     """Containers for a histogram of sizes.
 
@@ -125,6 +131,27 @@ def fill(capacity: int, counts: dict[int, int]) -> tuple[int, list[tuple[int, in
     return filling.bins, filling.runs
 
 
+def _placing(spark: SparkSession, capacities: list[int], runs: dict[int, list[tuple[int, int, int, int, int]]]):
+    """A function of capacity, size and rank that gives the container, by binary search in the runs.
+
+    The runs are bounded by the capacities: each step of a filling ends a size or narrows a
+    gap. A size may have many, so the texts are not joined to them.
+    """
+    stride = max(capacities) + 1
+    rows = sorted((i * stride + size, lo, first, each) for i, c in enumerate(capacities) for size, lo, _, first, each in runs[c])
+    sent = spark.sparkContext.broadcast((np.array(capacities, "int64"), np.array(rows, "int64").reshape(-1, 4)))
+
+    @F.pandas_udf("long")
+    def place(capacity: pd.Series, size: pd.Series, rank: pd.Series) -> pd.Series:
+        known, table = sent.value
+        group = np.searchsorted(known, capacity.to_numpy()) * stride + size.to_numpy()
+        ranks = rank.to_numpy("int64")
+        i = np.searchsorted(table[:, 0] * _RANKS + table[:, 1], group * _RANKS + ranks, side="right") - 1
+        return pd.Series(table[i, 2] + (ranks - table[i, 1]) // table[i, 3])
+
+    return place
+
+
 def pack(sizes: DataFrame, capacities: list[int], key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
     """Which container holds what: max_tokens, id_contenedor, key, parte, desde_token, n_tokens.
 
@@ -155,15 +182,12 @@ def pack(sizes: DataFrame, capacities: list[int], key: str = "doc_id", size: str
     counts: dict[int, dict[int, int]] = {c: {} for c in capacities}
     for r in salted.groupBy("max_tokens", "n_tokens").agg(F.sum("n").alias("n")).collect():  # bounded by the capacities
         counts[r.max_tokens][r.n_tokens] = r.n
-    runs = [(c, *run) for c in capacities for run in fill(c, counts[c])[1]]
-    plan = spark.createDataFrame(runs, "max_tokens int, n_tokens int, _desde long, _hasta long, _primero long, _cada long")
+    place = _placing(spark, capacities, {c: fill(c, counts[c])[1] for c in capacities})
     before = Window.partitionBy("max_tokens", "n_tokens").orderBy("_sal").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.select(*group, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_antes"))
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(key, "parte")) - 1 + F.col("_antes")
-    ranked = items.join(offsets, group).withColumn("_rango", rank)
-    # the plan's rows are bounded by the capacities: each step of a filling ends a size or narrows a gap
-    placed = ranked.join(F.broadcast(plan), ["max_tokens", "n_tokens"]).filter((F.col("_desde") <= F.col("_rango")) & (F.col("_rango") < F.col("_hasta")))
-    return placed.select("max_tokens", (F.col("_primero") + F.floor((F.col("_rango") - F.col("_desde")) / F.col("_cada"))).cast("long").alias("id_contenedor"), key, F.col("parte").cast("int").alias("parte"), (F.col("parte") * F.col("max_tokens")).alias("desde_token"), "n_tokens")
+    placed = items.join(offsets, group).withColumn("_rango", rank)
+    return placed.select("max_tokens", place("max_tokens", "n_tokens", "_rango").alias("id_contenedor"), key, F.col("parte").cast("int").alias("parte"), (F.col("parte") * F.col("max_tokens")).alias("desde_token"), "n_tokens")
 
 
 def occupancy(packed: DataFrame) -> DataFrame:
