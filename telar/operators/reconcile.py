@@ -61,7 +61,7 @@ def report(*, readings: DataFrame, facts: DataFrame, raw_facts: DataFrame, sessi
         "afiliacion_no_aplicable": _n(held, (_c("cubren") != 1) | (_c("valor") != _c("id_clinica"))),
         "dim_clinica_distinta_del_origen": symmetric_difference(source_clinics.select(*_CLINIC), clinics.select(*_CLINIC)),
         "dim_semaforo_distinta_del_origen": symmetric_difference(source_levels, raw_levels.select(*source_levels.columns)),
-        "catalogo_semaforo_incoherente": _n(levels, ~F.expr("(codigo_nivel, prioridad) IN (('OK', 1), ('WARNING', 2), ('ERROR', 3))")),
+        "catalogo_semaforo_incoherente": _n(levels, ~F.expr("(codigo_nivel, cast(prioridad as int)) IN (('OK', 1), ('WARNING', 2), ('ERROR', 3))")),
         "dim_embarazo_duracion": _n(pregnancies, F.datediff("fecha_probable_parto", "fecha_inicio") != 7 * _c("duracion_est_semanas")),
     }
     informative = {

@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telar.functions import levels, text, timeutil
+from telar.operators.copies import symmetric_difference
 from telar.operators.coverage import covering
 from telar.operators.merging import append_anomalies, mint_pseudonyms, type1_merge
 from telar.operators.ranking import single_or_null
+from telar.operators.reconcile import report
 from telar.session import checkpoint
 from telar.sources.sinks import Published
 
@@ -122,6 +124,34 @@ def preview(new: DataFrame, held_pregnancies: DataFrame | None) -> DataFrame:
     return new.join(held.withColumn("_hay", F.lit(True)), "id_embarazo", "left").select("id_lectura", "id_sesion", "id_embarazo", "id_clinica", "id_medico", "semana_gestacion", "trimestre", F.col("fecha_clinica").cast("string").alias("fecha_clinica"), "estado_hr", "estado_spo2", "estado_mov", "semaforo_derivado", F.col("codigo_nivel").alias("semaforo_origen"), F.coalesce("_hay", F.lit(False)).alias("embarazo_en_dimension"), "reglas")
 
 
+def reconcile(t: Tables, written: Tables) -> DataFrame:
+    """control, bloqueante, discrepancias of the written star against its source; nothing is changed.
+
+    Rows of dimensions that the source no longer has count as discrepancies: they are kept
+    by the merge and reported here.
+    """
+    c = F.col
+    facts = checkpoint(written["hechos"])
+    readings = t["lecturas_biometricas"].join(t["semaforos"].select("id_semaforo", c("codigo_nivel").alias("codigo_semaforo")), "id_semaforo")
+    readings = readings.withColumn("id_lectura", c("id_lectura").cast("long")).withColumn("mov_valor", c("mov_valor").cast("int"))
+    clinic = ["id_clinica", "nombre_clinica", "provincia", "distrito"]
+    common = report(
+        readings=readings, facts=facts, raw_facts=facts, sessions=t["sesiones_monitoreo"], pregnancies=written["dim_embarazo"], raw_pregnancies=written["dim_embarazo"], physicians=written["dim_medico"], affiliations=t["medico_clinica"],
+        clinics=written["dim_clinica"].select(*clinic), source_clinics=t["clinicas"].select(*clinic), levels=written["dim_semaforo"], raw_levels=written["dim_semaforo"], source_levels=t["semaforos"],
+    )
+    source = dimensions(t)
+    other = ["dim_tiempo_gestacional", "dim_factor_riesgo", "dim_medico", "dim_paciente", "dim_embarazo", "puente_embarazo_factor"]
+    dims = {f"{n}_distinta_del_origen": symmetric_difference(source[n], written[n].select(*source[n].columns)) for n in other}
+    day = timeutil.clinical_day("fecha_hora")
+    follow = t["seguimiento_clinico"].filter("rol_seguimiento = 'PRINCIPAL'")
+    who = covering(facts.select(c("id_lectura").alias("id"), c("id_embarazo").alias("k"), day.alias("dia")), follow.select(c("id_embarazo").alias("k"), c("fecha_asignacion").alias("desde"), c("fecha_fin").alias("hasta"), c("id_medico").alias("valor")))
+    who = who.join(facts.select(c("id_lectura").alias("id"), "id_medico"), "id")
+    n = lambda cond: who.agg(F.count_if(cond).alias("discrepancias"))
+    extra = {"medico_no_resoluble": n(c("cubren") != 1), "medico_distinto_del_responsable": n((c("cubren") == 1) & (c("valor") != c("id_medico")))} | dims
+    rows = [df.select(F.lit(name).alias("control"), F.lit(True).alias("bloqueante"), "discrepancias") for name, df in extra.items()]
+    return reduce(DataFrame.unionByName, rows, common)
+
+
 def _refuse(rows: DataFrame, key: str) -> None:
     """Raises with the rules broken and their ten least ids; a count and ten ids per rule reach the driver."""
     found = rows.groupBy("regla").agg(F.count("*").alias("n"), F.min(key).alias("primera")).orderBy("regla").collect()
@@ -165,13 +195,9 @@ def run(t: Tables, star: Published) -> dict[str, int]:
     staged["seudonimos"] = map_.unionByName(minted)
 
     def check(written: Tables) -> list[str]:
-        """What was written against the source: keys, contents and level of every reading."""
-        h, src = written["hechos"], t["lecturas_biometricas"]
-        lost = src.select("id_lectura").subtract(h.select(F.col("id_lectura").cast("int"))).count()
-        twice = h.count() - h.select("id_lectura").distinct().count()
-        both = h.alias("h").join(src.withColumn("id_lectura", F.col("id_lectura").cast("long")).alias("s"), "id_lectura")
-        differ = both.filter(~F.struct("h.id_sesion", "h.hr_valor", "h.spo2_valor", F.col("h.mov_valor").cast("int"), "h.fecha_hora").eqNullSafe(F.struct("s.id_sesion", "s.hr_valor", "s.spo2_valor", F.col("s.mov_valor").cast("int"), "s.fecha_hora_captura"))).count()
-        return [f"{name}: {n}" for name, n in (("lecturas_sin_hecho", lost), ("claves_duplicadas", twice), ("contenido_divergente", differ)) if n]
+        """The blocking checks that found something in what was written."""
+        found = reconcile(t, written).filter("bloqueante and discrepancias > 0").orderBy("control").collect()
+        return [f"{r.control}: {r.discrepancias}" for r in found]
 
     star.publish(staged, check)
     return counters

@@ -59,6 +59,9 @@ def test_canonical_load_gives_the_published_counts(spark, doc, tables, tmp_path)
     assert count("estado_mov") == {"OK": 436, "WARNING": 155, "ERROR": 29}
     assert count("id_semaforo") == {100: 826, 101: 295, 102: 59}
     assert h.select("id_sesion").distinct().count() == 732
+    checks = etl.reconcile(tables, {n: star.read(n) for n in (*etl.DIMENSIONS, "hechos")}).collect()
+    assert len(checks) == 28 and sum(not r.bloqueante for r in checks) == 3 and not [r for r in checks if r.bloqueante and r.discrepancias]
+    assert {r.control: r.discrepancias for r in checks if not r.bloqueante} == {"clasificacion_embarazo_pendiente": 30, "semana_recalculada_distinta": 0, "sesiones_sin_lecturas": 0}
     factors = star.read("dim_embarazo").join(star.read("puente_embarazo_factor").groupBy("id_embarazo").count(), "id_embarazo", "left").groupBy(F.coalesce("count", F.lit(0)).alias("n")).count()
     assert {r.n: r["count"] for r in factors.collect()} == {0: 14, 1: 9, 2: 7}
 
