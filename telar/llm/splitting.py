@@ -14,17 +14,16 @@ from telar.llm.tokens import VOCABULARY, encode, token_bytes
 
 #: Kinds of boundary from the best to the worst, and what a cut there costs.
 KINDS = ["titulo", "parrafo", "linea", "oracion", "palabra", "token"]
-COSTS = np.array([1.0, 2.0, 4.0, 6.0, 12.0, 40.0])
+COSTS = np.array([1.0, 2.0, 4.0, 6.0, 12.0, 40.0])  # _candidates relies on how far the last lies above the others
 FINAL = "fin"
 #: Weight of a piece's squared departure from the even size, in limits.
 IMBALANCE = 8.0
-#: The limit is parted into so many stretches; of each the best boundary is a candidate.
-STRETCHES = 16
-#: Texts are worked on together up to this many bytes.
-BYTES_AT_ONCE = 16_000_000
+#: Texts are worked on together up to this many bytes, and their pieces weighed up to this many at once.
+BYTES_AT_ONCE = 6_000_000
+WAYS_AT_ONCE = 200_000
+_FAR = 2**30
 #: A limit must exceed its overlap by this many tokens, for no character takes more of them than four.
 LEAST_STEP = 8
-_WORST = 2**40
 
 
 @dataclass(frozen=True)
@@ -72,94 +71,179 @@ def _is(characters: bytes) -> np.ndarray:
     return out
 
 
-def _stretch(limit: Limit) -> int:
-    return max(1, (limit.tokens - limit.overlap) // STRETCHES)
-
-
 def _candidates(t: _Texts, limit: Limit) -> tuple[np.ndarray, np.ndarray]:
-    """Text and boundary (token of the whole list) of the best boundary in each stretch of the texts over the limit."""
-    step = _stretch(limit)
-    over = np.flatnonzero(t.n > limit.tokens)
-    blocks = -(-t.n[over] // step)
-    text = np.repeat(over, blocks)
-    within = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    starts = t.first[text] + within * step
+    """Text and boundary (token of the whole list) where an optimal plan may cut the texts over the limit.
+
+    All boundaries between characters, but for those inside a word that fits a piece: cuts
+    before and after the word (l, r) cost less than one inside it (i). They make a piece of
+    size t, and those beside it shorter by c and d; in limits c + d <= t <= 1, the two have
+    at least c and d, and e <= 1 is the even size. The departures grow by no more than
+    (t - e)^2 + 2 e (c + d) - c^2 - d^2 <= t^2 / 2 + e^2 <= 3 / 2, times IMBALANCE, which is
+    less than a token's price over two of a space. Where one of the two cuts or both are
+    there or passed already, leaving out i gains more.
+    """
+    held = np.repeat(t.n > limit.tokens, t.n)
     local = np.arange(len(t.kind)) - np.repeat(t.first[:-1], t.n)
-    # of boundaries of one kind the last of the stretch
-    key = t.kind * 2**32 + (2**32 - 1 - np.arange(len(t.kind)))
-    key[~t.whole | (local <= limit.overlap)] = _WORST
-    ends = np.minimum(starts + step, t.first[text + 1])
-    # reduceat takes what lies between pairs of bounds; texts within the limit lie between them too
-    bounds = np.empty(2 * len(starts), "int64")
-    bounds[0::2], bounds[1::2] = starts, ends
-    best = np.minimum.reduceat(np.r_[key, _WORST], bounds)[0::2] if len(starts) else np.empty(0, "int64")
-    good = best < _WORST
-    return text[good], 2**32 - 1 - best[good] % 2**32
+    free = t.whole & held & (local > limit.overlap)
+    natural = free & (t.kind < 5)
+    mark = natural.copy()
+    mark[t.first[:-1]] = True
+    word = np.diff(np.r_[np.flatnonzero(mark), len(mark)])
+    short = word + limit.overlap + (3 if limit.overlap else 0) <= limit.tokens
+    at = np.flatnonzero(natural | free & ~np.repeat(short, word))
+    return np.searchsorted(t.first, at, side="right") - 1, at
+
+
+class _Ways:
+    """All pieces an optimal plan may have: nodes (a text's beginning, candidates and end) and, per node, where its piece may begin.
+
+    A cut isn't worth more than a better one nearby (less price by over twice IMBALANCE
+    times the distance in limits, which is what the move can add to the departures of the
+    two pieces): a plan with it gets cheaper by moving the cut there, or by leaving it out
+    where another one lies between. So in an optimal plan the better one to the right lies
+    beyond the reach of the piece before, and the better one to the left beyond that of
+    the piece after. Beginning and end count as better ones, without a price.
+    """
 
+    def __init__(self, t: _Texts, limit: Limit):
+        most, lap = limit.tokens, limit.overlap
+        self.text = over = np.flatnonzero(t.n > most)
+        text, at = _candidates(t, limit)
+        lane = (np.cumsum(t.n > most) - 1)[text]
+        #: Steps of each text after its beginning, and the node of its beginning.
+        self.steps = np.bincount(lane, minlength=len(over)) + 1
+        self.off = np.cumsum(self.steps + 1) - self.steps - 1
+        size = int((self.steps + 1).sum())
+        where = np.arange(len(at)) + 2 * lane + 1
+        first, n = t.first[over].astype("int32"), t.n[over].astype("int32")
+        node = np.repeat(np.arange(len(over), dtype="int32"), self.steps + 1)
+        #: Last and first token of the pieces that end and begin at a node, of the whole list.
+        end, begin = first[node], first[node]
+        end[where] = at
+        begin_of = np.maximum.accumulate(np.where(t.whole, np.arange(len(t.whole)), 0))
+        begin[where] = begin_of[at - lap]
+        last = self.off + self.steps
+        end[last] = begin[last] = first + n
+        kind = np.full(size, -1, "int8")
+        kind[where] = t.kind[at]
+        self.price = np.r_[COSTS, 0.0][kind]
+        right, left = np.full(size, _FAR, "int32"), np.full(size, -_FAR, "int32")
+        better = [np.flatnonzero(kind <= k) for k in range(-1, len(KINDS) - 1)]
+        for beside, of in ((right, [np.repeat(x, np.diff(np.r_[-1, x])) for x in better]), (left, [np.repeat(x, np.diff(np.r_[x, size])) for x in better])):
+            for k in range(len(KINDS)):
+                own = np.flatnonzero(kind == k)
+                for nearest in of[k::-1]:
+                    r = nearest[own]
+                    near = 2 * IMBALANCE * (np.abs(end[r] - end[own]) + 3) < (COSTS[k] - self.price[r]) * most
+                    beside[own[near]] = (end if beside is right else begin)[r[near]]
+                    own = own[~near]
+        least = _least_piece(kind, end, begin, limit)
+        below = np.cumsum(np.bincount(begin, minlength=len(t.kind) + 1))
+        below = below.astype("int32")
+        reached = lambda x: below[np.maximum(x - 1, 0)] * (x > 0)
+        #: First and beyond-the-last node at which a piece that ends here may begin.
+        self.lo = np.maximum(reached(end - most), self.off.astype("int32")[node])
+        self.hi = np.maximum(np.minimum(reached(np.minimum(right - most, end - least + 1)), np.arange(size, dtype="int32")), self.lo)
+        self.hi[self.off] = self.lo[self.off]
+        #: A piece that begins at a node ends beyond the reach from the better cut to the left, and isn't too small.
+        self.far, self.left = end - most, np.maximum(left, begin + least - most - 1)
+        pieces = -(-(n - lap) // (most - lap))
+        even = (n + (pieces - 1) * lap) / pieces
+        self.end, self.begin = end - first[node], begin - first[node]
+        unit = np.sqrt(IMBALANCE) / most
+        self.x, self.y = (self.end - even[node]) * unit, self.begin * unit
+
+
+def _least_piece(kind: np.ndarray, end: np.ndarray, begin: np.ndarray, limit: Limit) -> np.ndarray:
+    """Tokens that the pieces before and after a cut have at least in an optimal plan; 0 where nothing is known.
+
+    In a long run of tokens without a natural boundary, each a character or more: pieces
+    beside a cut differ by a token at most, or moving it by one would even them. K cuts
+    one after the other are needed, which is to say that one less would leave a piece over
+    the limit, as long as K pieces' departures (at most IMBALANCE each) cost less than a cut.
+    So K + 1 pieces hold more than K limits and one overlap, and each of them a (K + 1)th
+    of it less K / 2. The next cut on either side lies at most a step away, so a run holds
+    as many more cuts as it holds steps.
+    """
+    step = limit.tokens - limit.overlap
+    even = np.zeros(len(kind), bool)
+    one = (np.diff(end) == 1) & (np.diff(begin) == 1)
+    even[1:-1] = (kind[1:-1] == 5) & one[1:] & one[:-1]
+    here = np.arange(len(kind), dtype="int32")
+    before = here - np.maximum.accumulate(np.where(even, -1, here)) - 1
+    after = np.minimum.accumulate(np.where(even, len(kind), here)[::-1])[::-1] - here - 1
+    cuts = np.clip(1 + before // step + after // step, 0, int(np.ceil(COSTS[5] / IMBALANCE)) - 1)
+    return np.where(even, (cuts * limit.tokens + limit.overlap) // (cuts + 1) - (cuts + 1) // 2, 0).astype("int32")
+
+
+def _edges(w: _Ways, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the node among dst, node where its piece begins, and the piece's price, of all ways to the nodes."""
+    lo = w.lo[dst]
+    many = w.hi[dst] - lo
+    src = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+    row = np.repeat(np.arange(len(dst), dtype="int32"), many)
+    ok = np.flatnonzero(w.left[src] < w.far[dst][row])
+    row, src = row[ok], src[ok]
+    way = w.x[dst][row] - w.y[src]
+    way *= way
+    return row, src, way
 
-def _plan(t: _Texts, limits: list[Limit]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(limit's place, text, ends, begins) of the pieces, in tokens of the text.
 
-    All texts and limits advance together, candidate by candidate: the cheapest way to
-    end a piece at a candidate comes from one of the last ones that the limit reaches.
-    """
-    begin_of = np.maximum.accumulate(np.where(t.whole, np.arange(len(t.whole)), 0))
-    lanes = []
+def _plan(t: _Texts, limits: list[Limit]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(limit's place, text, ends, begins) of the pieces, in tokens of the text."""
     for place, limit in enumerate(limits):
-        text, at = _candidates(t, limit)
-        for i, own in zip(*_groups(text, at)):
-            lanes.append((len(own) + 1, place, i, own - t.first[i]))
-    if not lanes:
-        return
-    lanes.sort(key=lambda x: -x[0])
-    # candidates lie at most one to a stretch; a piece reaches back over its new tokens, and up to
-    # three more where a character would be cut, and the text's beginning is one more
-    reach = max(-(-(x.tokens - x.overlap + 3) // _stretch(x)) for x in limits) + 2
-    length = np.array([x[0] for x in lanes])
-    off = np.cumsum(length + 1 + reach) - (length + 1)
-    size = int(off[-1] + length[-1] + 1)
-    cost, best = np.full(size, np.inf), np.zeros(size, "int64")
-    end, begin, price = np.zeros(size, "int64"), np.zeros(size, "int64"), np.zeros(size)
-    for (_, place, i, own), o in zip(lanes, off):
-        cost[o] = 0.0
-        span = slice(o + 1, o + 1 + len(own))
-        end[span] = own
-        begin[span] = begin_of[own - limits[place].overlap + t.first[i]] - t.first[i]
-        price[span] = COSTS[t.kind[own + t.first[i]]]
-        end[o + 1 + len(own)] = t.n[i]
-    most = np.array([limits[x[1]].tokens for x in lanes])
-    lap = np.array([limits[x[1]].overlap for x in lanes])
-    total = t.n[[x[2] for x in lanes]]
-    pieces = -(-(total - lap) // (most - lap))
-    even = (total + (pieces - 1) * lap) / pieces
-    back = np.arange(1, reach + 1)
-    active = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")
-    for j in range(1, length[0] + 1):
-        k = active[j - 1]
-        here = off[:k] + j
-        before = here[:, None] - back
-        n = end[here][:, None] - begin[before]
-        off_even = (n - even[:k, None]) / most[:k, None]
-        way = np.where(n <= most[:k, None], cost[before] + IMBALANCE * off_even * off_even, np.inf)
-        pick = way.argmin(axis=1)
-        rows = np.arange(k)
-        cost[here] = way[rows, pick] + price[here]
-        best[here] = here - back[pick]
-    for (n, place, i, _), o in zip(lanes, off):
-        ends, begins, at = [], [], int(o + n)
-        while at > o:
-            prior = int(best[at])
-            ends.append(end[at])
-            begins.append(begin[prior])
-            at = prior
-        yield place, i, np.array(ends[::-1]), np.array(begins[::-1])
-
-
-def _groups(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    if not len(text):
-        return text, []
-    cut = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-    return text[cut], np.split(at, cut[1:])
+        if (t.n > limit.tokens).any():
+            w = _Ways(t, limit)
+            for i, ends, begins in _cheapest(w):
+                yield place, i, ends, begins
+
+
+def _cheapest(w: _Ways) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Text, ends and begins of its pieces. All texts advance together, node by node; the ways of some steps are made at once."""
+    size, lanes = len(w.price), np.arange(len(w.text))
+    # nodes by step, the longest texts first, so that those of a step lie together
+    rank = np.empty(len(lanes), "int64")
+    rank[np.argsort(-w.steps, kind="stable")] = lanes
+    active = np.searchsorted(np.sort(-w.steps), -np.arange(1, w.steps.max() + 1), side="right")
+    bound = np.r_[0, np.cumsum(active)]
+    step = np.arange(size) - np.repeat(w.off, w.steps + 1)
+    later = np.flatnonzero(step)
+    turn = np.empty(len(later), "int64")
+    turn[bound[step[later] - 1] + np.repeat(rank, w.steps)] = later
+    del step, later
+    work = np.r_[0, np.cumsum((w.hi - w.lo)[turn] + 1, dtype="int64")][bound]
+    cost = np.full(size, np.inf)
+    cost[w.off] = 0.0
+    j = 0
+    while j < len(bound) - 1:
+        to = max(j + 1, int(np.searchsorted(work, work[j] + WAYS_AT_ONCE, side="right")) - 1)
+        dst = turn[bound[j] : bound[to]]
+        row, src, way = _edges(w, dst)
+        many = np.bincount(row, minlength=len(dst))
+        some = np.flatnonzero(many)
+        cut = np.r_[0, np.cumsum(many)]
+        begins, dst = cut[some], dst[some]
+        price = w.price[dst]
+        at = bound[j : to + 1] - bound[j]
+        e, d = cut[at].tolist(), np.searchsorted(some, at).tolist()
+        for e0, e1, d0, d1 in zip(e, e[1:], d, d[1:]):
+            if d0 < d1:
+                cost[dst[d0:d1]] = np.minimum.reduceat(cost[src[e0:e1]] + way[e0:e1], begins[d0:d1] - e0) + price[d0:d1]
+        j = to
+    at, found = w.off + w.steps, []
+    while len(lanes):
+        row, src, way = _edges(w, at)
+        way += cost[src]
+        cut = np.r_[0, np.flatnonzero(np.diff(row)) + 1]
+        least = np.flatnonzero(way == np.minimum.reduceat(way, cut)[row])
+        prior = src[least[np.r_[np.diff(row[least]) > 0, True]]]  # the last of equals
+        found.append((lanes, w.end[at], w.begin[prior]))
+        more = prior > w.off[lanes]
+        lanes, at = lanes[more], prior[more]
+    lane, end, begin = (np.concatenate(x[::-1]) for x in zip(*found))
+    by = np.argsort(lane, kind="stable")
+    cut = np.cumsum(np.bincount(lane))[:-1]
+    yield from zip(w.text.tolist(), np.split(end[by], cut), np.split(begin[by], cut))
 
 
 def _pieces(keys: list, texts: list[bytes], limits: list[Limit], vocabulary: str) -> Iterator[tuple]:
@@ -194,10 +278,11 @@ def split(docs: DataFrame, limits: list[tuple[int, int]], key: str = "doc_id", t
     between tokens only; where there is no natural boundary, between two tokens that don't
     share a character. Repeated rows are cut each for itself.
 
-    Method: dynamic programming over boundary positions. Each text is encoded once; of
-    every sixteenth of a limit the best boundary is a candidate; the cuts with the least
-    sum of penalties and of squared departures from the even size are found for all texts
-    of a batch and all limits at once. Whole texts are worked on, however long they are.
+    Method: dynamic programming over boundary positions. Each text is encoded once; the
+    cuts with the least sum of penalties and of squared departures from the even size are
+    found for all texts of a batch and all limits at once. Boundaries and pieces are left
+    out only where a plan with them can be made cheaper, so the sum is the least over all
+    boundaries between characters. Whole texts are worked on, however long they are.
     """
     own = sorted({Limit(int(a), int(b or 0)) for a, b in limits}, key=lambda x: (x.tokens, x.overlap))
     if not own:

@@ -71,6 +71,33 @@ def test_dynamic_programming_finds_the_cheapest_cuts():
     assert abs(got - cost(0)) < 1e-9
 
 
+def cheapest(t, limit):
+    """The least cost of cutting a text, over all boundaries between characters."""
+    n = len(t.kind)
+    ends = np.array([0, *[x for x in range(limit.overlap + 1, n) if t.whole[x]], n])
+    begins = np.maximum.accumulate(np.where(t.whole, np.arange(n), 0))[np.maximum(ends - limit.overlap, 0) % n]
+    pieces = -(-(n - limit.overlap) // (limit.tokens - limit.overlap))
+    even = (n + (pieces - 1) * limit.overlap) / pieces
+    cost = np.zeros(len(ends))
+    for j in range(1, len(ends)):
+        size = ends[j] - begins[:j]
+        ways = cost[:j] + S.IMBALANCE * ((size - even) / limit.tokens) ** 2
+        cost[j] = ways[size <= limit.tokens].min(initial=np.inf) + (S.COSTS[t.kind[ends[j]]] if ends[j] < n else 0)
+    return cost[-1], even
+
+
+@pytest.mark.parametrize("limit", [Limit(16, 0), Limit(24, 8), Limit(33, 25), Limit(128, 0), Limit(256, 32), Limit(512, 64)])
+def test_no_boundary_gives_cheaper_cuts(limit):
+    texts = [text(s, 900) for s in range(5)] + [PROSE * 30, "palabra " * 700, "y" * 5000, "uno, dos. " * 3 + "x1y2" * 900 + "\nfin. " * 90]
+    for x in texts:
+        ids = np.array(encode(VOCABULARY, x))
+        t = S._Texts([x.encode()], [ids], VOCABULARY)
+        for _, _, ends, begins in S._plan(t, [limit]):
+            least, even = cheapest(t, limit)
+            got = (S.IMBALANCE * ((ends - begins - even) / limit.tokens) ** 2).sum() + S.COSTS[t.kind[ends[:-1]]].sum()
+            assert abs(got - least) < 1e-6
+
+
 def test_cuts_prefer_natural_boundaries():
     t = "".join(f"# Parte {i}\n\n" + "La gestante refiere movimientos fetales normales. " * 6 + "\n\n" for i in range(12))
     kinds = [x[5] for x in S._pieces([1], [t.encode()], [Limit(128, 0)], VOCABULARY)]
