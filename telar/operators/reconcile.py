@@ -21,12 +21,17 @@ def _n(df: DataFrame, where: Column | str | None = None) -> DataFrame:
     return df.agg((F.count("*") if where is None else F.count_if(F.expr(where) if isinstance(where, str) else where)).alias("discrepancias"))
 
 
-def report(*, readings: DataFrame, facts: DataFrame, raw_facts: DataFrame, sessions: DataFrame, pregnancies: DataFrame, raw_pregnancies: DataFrame, physicians: DataFrame, affiliations: DataFrame, clinics: DataFrame, source_clinics: DataFrame, levels: DataFrame, raw_levels: DataFrame, source_levels: DataFrame) -> DataFrame:
+def report(*, readings: DataFrame, facts: DataFrame, raw_facts: DataFrame, sessions: DataFrame, pregnancies: DataFrame, raw_pregnancies: DataFrame, physicians: DataFrame, affiliations: DataFrame, clinics: DataFrame, source_clinics: DataFrame, levels: DataFrame, raw_levels: DataFrame, source_levels: DataFrame, star: dict[str, DataFrame] | None = None) -> DataFrame:
     """control, bloqueante, discrepancias. A load may be published if every blocking check has none.
 
     All checks are one plan: those over the facts alone share one scan, comparisons are
     distinct set differences in which nulls are equal, and periods are swept (see
     ``covering``) instead of joined by ranges.
+
+    star: dim_paciente, dim_tiempo_gestacional, dim_factor_riesgo and puente_embarazo_factor of
+    a written star. With them orphans are looked for in all of it: facts in all six
+    dimensions, where a null key is an orphan, physicians and patients without their clinic
+    (null is none), pregnancies without patient, and bridge rows without pregnancy or factor.
     """
     readings, facts = checkpoint(readings), checkpoint(facts)  # most checks read them
     leveled = facts.join(levels.select("id_semaforo", "codigo_nivel"), "id_semaforo")
@@ -38,8 +43,19 @@ def report(*, readings: DataFrame, facts: DataFrame, raw_facts: DataFrame, sessi
     dated = facts.select("id_lectura", "id_embarazo", "id_tiempo_gestacional", clinical_day("fecha_hora").alias("dia")).join(pregnancies.select("id_embarazo", "fecha_inicio", "fecha_cierre"), "id_embarazo")
     weeks = F.signum(F.datediff("dia", "fecha_inicio").cast("double")) * F.floor(F.abs(F.datediff("dia", "fecha_inicio")) / 7) + 1  # towards zero, as integer division
 
-    missing = lambda df, other, key: df.filter(_c(key).isNotNull()).join(other.select(key).distinct(), key, "left_anti")
-    no_parent = reduce(DataFrame.unionByName, [missing(facts, other, key).select("id_lectura") for other, key in ((sessions, "id_sesion"), (pregnancies, "id_embarazo"), (clinics, "id_clinica"), (physicians, "id_medico"), (levels, "id_semaforo"))])
+    unmatched = lambda df, other, key: df.join(other.select(key).distinct(), key, "left_anti")
+    missing = lambda df, other, key: unmatched(df.filter(_c(key).isNotNull()), other, key)
+    of_facts = [(pregnancies, "id_embarazo"), (clinics, "id_clinica"), (physicians, "id_medico"), (levels, "id_semaforo")]
+    loose = [missing(pregnancies, clinics, "id_clinica")]
+    if star is not None:
+        patients = star["dim_paciente"]
+        of_facts += [(patients, "id_paciente"), (star["dim_tiempo_gestacional"], "id_tiempo_gestacional")]
+        linked = star["puente_embarazo_factor"]
+        for other, key in ((pregnancies, "id_embarazo"), (star["dim_factor_riesgo"], "id_factor_riesgo")):
+            linked = linked.join(other.select(key, F.lit(True).alias(f"_{key}")).distinct(), key, "left")
+        loose += [missing(physicians, clinics, "id_clinica"), missing(patients, clinics, "id_clinica"), unmatched(pregnancies, patients, "id_paciente"), linked.filter("_id_embarazo is null or _id_factor_riesgo is null")]
+    in_facts = missing if star is None else unmatched
+    no_parent = reduce(DataFrame.unionByName, [x.select("id_lectura") for x in (missing(facts, sessions, "id_sesion"), *[in_facts(facts, other, key) for other, key in of_facts])])
     held = covering(
         facts.select(_c("id_lectura").alias("id"), _c("id_medico").alias("k"), clinical_day("fecha_hora").alias("dia")),
         affiliations.select(_c("id_medico").alias("k"), _c("fecha_inicio").alias("desde"), _c("fecha_final").alias("hasta"), _c("id_clinica").alias("valor")),
@@ -57,7 +73,7 @@ def report(*, readings: DataFrame, facts: DataFrame, raw_facts: DataFrame, sessi
         "fecha_fuera_del_embarazo": _n(dated, "dia < fecha_inicio or dia > fecha_cierre"),
         "claves_duplicadas": raw_facts.agg((F.count("*") - F.countDistinct("id_lectura")).alias("discrepancias")),
         "huerfanos_del_hecho": _n(no_parent.distinct()),
-        "huerfanos_de_dimensiones": _n(missing(pregnancies, clinics, "id_clinica")),
+        "huerfanos_de_dimensiones": _n(reduce(DataFrame.unionByName, [x.select(F.lit(1).alias("uno")) for x in loose])),
         "afiliacion_no_aplicable": _n(held, (_c("cubren") != 1) | (_c("valor") != _c("id_clinica"))),
         "dim_clinica_distinta_del_origen": symmetric_difference(source_clinics.select(*_CLINIC), clinics.select(*_CLINIC)),
         "dim_semaforo_distinta_del_origen": symmetric_difference(source_levels, raw_levels.select(*source_levels.columns)),

@@ -138,6 +138,7 @@ def reconcile(t: Tables, written: Tables) -> DataFrame:
     common = report(
         readings=readings, facts=facts, raw_facts=facts, sessions=t["sesiones_monitoreo"], pregnancies=written["dim_embarazo"], raw_pregnancies=written["dim_embarazo"], physicians=written["dim_medico"], affiliations=t["medico_clinica"],
         clinics=written["dim_clinica"].select(*clinic), source_clinics=t["clinicas"].select(*clinic), levels=written["dim_semaforo"], raw_levels=written["dim_semaforo"], source_levels=t["semaforos"],
+        star=written,
     )
     source = dimensions(t)
     other = ["dim_tiempo_gestacional", "dim_factor_riesgo", "dim_medico", "dim_paciente", "dim_embarazo", "puente_embarazo_factor"]

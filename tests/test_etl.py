@@ -105,6 +105,34 @@ def test_faults_are_rows_and_stop_the_run(spark, doc, tables, tmp_path):
     assert {r.regla for r in etl.dimension_faults(two).collect()} == {"telefono_ambiguo_medico", "duracion_no_exacta"}
 
 
+def test_orphans_of_a_written_star(spark, tables):
+    star = etl.dimensions(tables) | {"hechos": etl.facts_of(etl.new_readings(tables, None))}
+    star = {n: df.localCheckpoint() for n, df in star.items()}
+    one = lambda n, key, value, to: star[n].withColumn(key, F.when(F.col(value[0]) == value[1], to).otherwise(F.col(key)))
+    h = star["hechos"].toPandas()
+    reading, patient, week = int(h.id_lectura[0]), int(h.id_paciente[0]), int(h.id_tiempo_gestacional[0])
+    physician, pregnancy = star["dim_medico"].first().id_medico, star["dim_embarazo"].first().id_embarazo
+    link = star["puente_embarazo_factor"].first()
+    links = {c: star["puente_embarazo_factor"].filter(F.col(c) == link[c]).count() for c in ("id_embarazo", "id_factor_riesgo")}
+    own = star["dim_embarazo"].filter(F.col("id_paciente") == patient).count()
+    cases = [
+        ({}, 0, 0),
+        ({"dim_paciente": star["dim_paciente"].filter(F.col("id_paciente") != patient)}, int((h.id_paciente == patient).sum()), own),
+        ({"dim_tiempo_gestacional": star["dim_tiempo_gestacional"].filter(F.col("id_tiempo_gestacional") != week)}, int((h.id_tiempo_gestacional == week).sum()), 0),
+        *[({"hechos": one("hechos", key, ("id_lectura", reading), None)}, 1, 0) for key in ("id_paciente", "id_medico", "id_clinica", "id_tiempo_gestacional", "id_embarazo", "id_semaforo")],
+        ({"dim_medico": one("dim_medico", "id_clinica", ("id_medico", physician), 999)}, 0, 1),
+        ({"dim_medico": one("dim_medico", "id_clinica", ("id_medico", physician), None)}, 0, 0),
+        ({"dim_paciente": one("dim_paciente", "id_clinica", ("id_paciente", patient), 999)}, 0, 1),
+        ({"dim_embarazo": one("dim_embarazo", "id_paciente", ("id_embarazo", pregnancy), None)}, 0, 1),
+        ({"puente_embarazo_factor": one("puente_embarazo_factor", "id_embarazo", ("id_embarazo", link.id_embarazo), 999)}, 0, links["id_embarazo"]),
+        ({"puente_embarazo_factor": star["puente_embarazo_factor"].withColumn("id_embarazo", F.lit(999)).withColumn("id_factor_riesgo", F.lit(999))}, 0, 23),
+        ({"dim_factor_riesgo": star["dim_factor_riesgo"].filter(F.col("id_factor_riesgo") != link.id_factor_riesgo)}, 0, links["id_factor_riesgo"]),
+    ]
+    for changed, facts, dimensions in cases:
+        found = etl.reconcile(tables, star | changed).filter("control in ('huerfanos_del_hecho', 'huerfanos_de_dimensiones')").collect()
+        assert {r.control: r.discrepancias for r in found} == {"huerfanos_del_hecho": facts, "huerfanos_de_dimensiones": dimensions}, changed
+
+
 def test_publication_is_all_or_nothing(spark, tmp_path):
     p = Published(spark, str(tmp_path / "p"))
     one, two = spark.range(3), spark.range(5)
