@@ -193,8 +193,8 @@ def _fences(seen: DataFrame, fields: list[Field], limits: Limits) -> DataFrame:
         F.count("*").alias("n"),
         F.kll_sketch_agg_bigint(F.when(F.col("usable"), F.col("salto2")), limits.sketch_k).alias("croquis"),
         F.count_if("usable").alias("usables"),
-        F.count_if("cabeza").alias("rachas"),
-        F.count_if(F.col("cabeza") & (F.col("racha") > 1)).alias("rachas_varias"),
+        F.count_if(F.col("cabeza") & (F.col("racha") < limits.least_run)).alias("rachas"),
+        F.count_if(F.col("cabeza") & F.col("racha").between(2, limits.least_run - 1)).alias("rachas_varias"),
     )
     devices = contexts.groupBy("d", "f").agg(
         F.kll_merge_agg_bigint("croquis", limits.sketch_k).alias("croquis"),
@@ -216,8 +216,10 @@ def _fences(seen: DataFrame, fields: list[Field], limits: Limits) -> DataFrame:
     near = q(0.75) - q(0.25)
     wide = F.when(F.col("usables") >= limits.least_values, F.least((q(0.9) - q(0.1)) / 1.9, F.when(near > 0, 2.0 * near)))
     all_day = devices.select("d", "f", *quartiles(limits.least_values, wide), "rachas", "rachas_varias").withColumnsRenamed({"q1": "d1", "q3": "d3", "iqr": "d_iqr"})
-    same = F.least(F.lit(0.9), F.greatest(F.lit(0.01), F.col("rachas_varias") / F.col("rachas")))
-    long_run = F.greatest(F.lit(float(limits.least_run)), F.ceil(1 + (F.lit(math.log(limits.run_chance)) - F.log(F.col("rachas"))) / F.log(same)))
+    # runs that may be cases are no norm; where there is nothing else, the source doesn't vary and they are cases
+    ordinary = F.greatest(F.lit(1), F.col("rachas"))
+    same = F.least(F.lit(0.9), F.greatest(F.lit(0.01), F.col("rachas_varias") / ordinary))
+    long_run = F.greatest(F.lit(float(limits.least_run)), F.ceil(1 + (F.lit(math.log(limits.run_chance)) - F.log(ordinary)) / F.log(same)))
     noisy = F.coalesce(F.col("iqr") > limits.context_noise * F.col("d_iqr"), F.lit(False))
     reach = limits.expand * F.when(noisy, F.col("iqr")).otherwise(F.col("d_iqr"))
     return own.join(all_day, ["d", "f"]).select(

@@ -187,6 +187,15 @@ def test_flagged_measurements(spark):
     assert flag_measurements(df.limit(0), "id", "disp", "en", FIELDS).count() == 0
 
 
+def test_a_source_that_does_not_vary_is_stuck(spark):
+    at = dt.datetime(2024, 1, 1)
+    values = {1: [72.0] * 8, 2: [72.0] * 66, 3: [72.0] * 40 + [80.0] * 30, 4: [72.0] * 7, 5: [72.0] * 9 + [70.0 + i % 7 for i in range(60)]}
+    rows = [(1000 * d + i, d, at + dt.timedelta(minutes=i), v, None) for d, own in values.items() for i, v in enumerate(own)]
+    df = spark.createDataFrame(rows, "id long, disp long, en timestamp, hr double, mov int")
+    found = flag_measurements(df, "id", "disp", "en", FIELDS).filter("atascado").groupBy("disp").count().collect()
+    assert {r.disp: r["count"] for r in found} == {1: 8, 2: 66, 3: 70, 5: 9}
+
+
 def test_flags_do_not_depend_on_the_partitions(spark):
     rows, cases = readings(5)
     df = spark.createDataFrame([(i, d, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=t), h, m) for i, d, t, h, m in rows], "id int, disp int, en timestamp, hr double, mov int")
