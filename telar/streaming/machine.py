@@ -92,3 +92,11 @@ def admit(accepted: list[int], now: int, budget: int, window_ms: int) -> tuple[l
     """Sliding window: whether a request is let in. Refused requests are not recorded."""
     live = [t for t in accepted if t > now - window_ms]
     return (live, False) if len(live) >= budget else ([*live, now], True)
+
+
+def admit_shared(accepted: list[tuple[str | None, int]], origin: str | None, now: int, budget: int, total: int, window_ms: int) -> tuple[list[tuple[str | None, int]], bool]:
+    """Sliding window with a budget per origin and one for all of them. Refused requests spend neither."""
+    live = [(o, t) for o, t in accepted if t > now - window_ms]
+    if sum(o == origin for o, _ in live) >= budget or len(live) >= total:
+        return live, False
+    return [*live, (origin, now)], True

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from telar.functions import delivery
 from telar.streaming import machine
 
 #: The state store that transformWithState needs.
@@ -115,6 +117,51 @@ class _Limit(StatefulProcessor):
         pass
 
 
-def rate_limit(stream: DataFrame, budget: int, window_ms: int) -> DataFrame:
-    """stream: origen string, llegada long, t long (ms). Gives each request and whether it was let in; the state holds at most ``budget`` times."""
-    return stream.select("origen", "llegada", "t").groupBy("origen").transformWithState(_Limit(budget, window_ms), "origen string, llegada long, t long, aceptada boolean", "Append", "None")
+class _SharedLimit(StatefulProcessor):
+    def __init__(self, budget: int, total: int, window_ms: int):
+        self.budget, self.total, self.window_ms = budget, total, window_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("aceptadas", "origen array<string>, t array<long>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        accepted = list(zip(*self.state.get())) if self.state.exists() else []
+        for r in _in_order(rows):
+            accepted, ok = machine.admit_shared(accepted, r.origen, r.t, self.budget, self.total, self.window_ms)
+            yield Row(origen=r.origen, llegada=r.llegada, t=r.t, aceptada=ok)
+        self.state.update(([o for o, _ in accepted], [t for _, t in accepted]))
+
+    def close(self) -> None:
+        pass
+
+
+def rate_limit(stream: DataFrame, budget: int, window_ms: int, total: int | None = None) -> DataFrame:
+    """stream: origen string, llegada long, t long (ms). Gives each request and whether it was let in; the state holds at most ``budget`` times.
+
+    total: budget of all origins together. Each request then depends on those of all
+    origins before it, so one task sees them all; its state holds at most ``total`` times.
+    """
+    out = "origen string, llegada long, t long, aceptada boolean"
+    if total is None:
+        return stream.select("origen", "llegada", "t").groupBy("origen").transformWithState(_Limit(budget, window_ms), out, "Append", "None")
+    return stream.select(F.lit(0).alias("todos"), "origen", "llegada", "t").groupBy("todos").transformWithState(_SharedLimit(budget, total, window_ms), out, "Append", "None")
+
+
+def _open() -> Column:
+    """Of packages (estado, reintentable, intentos, arriendo, proximo, motivo), those not settled."""
+    return (F.col("estado") != delivery.SENT) & ((F.col("estado") != delivery.FAILED) | F.coalesce("reintentable", F.lit(False)))
+
+
+def next_wakeup(packages: DataFrame, now: int, pause: int | None = None, policy: machine.Policy = machine.Policy()) -> DataFrame:
+    """despertar (ms): the earliest of schedules, lease ends and the pause, which counts only if it holds back a package; null if nothing can change."""
+    waiting = _open() & F.col("arriendo").isNull() & (F.col("intentos") < policy.attempts)
+    due = waiting & (F.col("proximo").isNull() | (F.col("proximo") <= now))
+    instants = [F.min(F.when(waiting & (F.col("proximo") > now), F.col("proximo"))), F.min(F.when(_open(), F.col("arriendo"))), F.when(F.count_if(due) > 0, F.lit(pause).cast("long"))]
+    return packages.agg(F.least(*instants).alias("despertar"))
+
+
+def close_inherited(packages: DataFrame, policy: machine.Policy = machine.Policy()) -> DataFrame:
+    """The packages of an older queue under a policy: open ones with all attempts used are closed for review (``machine.inherited_exhaustion``)."""
+    used = F.coalesce(_open() & F.col("arriendo").isNull() & (F.col("intentos") >= policy.attempts), F.lit(False))
+    to = {"estado": F.lit(delivery.FAILED), "reintentable": F.lit(False), "proximo": F.lit(None), "motivo": F.lit("AGOTAMIENTO_HEREDADO")}
+    return packages.withColumns({c: F.when(used, x).otherwise(F.col(c)) for c, x in to.items()})

@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from telar.functions.delivery import DELIVERED, FAILED, REJECTED, RETRY, RETRY_AND_STOP, SENT
+from telar.functions.delivery import DELIVERED, FAILED, PENDING, REJECTED, RETRY, RETRY_AND_STOP, SENT
 from telar.sources import packages
 from telar.streaming import incremental, processors
 from telar.streaming.machine import Package, Policy, admit, claim, inherited_exhaustion, lease_expired, result
@@ -120,6 +120,28 @@ def test_rate_limit_stream(spark, tmp_path):
     assert {r.llegada: r.aceptada for r in got} == {0: True, 1: True, 2: False, 3: False, 4: True}
 
 
+def test_rate_limit_of_all_origins(spark, tmp_path):
+    batches = [[{"origen": o, "llegada": i, "t": t} for i, (o, t) in enumerate((("a", 0), ("a", 1), ("b", 2), (None, 3), ("c", 4)))], [{"origen": o, "llegada": 5 + i, "t": t} for i, (o, t) in enumerate((("c", 999), ("c", 1000), ("a", 1001), ("b", 1002)))]]
+    got = run(spark, tmp_path, "origen string, llegada long, t long", batches, lambda s: processors.rate_limit(s, 1, 1000, total=3)).collect()
+    assert {r.llegada: (r.origen, r.aceptada) for r in got} == {0: ("a", True), 1: ("a", False), 2: ("b", True), 3: (None, True), 4: ("c", False), 5: ("c", False), 6: ("c", True), 7: ("a", False), 8: ("b", True)}
+
+
+PACKAGE = "estado string, reintentable boolean, intentos int, arriendo long, proximo long, motivo string"
+
+
+def test_wakeup_over_schedule_lease_and_pause(spark):
+    at = lambda rows, pause=None: processors.next_wakeup(spark.createDataFrame(rows, PACKAGE), 100, pause, P).first().despertar
+    scheduled, leased, due, sent = (FAILED, True, 1, None, 300, None), (FAILED, True, 1, 200, None, None), (PENDING, None, 0, None, None, None), (SENT, None, 1, None, 110, None)
+    assert at([scheduled, sent]) == 300 and at([scheduled, leased]) == 200 and at([scheduled, leased], 150) == 200
+    assert at([scheduled, leased, due], 150) == 150 and at([due]) is None and at([sent], 150) is None and at([]) is None
+
+
+def test_inherited_packages_are_closed(spark):
+    rows = [(FAILED, True, P.attempts, None, 5, "x"), (PENDING, None, P.attempts + 1, None, None, None), (PENDING, None, P.attempts, 9, None, None), (PENDING, None, 0, None, 7, None), (SENT, None, P.attempts, None, None, None), (FAILED, False, P.attempts, None, None, "RECHAZO")]
+    got = processors.close_inherited(spark.createDataFrame(rows, PACKAGE), P).collect()
+    assert [Package(*r) for r in got] == [inherited_exhaustion(Package(*r), P) for r in rows] and sum(r.motivo == "AGOTAMIENTO_HEREDADO" for r in got) == 2
+
+
 def test_incremental_stream_by_difference_of_keys(spark, tmp_path):
     facts = str(tmp_path / "facts")
     (tmp_path / "in").mkdir()
