@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telar.operators.ordered import OrderedParts, fold
+from telar.operators.ordered import OrderedParts, Scan
 
 _KEYS = ["k", "t", "tipo", "a", "b", "c"]
 
@@ -26,32 +26,39 @@ def _best(rows: pd.DataFrame) -> np.ndarray:
 
 
 def _with(rows: pd.DataFrame, carried: tuple | None) -> pd.DataFrame:
-    if carried is None or carried[0] != rows.k.iat[0]:
+    if carried is None or carried[1] is None or carried[0] != rows.k.iat[0]:
         return rows
     k, version = carried
     head = {c: 0 for c in rows.columns} | {"k": k, "tipo": 0} | version
     return pd.concat([pd.DataFrame([head], columns=rows.columns).astype(rows.dtypes.to_dict()), rows], ignore_index=True)
 
 
-def _reduce(rows: pd.DataFrame, _: object) -> tuple:
-    last = rows[rows.k == rows.k.iat[-1]].reset_index(drop=True)
-    at = _best(last)[-1]
-    return int(rows.k.iat[-1]), None if at < 0 else {c: last[c].iat[at].item() for c in ("a", "b", "c", "v", "vale")}
+class _LastKnown(Scan):
+    """State: the last key and the change in force, if there is one."""
 
+    schema = "id long, v long, vale boolean, propio long, tiene boolean"
 
-def _step(state: tuple | None, summary: tuple) -> tuple | None:
-    k, version = summary
-    if state and state[0] == k and (version is None or (state[1]["a"], state[1]["b"], state[1]["c"]) > (version["a"], version["b"], version["c"])):
-        version = state[1]
-    return version and (k, version)
+    def reduce(self, rows: pd.DataFrame) -> tuple:
+        last = rows[rows.k == rows.k.iat[-1]].reset_index(drop=True)
+        at = _best(last)[-1]
+        return None, (int(rows.k.iat[-1]), None if at < 0 else {c: last[c].iat[at].item() for c in ("a", "b", "c", "v", "vale")})
 
+    def step(self, state: tuple | None, summary: tuple) -> tuple:
+        k, version = summary[1]
+        if state and state[0] == k and state[1] and (version is None or _order(state[1]) > _order(version)):
+            version = state[1]
+        return k, version
 
-def _scan(rows: pd.DataFrame, carried: tuple | None) -> pd.DataFrame:
-    rows = _with(rows, carried)
-    at = _best(rows)
-    keep = (rows.tipo.to_numpy() == 1) & (at >= 0)
-    at = at[keep]
-    return pd.DataFrame({"id": rows.id.to_numpy()[keep], "v": rows.v.to_numpy()[at], "vale": rows.vale.to_numpy()[at] > 0, "propio": rows.v.to_numpy()[keep], "tiene": rows.vale.to_numpy()[keep] > 0})
+    def scan(self, rows: pd.DataFrame, state: tuple | None) -> pd.DataFrame:
+        rows = _with(rows, state)
+        at = _best(rows)
+        keep = (rows.tipo.to_numpy() == 1) & (at >= 0)
+        at = at[keep]
+        return pd.DataFrame({"id": rows.id.to_numpy()[keep], "v": rows.v.to_numpy()[at], "vale": rows.vale.to_numpy()[at] > 0, "propio": rows.v.to_numpy()[keep], "tiene": rows.vale.to_numpy()[keep] > 0})
+
+
+def _order(version: dict) -> tuple:
+    return version["a"], version["b"], version["c"]
 
 
 def known_at_event(events: DataFrame, changes: DataFrame) -> DataFrame:
@@ -71,7 +78,5 @@ def known_at_event(events: DataFrame, changes: DataFrame) -> DataFrame:
     ev = events.select(*own("k", "t"), F.lit(1).alias("tipo"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c"), *own("id"), whole("propio"), F.col("propio").isNotNull().cast("int").alias("vale"))
     ch = changes.select(*own("k", "t"), F.lit(0).alias("tipo"), *own("a", "b", "c"), F.lit(0).cast("long").alias("id"), whole("v"), F.col("v").isNotNull().cast("int").alias("vale"))
     both = ev.unionByName(ch).dropna(subset=["k", "t", "a", "b", "c", "id"]).distinct()
-    parts = OrderedParts(both, [*_KEYS, "id", "v"], events.count() + changes.count())
-    carries = fold(parts.summaries(_reduce), _step)
-    found = parts.emit(_scan, "id long, v long, vale boolean, propio long, tiene boolean", carries)
+    found = OrderedParts(both, [*_KEYS, "id", "v"]).run(_LastKnown())
     return found.select("id", F.when(F.col("vale"), F.col("v")).alias("vigente"), F.when(F.col("tiene"), F.col("propio")).alias("propio"))

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telar.operators.asof import known_at_event
-from telar.operators.ordered import OrderedParts, fold
+from telar.operators.ordered import OrderedParts, Scan
 
-_SUMS = ("n", "suma")
+_SUMS = ("n", "suma", "con_valor")
 _OPEN = 2**31 - 1
 
 
@@ -27,27 +27,30 @@ def _running(rows: pd.DataFrame, carried: tuple | None) -> list[np.ndarray]:
     return out
 
 
-def _reduce(rows: pd.DataFrame, _: object) -> tuple:
-    return int(rows.k.iat[-1]), tuple(int(x[-1]) for x in _running(rows, None))
+class _Sweep(Scan):
+    """State: the last key with its sums."""
 
+    schema = "id long, cubren long, suma long, con_valor long"
 
-def _step(state: tuple | None, summary: tuple) -> tuple:
-    k, sums = summary
-    return k, tuple(a + b for a, b in zip(state[1], sums)) if state and state[0] == k else sums
+    def reduce(self, rows: pd.DataFrame) -> tuple:
+        return None, (int(rows.k.iat[-1]), tuple(int(x[-1]) for x in _running(rows, None)))
 
+    def step(self, state: tuple | None, summary: tuple) -> tuple:
+        k, sums = summary[1]
+        return k, tuple(a + b for a, b in zip(state[1], sums)) if state and state[0] == k else sums
 
-def _scan(rows: pd.DataFrame, carried: tuple | None) -> pd.DataFrame:
-    n, total = _running(rows, carried)
-    keep = rows.tipo.to_numpy() == 1
-    return pd.DataFrame({"id": rows.id.to_numpy()[keep], "cubren": n[keep], "suma": total[keep]})
+    def scan(self, rows: pd.DataFrame, state: tuple | None) -> pd.DataFrame:
+        n, total, valued = _running(rows, state)
+        keep = rows.tipo.to_numpy() == 1
+        return pd.DataFrame({"id": rows.id.to_numpy()[keep], "cubren": n[keep], "suma": total[keep], "con_valor": valued[keep]})
 
 
 def covering(events: DataFrame, periods: DataFrame) -> DataFrame:
     """For each event how many periods cover its day and, if one does, its value: id, cubren, valor.
 
     events: id long, k long, dia date. periods: k long, desde date, hasta date (inclusive;
-    null: open), valor long. Periods without a start or that end before it cover nothing;
-    repeated periods count each. Events with a null key or day come out with 0.
+    null: open), valor long (null: none, also where that period alone covers). Periods
+    without a start or that end before it cover nothing; repeated periods count each. Events with a null key or day come out with 0.
     Method: a period adds one, and its value, from its first day on and takes them away
     after its last; the running sums are carried along the sorted rows. Where exactly one
     period covers, the sum of the values is its value. So events and periods of a key
@@ -57,16 +60,16 @@ def covering(events: DataFrame, periods: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     placed = events.filter(F.col("k").isNotNull() & F.col("dia").isNotNull() & F.col("id").isNotNull())
     ok = periods.filter(F.col("k").isNotNull() & F.col("desde").isNotNull() & (F.col("hasta").isNull() | (F.col("hasta") >= F.col("desde"))))
-    turns = ok.select(
-        F.col("k").cast("long").alias("k"),
-        F.explode(F.array(F.struct(day("desde").alias("t"), F.lit(1).cast("long").alias("n"), F.coalesce(F.col("valor"), zero).cast("long").alias("suma")), F.struct((day("hasta") + 1).alias("t"), F.lit(-1).cast("long").alias("n"), (-F.coalesce(F.col("valor"), zero)).cast("long").alias("suma")))).alias("x"),
-    )
-    turns = turns.filter(F.col("x.t").isNotNull()).groupBy("k", F.col("x.t").alias("t")).agg(F.sum("x.n").alias("n"), F.sum("x.suma").alias("suma"))
-    rows = placed.select(F.col("k").cast("long").alias("k"), day("dia").alias("t"), F.lit(1).alias("tipo"), F.col("id").cast("long").alias("id"), zero.alias("n"), zero.alias("suma")).unionByName(turns.select("k", "t", F.lit(0).alias("tipo"), zero.alias("id"), "n", "suma"))
-    parts = OrderedParts(rows, ["k", "t", "tipo", "id"], events.count() + periods.count())
-    swept = parts.emit(_scan, "id long, cubren long, suma long", fold(parts.summaries(_reduce), _step))
-    unplaced = events.filter(F.col("k").isNull() | F.col("dia").isNull() | F.col("id").isNull()).select(F.col("id").cast("long").alias("id"), zero.alias("cubren"), zero.alias("suma"))
-    return swept.unionByName(unplaced).select("id", "cubren", F.when(F.col("cubren") == 1, F.col("suma")).alias("valor"))
+    value, valued = F.coalesce(F.col("valor"), F.lit(0)).cast("long"), F.col("valor").isNotNull().cast("long")
+    begins = F.struct(day("desde").alias("t"), F.lit(1).cast("long").alias("n"), value.alias("suma"), valued.alias("con_valor"))
+    ends = F.struct((day("hasta") + 1).alias("t"), F.lit(-1).cast("long").alias("n"), (-value).alias("suma"), (-valued).alias("con_valor"))
+    turns = ok.select(F.col("k").cast("long").alias("k"), F.explode(F.array(begins, ends)).alias("x")).filter(F.col("x.t").isNotNull())
+    turns = turns.groupBy("k", F.col("x.t").alias("t")).agg(*[F.sum(f"x.{c}").alias(c) for c in _SUMS])
+    zeros = [zero.alias(c) for c in _SUMS]
+    rows = placed.select(F.col("k").cast("long").alias("k"), day("dia").alias("t"), F.lit(1).alias("tipo"), F.col("id").cast("long").alias("id"), *zeros).unionByName(turns.select("k", "t", F.lit(0).alias("tipo"), zero.alias("id"), *_SUMS))
+    swept = OrderedParts(rows, ["k", "t", "tipo", "id"]).run(_Sweep())
+    unplaced = events.filter(F.col("k").isNull() | F.col("dia").isNull() | F.col("id").isNull()).select(F.col("id").cast("long").alias("id"), zero.alias("cubren"), zero.alias("suma"), zero.alias("con_valor"))
+    return swept.unionByName(unplaced).select("id", "cubren", F.when((F.col("cubren") == 1) & (F.col("con_valor") == 1), F.col("suma")).alias("valor"))
 
 
 def covered_whole(spans: DataFrame, periods: DataFrame) -> DataFrame:

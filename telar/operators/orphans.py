@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telar.operators.ordered import OrderedParts, fold
+from telar.operators.ordered import OrderedParts, Scan
 
 _BEFORE_ALL = -(2**63)
 
@@ -28,27 +28,28 @@ def _sums(rows: pd.DataFrame, carried: tuple | None) -> tuple[np.ndarray, ...]:
     return tuple(out)
 
 
-def _reduce(rows: pd.DataFrame, _: object) -> tuple:
-    sums = _sums(rows, None)
-    return (int(rows.destino.iat[0]), int(rows.k.iat[0])), (int(rows.destino.iat[-1]), int(rows.k.iat[-1])), tuple(int(x[-1]) for x in sums)
+class _Sweep(Scan):
+    """State: the last target and key with its sums."""
 
+    schema = "tabla int, id long, t long, clase int"
 
-def _step(state: tuple | None, summary: tuple) -> tuple:
-    _, last, sums = summary
-    return last, tuple(a + b for a, b in zip(state[1], sums)) if state and state[0] == last else sums
+    def reduce(self, rows: pd.DataFrame) -> tuple:
+        return None, ((int(rows.destino.iat[-1]), int(rows.k.iat[-1])), tuple(int(x[-1]) for x in _sums(rows, None)))
 
+    def step(self, state: tuple | None, summary: tuple) -> tuple:
+        key, sums = summary[1]
+        return key, tuple(a + b for a, b in zip(state[1], sums)) if state and state[0] == key else sums
 
-def _scan(rows: pd.DataFrame, carried: tuple | None) -> pd.DataFrame:
-    alive, born, absent = _sums(rows, carried)
-    keep = (rows.tabla.to_numpy() >= 0) & (alive <= 0)
-    clase = np.where(absent > 0, 0, np.where(born > 0, 1, 2))
-    return pd.DataFrame({"tabla": rows.tabla.to_numpy()[keep], "id": rows.id.to_numpy()[keep], "t": rows.t.to_numpy()[keep], "clase": clase[keep]})
+    def scan(self, rows: pd.DataFrame, state: tuple | None) -> pd.DataFrame:
+        alive, born, absent = _sums(rows, state)
+        keep = (rows.tabla.to_numpy() >= 0) & (alive <= 0)
+        clase = np.where(absent > 0, 0, np.where(born > 0, 1, 2))
+        return pd.DataFrame({"tabla": rows.tabla.to_numpy()[keep], "id": rows.id.to_numpy()[keep], "t": rows.t.to_numpy()[keep], "clase": clase[keep]})
 
 
-def orphan_references(refs: DataFrame, parents: DataFrame, rows: int | None = None) -> DataFrame:
+def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     """References whose key has no living row at their instant: tabla int, id long, t long, clase string.
 
-    rows: about how many rows both have, for the width of the sort.
     refs: tabla int (>= 0), id long, destino int, k long, t long (instant, microseconds).
     parents: destino int, k long, desde long, hasta long (null: still there); a row lives
     while desde <= instant < hasta, a row without desde never lives but is a row of its key.
@@ -83,8 +84,6 @@ def orphan_references(refs: DataFrame, parents: DataFrame, rows: int | None = No
         .unionByName(turns.select("destino", "k", "t", none, zero.alias("id"), "vivas", "nacidas", zero.alias("ausente")))
         .unionByName(gone.select("destino", "k", F.lit(_BEFORE_ALL).alias("t"), none, zero.alias("id"), zero.alias("vivas"), zero.alias("nacidas"), F.lit(1).cast("long").alias("ausente")))
     )
-    parts = OrderedParts(united, ["destino", "k", "t", "tabla", "id"], rows)
-    carries = fold(parts.summaries(_reduce), _step)
-    found = parts.emit(_scan, "tabla int, id long, t long, clase int", carries)
+    found = OrderedParts(united, ["destino", "k", "t", "tabla", "id"]).run(_Sweep())
     names = F.array(F.lit("ausente"), F.lit("eliminada"), F.lit("tardia"))
     return found.select("tabla", "id", "t", F.element_at(names, F.col("clase") + 1).alias("clase"))

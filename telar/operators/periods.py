@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telar.operators.ordered import OrderedParts, fold
+from telar.operators.ordered import OrderedParts, Scan
 
 OPEN = 2**31 - 1
 NONE = -(2**63)
@@ -27,33 +27,35 @@ def _group(rows: pd.DataFrame) -> np.ndarray:
     return np.r_[0, np.cumsum((k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]))]
 
 
-def _reduce(rows: pd.DataFrame, _: object) -> tuple:
-    """First and last entity; of the last one the start of its last island and its greatest end."""
-    group = _group(rows)
-    last = rows[group == group[-1]]
-    _, begins = _islands(last.e.to_numpy(), last.s.to_numpy(), np.zeros(len(last), "int64"))
-    return (rows.k1.iat[0], rows.k2.iat[0]), (rows.k1.iat[-1], rows.k2.iat[-1]), int(last.s.to_numpy()[begins][-1]), int(last.e.max())
+class _Periods(Scan):
+    """State: the last entity, the start of its last island, and its greatest end."""
 
+    schema = "k1 long, k2 long, hueco boolean, s long, e long, n long"
 
-def _step(state: tuple | None, summary: tuple) -> tuple:
-    first, last, start, end = summary
-    if state and state[0] == last:  # then the whole partition is of this entity
-        start = start if start > state[2] + 1 else state[1]
-        end = max(end, state[2])
-    return last, start, end
+    def reduce(self, rows: pd.DataFrame) -> tuple:
+        last = rows[(rows.k1 == rows.k1.iat[-1]) & (rows.k2 == rows.k2.iat[-1])]
+        s, e = last.s.to_numpy(), last.e.to_numpy()
+        _, begins = _islands(e, s, np.zeros(len(last), "int64"))
+        return None, ((int(rows.k1.iat[-1]), int(rows.k2.iat[-1])), int(s[begins][-1]), int(e.max()))
 
+    def step(self, state: tuple | None, summary: tuple) -> tuple:
+        entity, start, end = summary[1]
+        if state is None or state[0] != entity:
+            return summary[1]
+        # all these rows are of the entity; an island within reach of the state's end goes on from it
+        return entity, start if start > state[2] + 1 else state[1], max(end, state[2])
 
-def _scan(rows: pd.DataFrame, carried: tuple | None) -> pd.DataFrame:
-    rows = rows[["k1", "k2", "s", "e"]].assign(n=1)
-    if carried and carried[0] == (rows.k1.iat[0], rows.k2.iat[0]):
-        rows = pd.concat([pd.DataFrame([(*carried[0], carried[1], carried[2], 0)], columns=rows.columns), rows], ignore_index=True)
-    s, e, group = rows.s.to_numpy(), rows.e.to_numpy(), _group(rows)
-    before, begins = _islands(e, s, group)
-    at = np.flatnonzero(begins)
-    islands = pd.DataFrame({"k1": rows.k1.to_numpy()[at], "k2": rows.k2.to_numpy()[at], "hueco": False, "s": s[at], "e": np.maximum.reduceat(e, at), "n": np.add.reduceat(rows.n.to_numpy(), at)})
-    at = at[before[at] > -_STEP]
-    gaps = pd.DataFrame({"k1": rows.k1.to_numpy()[at], "k2": rows.k2.to_numpy()[at], "hueco": True, "s": before[at] + 1, "e": s[at] - 1, "n": 2})
-    return pd.concat([islands, gaps], ignore_index=True)
+    def scan(self, rows: pd.DataFrame, state: tuple | None) -> pd.DataFrame:
+        rows = rows[["k1", "k2", "s", "e"]].assign(n=1)
+        if state and state[0] == (rows.k1.iat[0], rows.k2.iat[0]):
+            rows = pd.concat([pd.DataFrame([(*state[0], state[1], state[2], 0)], columns=rows.columns), rows], ignore_index=True)
+        s, e, group = rows.s.to_numpy(), rows.e.to_numpy(), _group(rows)
+        before, begins = _islands(e, s, group)
+        at = np.flatnonzero(begins)
+        islands = pd.DataFrame({"k1": rows.k1.to_numpy()[at], "k2": rows.k2.to_numpy()[at], "hueco": False, "s": s[at], "e": np.maximum.reduceat(e, at), "n": np.add.reduceat(rows.n.to_numpy(), at)})
+        at = at[before[at] > -_STEP]
+        gaps = pd.DataFrame({"k1": rows.k1.to_numpy()[at], "k2": rows.k2.to_numpy()[at], "hueco": True, "s": before[at] + 1, "e": s[at] - 1, "n": 2})
+        return pd.concat([islands, gaps], ignore_index=True)
 
 
 def periods_and_gaps(df: DataFrame, entity: tuple[str, str], start: str, end: str) -> DataFrame:
@@ -75,9 +77,8 @@ def periods_and_gaps(df: DataFrame, entity: tuple[str, str], start: str, end: st
         F.unix_date(start).cast("long").alias("s"),
         F.coalesce(F.unix_date(end), F.lit(OPEN)).cast("long").alias("e"),
     ).filter(F.col("s").isNotNull() & (F.col("e") >= F.col("s")))
-    parts = OrderedParts(own.distinct(), ["k1", "k2", "s", "e"], df.count())
-    carries = fold(parts.summaries(_reduce), _step)
-    pieces = parts.emit(_scan, "k1 long, k2 long, hueco boolean, s long, e long, n long", carries)
+    parts = OrderedParts(own.distinct(), ["k1", "k2", "s", "e"])
+    pieces = parts.run(_Periods())
     whole = pieces.groupBy("k1", "k2", "hueco", "s").agg(F.max("e").alias("e"), F.sum("n").alias("intervalos"))
     kind = dict(df.dtypes)
     back = lambda c, name: F.when(F.col(c) != NONE, F.col(c)).cast(kind[name]).alias(name)

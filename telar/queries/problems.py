@@ -119,14 +119,14 @@ def _p4(spark: SparkSession, d: str) -> DataFrame:
     us = lambda c: F.unix_micros(c)
 
     def refs(n: int, key: str, fk: str, instant: str, target: int) -> DataFrame:
-        own = table(spark, d, TABLES[n]).groupBy(F.col(key).cast("long").alias("id")).agg(F.min(F.struct(us(instant).alias("t"), F.col(fk).cast("long").alias("k"))).alias("x"))
+        rows = table(spark, d, TABLES[n]).filter(F.col(instant).isNotNull() & F.col(fk).isNotNull())
+        own = rows.groupBy(F.col(key).cast("long").alias("id")).agg(F.min(F.struct(us(instant).alias("t"), F.col(fk).cast("long").alias("k"))).alias("x"))
         return own.select(F.lit(n).alias("tabla"), "id", F.lit(target).alias("destino"), "x.k", "x.t")
 
     all_refs = refs(0, "id_lectura", "id_embarazo", "instantanea", 0).unionByName(refs(1, "id_lectura", "id_sesion", "cargado_en", 1)).unionByName(refs(2, "id_embarazo", "id_embarazo", "creado_en", 0))
     parent = lambda t, n, key, a, b: table(spark, d, t).select(F.lit(n).alias("destino"), F.col(key).cast("long").alias("k"), us(a).alias("desde"), us(b).alias("hasta"))
     parents = parent("dim_embarazo", 0, "id_embarazo", "cargado_en", "eliminado_en").unionByName(parent("sesion_monitoreo", 1, "id_sesion", "registrada_en", "eliminada_en"))
-    rows = sum(table(spark, d, t).count() for t in (*TABLES, "dim_embarazo", "sesion_monitoreo"))
-    found = orphan_references(all_refs, parents, rows)
+    found = orphan_references(all_refs, parents)
     return found.select(F.element_at(F.array(*[F.lit(t) for t in TABLES]), F.col("tabla") + 1).alias("tabla"), F.col("id").alias("id_registro"), month_text(clinical_day(F.timestamp_micros("t"))).alias("periodo"), "clase")
 
 

@@ -19,6 +19,16 @@ D0 = dt.date(2024, 1, 1)
 day = lambda n: None if n is None else D0 + dt.timedelta(days=n)
 
 
+@pytest.fixture(params=[None, 3])
+def batch(spark, request):
+    """Rows of a batch: the default, and so few that groups end and go on within a partition."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if request.param:
+        spark.conf.set(name, request.param)
+    yield request.param
+    spark.conf.unset(name)
+
+
 def brute_periods(rows):
     out = set()
     groups = {}
@@ -40,7 +50,7 @@ def brute_periods(rows):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_periods_and_gaps(spark, seed):
+def test_periods_and_gaps(spark, seed, batch):
     r = random.Random(seed)
     rows = []
     for _ in range(600):  # entity (1, 1) holds more than a third of all rows
@@ -58,7 +68,7 @@ def test_periods_of_an_empty_table(spark):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_known_at_event(spark, seed):
+def test_known_at_event(spark, seed, batch):
     r = random.Random(seed)
     key = lambda: 1 if r.random() < 0.5 else r.choice([2, 3, None])
     changes = [(key(), r.randint(0, 60), r.randint(0, 60), r.randint(0, 5), i % 40, r.choice([None, 7, 8, 9])) for i in range(300)]
@@ -77,7 +87,7 @@ def test_known_at_event(spark, seed):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_orphans(spark, seed):
+def test_orphans(spark, seed, batch):
     r = random.Random(seed)
     key = lambda: 1 if r.random() < 0.4 else r.choice([2, 3, 4, 5, 6, None])
     parents = [(r.choice([0, 1]), k, r.choice([None, r.randint(0, 90)]), r.choice([None, r.randint(0, 99)])) for k in [key() for _ in range(40)] if k != 6]
@@ -97,10 +107,10 @@ def test_orphans(spark, seed):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_covering(spark, seed):
+def test_covering(spark, seed, batch):
     r = random.Random(seed)
     key = lambda: 1 if r.random() < 0.5 else r.choice([2, 3, None])
-    periods = [(key(), r.choice([None, r.randint(0, 200)]), r.choice([None, r.randint(0, 230)]), r.randint(1, 9)) for _ in range(60)]
+    periods = [(key(), r.choice([None, r.randint(0, 200)]), r.choice([None, r.randint(0, 230)]), r.choice([None, *range(1, 10)])) for _ in range(60)]
     events = [(i, key(), r.choice([None, *range(240)])) for i in range(400)]
     want = {}
     for i, k, t in events:
@@ -112,7 +122,7 @@ def test_covering(spark, seed):
 
 
 @pytest.mark.parametrize("every", [1, 4, 16])
-def test_copies(spark, every):
+def test_copies(spark, every, batch):
     r = random.Random(every)
     rows = [(i, f"n{i % 7}", r.choice([None, 1, 2])) for i in range(400)] + [(None, "nulo", 1)]
     copy = [x for x in rows if x[0] is None or x[0] % 41]
@@ -139,12 +149,21 @@ def test_equal_copies_compare_no_rows(spark):
 
     a = spark.range(3000).select("id", F.lit("x").alias("n"))
     b = a.withColumn("n", F.when(F.col("id") == 1500, "y").otherwise(F.col("n"))).filter("id <> 2500")
-    sides = [copies._chunked(x, "id", ["n"], 16, 3000) for x in (a, b)]
+    rows = copies.chunked(a.withColumn("_lado", F.lit(0)).unionByName(b.withColumn("_lado", F.lit(1))), "id", ["n"], 16).collect()
+    rows = spark.createDataFrame(rows)
+    sides = [rows.filter(F.col("_lado") == i) for i in (0, 1)]
     prints = [x.groupBy("_trozo").agg(F.count("*").alias("n"), F.expr("bit_xor(_h1)").alias("x")) for x in sides]
     left = sides[0].join(prints[0].join(prints[1], ["_trozo", "n", "x"], "left_anti"), "_trozo", "left_semi").count()
     assert prints[0].count() > 100 and 0 < left < 300
 
 
+def test_copies_of_other_types(spark):
+    """97 equals 97.00 in a wider decimal, an integer equals a double, and a text equals only the same text."""
+    a = spark.createDataFrame([(1, "97.00", 5, "7"), (2, "1.50", 6, "8"), (3, None, 7, None)], "id int, x string, y int, z string").withColumn("x", F.col("x").cast("decimal(5,2)"))
+    b = spark.createDataFrame([(1, "97.0", 5.0, 7), (2, "1.6", 6.5, 9), (3, None, 7.0, None)], "id long, x string, y double, z int").withColumn("x", F.col("x").cast("decimal(6,1)"))
+    assert {tuple(r) for r in diff_copies(a, b, "id", ["x", "y", "z"]).collect()} == {(2, "x"), (2, "y"), (2, "z")}
+
+
 def test_symmetric_difference(spark):
     a = spark.createDataFrame([(1, None), (1, None), (2, "x")], "a int, b string")
     b = spark.createDataFrame([(1, None), (3, "x")], "a int, b string")
