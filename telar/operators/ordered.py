@@ -69,6 +69,13 @@ class OrderedParts:
         ordered = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
         self.df = checkpoint(ordered.withColumn(PART, F.spark_partition_id()))
 
+    @classmethod
+    def of(cls, df: DataFrame) -> OrderedParts:
+        """Rows that a scan over whole partitions has emitted with their PART, checkpointed."""
+        parts = cls.__new__(cls)
+        parts.df = df
+        return parts
+
     def run(self, scan: Scan) -> DataFrame:
         """The scan's rows; a partition is never held whole."""
 

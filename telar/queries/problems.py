@@ -15,9 +15,9 @@ from telar.session import table
 
 #: Bounds of a plausible reading of a living person, and of the sensors' units.
 FIELDS = [
-    Field("hr_valor", 20, 300, 0.35),
-    Field("spo2_valor", 0, 100, 0.15, open_low=True),
-    Field("mov_valor", 0, 1000, 0.7),
+    Field("hr_valor", 20, 300, 0.35, 6.0),
+    Field("spo2_valor", 0, 100, 0.15, 1.5, open_low=True),
+    Field("mov_valor", 0, 1000, 0.7, 4.0),
 ]
 
 
@@ -30,27 +30,36 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_por_dispositivo(spark: SparkSession, d: str) -> DataFrame:
-    return p1_flags(spark, d).groupBy("id_dispositivo", "campo").agg(F.count("*").alias("marcadas"), F.count_if("imposible").alias("imposibles"), F.count_if("salto").alias("saltos"), F.count_if("atascado").alias("atascadas"))
+    return p1_flags(spark, d).groupBy("id_dispositivo", "campo").agg(F.count("*").alias("marcadas"), F.count_if("imposible").alias("imposibles"), F.count_if("salto").alias("saltos"), F.count_if("cambio").alias("cambios"), F.count_if("atascado").alias("atascadas"))
 
 
-_P1 = """
+_RANGE = """greatest(quantile_disc(salto, 0.75) - quantile_disc(salto, 0.25), least((quantile_disc(salto, 0.9) - quantile_disc(salto, 0.1)) / 1.9,
+  case when quantile_disc(salto, 0.75) > quantile_disc(salto, 0.25) then 2 * (quantile_disc(salto, 0.75) - quantile_disc(salto, 0.25)) end), any_value(piso))"""
+
+_P1 = f"""
 with base as (select distinct id_lectura, id_dispositivo, fecha_hora_captura, hr_valor, spo2_valor, mov_valor from lectura_resumen),
 largo as (
-  select id_lectura, id_dispositivo d, fecha_hora_captura t, 'hr_valor' campo, cast(hr_valor as double) v, hr_valor < 20 or hr_valor > 300 imposible, 0.35 piso from base where hr_valor is not null
-  union all select id_lectura, id_dispositivo, fecha_hora_captura, 'spo2_valor', cast(spo2_valor as double), spo2_valor <= 0 or spo2_valor > 100, 0.15 from base where spo2_valor is not null
-  union all select id_lectura, id_dispositivo, fecha_hora_captura, 'mov_valor', cast(mov_valor as double), mov_valor < 0 or mov_valor > 1000, 0.7 from base where mov_valor is not null),
+  select id_lectura, id_dispositivo d, fecha_hora_captura t, 'hr_valor' campo, cast(hr_valor as double) v, hr_valor < 20 or hr_valor > 300 imposible, 0.35 piso, 6.0 usual from base where hr_valor is not null
+  union all select id_lectura, id_dispositivo, fecha_hora_captura, 'spo2_valor', cast(spo2_valor as double), spo2_valor <= 0 or spo2_valor > 100, 0.15, 1.5 from base where spo2_valor is not null
+  union all select id_lectura, id_dispositivo, fecha_hora_captura, 'mov_valor', cast(mov_valor as double), mov_valor < 0 or mov_valor > 1000, 0.7, 4.0 from base where mov_valor is not null),
 cabezas as (select *, case when v is distinct from lag(v) over w then 1 else 0 end cabeza from largo window w as (partition by d, campo order by t, id_lectura)),
 numeradas as (select *, sum(cabeza) over (partition by d, campo order by t, id_lectura) corrida from cabezas),
 rachas as (select *, count(*) over (partition by d, campo, corrida) racha from numeradas),
-normales as (select *, v - median(v) over (partition by d, campo order by t, id_lectura rows between 10 preceding and 10 following) salto from rachas where not imposible and racha < 8),
-cercas as (select d, campo, case when count(*) >= 8 then quantile_disc(salto, 0.25) end q1, case when count(*) >= 8 then quantile_disc(salto, 0.75) end q3,
-  greatest(quantile_disc(salto, 0.75) - quantile_disc(salto, 0.25), least((quantile_disc(salto, 0.9) - quantile_disc(salto, 0.1)) / 1.9, case when quantile_disc(salto, 0.75) > quantile_disc(salto, 0.25) then 2 * (quantile_disc(salto, 0.75) - quantile_disc(salto, 0.25)) end), any_value(piso)) iqr from normales group by 1, 2),
+vecinas as (select *, floor(extract(hour from t) / 6) franja, v - median(v) over (partition by d, campo order by t, id_lectura rows between 10 preceding and 10 following) salto,
+  v - lag(v) over w a, lead(v) over w - v b, t - lag(t) over w <= interval 10 minute cerca_a, lead(t) over w - t <= interval 10 minute cerca_b
+  from rachas where not imposible and racha < 8 window w as (partition by d, campo order by t, id_lectura)),
+normales as (select *, case when cerca_a then abs(a) end corto, case when cerca_a and cerca_b and a * b < 0 then least(abs(a), abs(b)) end pico from vecinas),
+disp as (select d, campo, quantile_disc(salto, 0.25) q1, quantile_disc(salto, 0.75) q3, (count(*) * {_RANGE} + 2 * any_value(usual)) / (count(*) + 2) iqr, any_value(piso) piso,
+  count(corto) nc, coalesce(quantile_disc(corto, 0.75), 0) c3, coalesce(greatest(quantile_disc(corto, 0.75) - quantile_disc(corto, 0.25), any_value(piso)), 0) ciqr from normales group by 1, 2),
+franjas as (select d, campo, franja, count(*) n, quantile_disc(salto, 0.25) q1, quantile_disc(salto, 0.75) q3, {_RANGE} iqr from normales group by 1, 2, 3),
+cercas as (select d, campo, franja, (f.n * f.q1 + 100 * p.q1) / (f.n + 100) q1, (f.n * f.q3 + 100 * p.q3) / (f.n + 100) q3, (f.n * f.iqr + 100 * p.iqr) / (f.n + 100) iqr,
+  (nc * c3 + 160 * p.iqr) / (nc + 100) + 4.3 * (nc * ciqr + 160 * p.iqr) / (nc + 100) brusco from franjas f join disp p using (d, campo)),
 largas as (select d, campo, greatest(8, ceil(1 + (ln(0.001) - ln(n)) / ln(least(0.9, greatest(0.01, m / n))))) larga
-  from (select d, campo, cast(sum(cabeza) as double) n, cast(sum(case when racha > 1 then cabeza else 0 end) as double) m from rachas group by 1, 2)),
+  from (select d, campo, greatest(1.0, cast(sum(case when racha < 8 then cabeza else 0 end) as double)) n, cast(sum(case when racha between 2 and 7 then cabeza else 0 end) as double) m from rachas group by 1, 2)),
 marcadas as (
-  select id_lectura, d, campo, true imposible, false salto, false atascado from largo where imposible
-  union all select id_lectura, d, campo, false, true, false from normales join cercas using (d, campo) where salto < q1 - 4.3 * iqr or salto > q3 + 4.3 * iqr
-  union all select id_lectura, d, campo, false, false, true from rachas join largas using (d, campo) where racha >= larga)
+  select id_lectura, d, campo, true imposible, false salto, false cambio, false atascado from largo where imposible
+  union all select id_lectura, d, campo, false, salto < q1 - 4.3 * iqr or salto > q3 + 4.3 * iqr, coalesce(pico > brusco, false), false from normales join cercas using (d, campo, franja) where salto < q1 - 4.3 * iqr or salto > q3 + 4.3 * iqr or pico > brusco
+  union all select id_lectura, d, campo, false, false, false, true from rachas join largas using (d, campo) where racha >= larga)
 """
 
 
@@ -184,7 +193,7 @@ QUERIES = {
 
 SQL = {
     "p1_found": _P1 + "select distinct id_lectura, campo from marcadas",
-    "p1_por_dispositivo": _P1 + """select d id_dispositivo, campo, count(distinct id_lectura) marcadas, count(distinct id_lectura) filter (imposible) imposibles, count(distinct id_lectura) filter (salto) saltos, count(distinct id_lectura) filter (atascado) atascadas from marcadas group by 1, 2""",
+    "p1_por_dispositivo": _P1 + """select d id_dispositivo, campo, count(distinct id_lectura) marcadas, count(distinct id_lectura) filter (imposible) imposibles, count(distinct id_lectura) filter (salto) saltos, count(distinct id_lectura) filter (cambio) cambios, count(distinct id_lectura) filter (atascado) atascadas from marcadas group by 1, 2""",
     "p2_found": _P2 + """select id_medico, id_clinica, 'continuo' clase, strftime(s, '%Y-%m-%d') desde, case when e = date '9999-12-31' then 'abierto' else strftime(e, '%Y-%m-%d') end hasta from p where n > 1
 union all select id_medico, id_clinica, 'hueco', strftime(previa + interval 1 day, '%Y-%m-%d'), strftime(s - interval 1 day, '%Y-%m-%d') from h where previa is not null""",
     "p2_cobertura": _P2 + """select id_medico, id_clinica, count(*) periodos, count(previa) huecos, cast(coalesce(sum(case when e < date '9999-12-31' then datediff('day', s, e) + 1 end), 0) as bigint) dias_cubiertos,

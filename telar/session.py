@@ -7,8 +7,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows that one partition of an ordered scan should hold at most, on average.
-ROWS_PER_PART = 200_000
+#: Rows that one partition should hold at most, on average, where a scan has to see it whole.
+ROWS_PER_PART = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

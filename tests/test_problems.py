@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,7 +171,7 @@ def test_symmetric_difference(spark):
     assert symmetric_difference(a, b).first().discrepancias == 2
 
 
-FIELDS = [Field("hr", 20, 300, 0.35), Field("mov", 0, 1000, 0.7)]
+FIELDS = [Field("hr", 20, 300, 0.35, 6.0), Field("mov", 0, 1000, 0.7, 4.0)]
 
 
 def readings(seed=0, n=900):
@@ -206,6 +207,62 @@ def test_flagged_measurements(spark):
     assert flag_measurements(df.limit(0), "id", "disp", "en", FIELDS).count() == 0
 
 
+def _flagged(spark, rows, limits=Limits()):
+    df = spark.createDataFrame([(i, 1, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=t), v, None) for i, t, v in rows], "id long, disp long, en timestamp, hr double, mov int")
+    return {r.id for r in flag_measurements(df, "id", "disp", "en", FIELDS, limits).collect()}
+
+
+def test_a_noisy_part_of_the_day_has_its_own_fences(spark):
+    """The same departure is a case in quiet hours and none in noisy ones."""
+    r = random.Random(1)
+    noisy = lambda t: t // 21_600 % 4 == 1
+    rows = [(i, t, round(90 + r.gauss(0, 9 if noisy(t) else 1), 2)) for i, t in enumerate(range(0, 40 * 86_400, 1_200))]
+    spikes = {i for i, t, _ in rows if i % 251 == 100 and not noisy(t)}
+    rows = [(i, t, v + 14 if i in spikes else v) for i, t, v in rows]
+    assert len(spikes) > 5 and _flagged(spark, rows) == spikes
+    assert _flagged(spark, rows, Limits(context_weight=1e12)) != spikes
+
+
+def test_a_fast_change_is_a_case_where_levels_vary(spark):
+    """Far from what a minute changes, though within what days do."""
+    r = random.Random(2)
+    rows, cases = [], set()
+    for s in range(400):
+        level = r.uniform(60, 130)
+        for k in range(5):
+            rows.append((len(rows), s * 20_000 + 60 * k, round(level + r.gauss(0, 0.5), 2)))
+        if s % 40 == 7:
+            i, t, v = rows[-3]
+            rows[-3] = (i, t, v + 25)
+            cases.add(i)
+    assert _flagged(spark, rows) == cases
+    assert _flagged(spark, rows, Limits(near_minutes=0.0)) == set()
+
+
+def test_few_values_are_judged_by_the_usual_range(spark):
+    assert _flagged(spark, [(i, 60 * i, v) for i, v in enumerate([80.0, 81.0, 80.0, 250.0, 82.0])]) == {3}
+    assert _flagged(spark, [(0, 0, 80.0), (1, 60, 95.0)]) == set()
+
+
+def test_sketches():
+    from telar.operators.sketch import Sketch, ranked
+
+    r = np.random.default_rng(0)
+    values = [r.integers(0, 10**6, n) for n in (0, 3, 5_000, 70_000, 1)]
+    whole = np.sort(np.concatenate(values))
+    one = Sketch.of(values[0], 200)
+    for x in values[1:]:
+        one = one.merge(Sketch.of(x, 200), 200)
+    assert len(one.values) <= 400 and one.n == pytest.approx(len(whole)) and np.isnan(Sketch.of(values[0], 5).quantile(0.5))
+    for p in (0.1, 0.25, 0.5, 0.9):
+        assert abs(np.searchsorted(whole, one.quantile(p)) / len(whole) - p) < 0.01
+    assert Sketch.of(np.array([5, 1, 3, 4]), 9).quantile(0.25) == 1 and Sketch.of(np.array([5, 1, 3, 4]), 9).quantile(0.26) == 3
+    group = r.integers(0, 40, 3_000)
+    x = r.integers(0, 50, 3_000)
+    n, q = ranked(group, x, 41, (0.75,))
+    assert n[40] == 0 and np.isnan(q[40]) and all(q[i] == Sketch.of(x[group == i], 9_999).quantile(0.75) for i in range(40))
+
+
 def test_a_source_that_does_not_vary_is_stuck(spark):
     at = dt.datetime(2024, 1, 1)
     values = {1: [72.0] * 8, 2: [72.0] * 66, 3: [72.0] * 40 + [80.0] * 30, 4: [72.0] * 7, 5: [72.0] * 9 + [70.0 + i % 7 for i in range(60)]}
