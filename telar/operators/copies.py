@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -141,5 +139,5 @@ def diff_copies(source: DataFrame, copy: DataFrame, key: str, columns: list[str]
 
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row, discrepancias: distinct rows of a not in b plus those of b not in a; nulls equal nulls."""
-    counts = [x.subtract(y).agg(F.count("*").alias("n")) for x, y in ((a, b), (b, a))]
-    return reduce(DataFrame.unionByName, counts).agg(F.sum("n").alias("discrepancias"))
+    sides = a.withColumn("_lado", F.lit(1)).union(b.withColumn("_lado", F.lit(2)))
+    return sides.groupBy(*a.columns).agg(F.bit_or("_lado").alias("_lados")).agg(F.count_if(F.col("_lados") < 3).alias("discrepancias"))

@@ -11,79 +11,125 @@ from telar.functions.levels import movement_shape, severest, vitals_shape
 from telar.functions.timeutil import clinical_day
 from telar.operators.copies import symmetric_difference
 from telar.operators.coverage import covering
-from telar.session import checkpoint
 
 _c = F.col
 _CLINIC = ["id_clinica", "nombre_clinica", "provincia", "distrito"]
 
+#: Checks that inform only; all others block a publication.
+INFORMATIVE = ("clasificacion_embarazo_pendiente", "semana_recalculada_distinta", "sesiones_sin_lecturas")
+#: What a fact copies from its reading, session and pregnancy.
+COPIED = ["id_sesion", "id_tiempo_gestacional", "hr_valor", "spo2_valor", "mov_valor", "fecha_hora", "id_embarazo", "id_paciente", "id_clinica"]
 
-def _n(df: DataFrame, where: Column | str | None = None) -> DataFrame:
-    return df.agg((F.count("*") if where is None else F.count_if(F.expr(where) if isinstance(where, str) else where)).alias("discrepancias"))
+
+def as_rows(counts: DataFrame) -> DataFrame:
+    """control, bloqueante, discrepancias from one row with a count for each check."""
+    pairs = [F.struct(F.lit(n).alias("control"), F.lit(n not in INFORMATIVE).alias("bloqueante"), F.coalesce(_c(n), F.lit(0)).cast("long").alias("discrepancias")) for n in counts.columns]
+    return counts.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
+
+
+def _known(df: DataFrame, key: str, flag: str) -> DataFrame:
+    return df.select(key).distinct().withColumn(flag, F.lit(True))
+
+
+def _shape(x: str = "valor") -> tuple[Column, Column]:
+    """That the values (or states) are those of vitals, and of movement."""
+    hr, spo2, mov = (_c(n) for n in (("hr_valor", "spo2_valor", "mov_valor") if x == "valor" else ("estado_hr", "estado_spo2", "estado_mov")))
+    return vitals_shape(hr, spo2, mov), movement_shape(hr, spo2, mov)
+
+
+def _keys(readings: DataFrame, facts: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Sets of ids on both sides: one aggregation tells for each id where it is."""
+    part = lambda df, kind, key, bit: df.select(F.lit(kind).alias("clase"), _c(key).cast("long").alias("k"), F.lit(bit).alias("lado"))
+    parts = [part(readings, 0, "id_lectura", 1), part(facts, 0, "id_lectura", 2), part(readings, 1, "id_sesion", 1), part(facts, 1, "id_sesion", 2), part(sessions, 1, "id_sesion", 4)]
+    sides = reduce(DataFrame.unionByName, parts).groupBy("clase", "k").agg(F.bit_or("lado").alias("lado"))
+    reading, both = _c("clase") == 0, _c("lado").bitwiseAND(3)
+    return sides.agg(
+        F.count_if(reading & (both == 1)).alias("lecturas_sin_hecho"),
+        F.count_if(reading & (both == 2)).alias("hechos_sin_lectura_origen"),
+        F.count_if(~reading & both.isin(1, 2)).alias("sesiones_distintas"),
+        F.count_if(~reading & (_c("lado").bitwiseAND(5) == 4)).alias("sesiones_sin_lecturas"),
+    )
+
+
+def _of_facts(facts: DataFrame, dims: dict[str, DataFrame], pregnancies: DataFrame, levels: DataFrame, weeks: DataFrame | None, null_is_orphan: bool) -> DataFrame:
+    """All that a fact and the dimensions it points to tell: each dimension is joined once, and one scan is aggregated."""
+    f = facts.withColumn("_dia", clinical_day("fecha_hora"))
+    for key, df in dims.items():
+        f = f.join(_known(df, key, f"_con_{key}"), key, "left")
+    f = f.join(pregnancies.select("id_embarazo", F.lit(True).alias("_con_id_embarazo"), _c("fecha_inicio").alias("_inicio"), _c("fecha_cierre").alias("_cierre")), "id_embarazo", "left")
+    f = f.join(levels.select("id_semaforo", F.lit(True).alias("_con_id_semaforo"), _c("codigo_nivel").alias("_nivel")), "id_semaforo", "left")
+    week = _c("id_tiempo_gestacional") - 99
+    if weeks is not None:
+        f = f.join(weeks.select("id_tiempo_gestacional", F.lit(True).alias("_con_id_tiempo_gestacional"), _c("semana_gestacion").alias("_semana")), "id_tiempo_gestacional", "left")
+        week = _c("_semana")
+    absent = [_c(f"_con_{k}").isNull() if null_is_orphan and k != "id_sesion" else _c(f"_con_{k}").isNull() & _c(k).isNotNull() for k in (*dims, "id_embarazo", "id_semaforo", *(["id_tiempo_gestacional"] if weeks is not None else []))]
+    days = F.datediff("_dia", "_inicio")
+    weeks_begun = F.signum(days.cast("double")) * F.floor(F.abs(days) / 7) + 1  # towards zero, as integer division
+    (vital, moving), (vital_states, moving_states) = _shape(), _shape("estado")
+    return f.agg(
+        F.count_if(_c("_nivel") != F.coalesce(severest(_c("estado_hr"), _c("estado_spo2"), _c("estado_mov")), F.lit("OK"))).alias("semaforo_distinto_de_la_mayor_severidad"),
+        F.count_if(~((vital & vital_states) | (moving & moving_states))).alias("forma_invalida"),
+        F.count_if(_c("mov_valor").isNotNull() & (week < 20)).alias("movimiento_antes_de_semana_20"),
+        F.count_if((_c("_dia") < _c("_inicio")) | F.coalesce(_c("_dia") > _c("_cierre"), F.lit(False))).alias("fecha_fuera_del_embarazo"),
+        F.count_if(reduce(Column.__or__, absent)).alias("huerfanos_del_hecho"),
+        F.count_if(week != weeks_begun).alias("semana_recalculada_distinta"),
+    )
+
+
+def _against_source(facts: DataFrame, readings: DataFrame, levels: DataFrame) -> DataFrame:
+    copied = [c for c in COPIED if c in readings.columns]
+    own = facts.join(levels.select("id_semaforo", "codigo_nivel"), "id_semaforo", "left").select("id_lectura", "codigo_nivel", F.struct(*copied).alias("_h"))
+    both = own.join(readings.select("id_lectura", "codigo_semaforo", F.struct(*copied).alias("_l")), "id_lectura")
+    equal = reduce(Column.__and__, [_c(f"_h.{c}").eqNullSafe(_c(f"_l.{c}")) for c in copied])
+    return both.agg(F.count_if(~equal).alias("contenido_divergente"), F.count_if(_c("codigo_nivel") != _c("codigo_semaforo")).alias("semaforo_distinto_del_origen"))
+
+
+def _affiliations(facts: DataFrame, affiliations: DataFrame) -> DataFrame:
+    held = covering(
+        facts.select(_c("id_lectura").alias("id"), _c("id_medico").alias("k"), clinical_day("fecha_hora").alias("dia")),
+        affiliations.select(_c("id_medico").alias("k"), _c("fecha_inicio").alias("desde"), _c("fecha_final").alias("hasta"), _c("id_clinica").alias("valor")),
+    ).join(facts.select(_c("id_lectura").alias("id"), "id_clinica"), "id")
+    return held.agg(F.count_if((_c("cubren") != 1) | ~_c("valor").eqNullSafe(_c("id_clinica"))).alias("afiliacion_no_aplicable"))
 
 
 def report(*, readings: DataFrame, facts: DataFrame, raw_facts: DataFrame, sessions: DataFrame, pregnancies: DataFrame, raw_pregnancies: DataFrame, physicians: DataFrame, affiliations: DataFrame, clinics: DataFrame, source_clinics: DataFrame, levels: DataFrame, raw_levels: DataFrame, source_levels: DataFrame, star: dict[str, DataFrame] | None = None) -> DataFrame:
     """control, bloqueante, discrepancias. A load may be published if every blocking check has none.
 
-    All checks are one plan: those over the facts alone share one scan, comparisons are
-    distinct set differences in which nulls are equal, and periods are swept (see
-    ``covering``) instead of joined by ranges.
+    All checks are one plan of few passes: the ids of both sides in one aggregation, the
+    facts with their dimensions in one, the facts with their readings in one. Comparisons
+    are set differences in which nulls are equal, and periods are swept (see ``covering``)
+    instead of joined by ranges. pregnancies and levels have one row per key. readings have
+    those of the columns ``COPIED`` that can be compared.
 
     star: dim_paciente, dim_tiempo_gestacional, dim_factor_riesgo and puente_embarazo_factor of
     a written star. With them orphans are looked for in all of it: facts in all six
     dimensions, where a null key is an orphan, physicians and patients without their clinic
     (null is none), pregnancies without patient, and bridge rows without pregnancy or factor.
     """
-    readings, facts = checkpoint(readings), checkpoint(facts)  # most checks read them
-    leveled = facts.join(levels.select("id_semaforo", "codigo_nivel"), "id_semaforo")
-    with_source = facts.select("id_lectura", *[_c(c).alias(f"h_{c}") for c in ("id_sesion", "hr_valor", "spo2_valor", "mov_valor", "fecha_hora")]).join(readings, "id_lectura")
-    pairs = [("h_id_sesion", "id_sesion"), ("h_hr_valor", "hr_valor"), ("h_spo2_valor", "spo2_valor"), ("h_mov_valor", "mov_valor"), ("h_fecha_hora", "fecha_hora_captura")]
-    equal = reduce(Column.__and__, [_c(a).eqNullSafe(_c(b)) for a, b in pairs])
-    shape = vitals_shape(_c("hr_valor"), _c("spo2_valor"), _c("mov_valor")) | movement_shape(_c("hr_valor"), _c("spo2_valor"), _c("mov_valor"))
-    week = _c("id_tiempo_gestacional") - 99
-    dated = facts.select("id_lectura", "id_embarazo", "id_tiempo_gestacional", clinical_day("fecha_hora").alias("dia")).join(pregnancies.select("id_embarazo", "fecha_inicio", "fecha_cierre"), "id_embarazo")
-    weeks = F.signum(F.datediff("dia", "fecha_inicio").cast("double")) * F.floor(F.abs(F.datediff("dia", "fecha_inicio")) / 7) + 1  # towards zero, as integer division
-
-    unmatched = lambda df, other, key: df.join(other.select(key).distinct(), key, "left_anti")
-    missing = lambda df, other, key: unmatched(df.filter(_c(key).isNotNull()), other, key)
-    of_facts = [(pregnancies, "id_embarazo"), (clinics, "id_clinica"), (physicians, "id_medico"), (levels, "id_semaforo")]
-    loose = [missing(pregnancies, clinics, "id_clinica")]
+    dims = {"id_sesion": sessions, "id_clinica": clinics, "id_medico": physicians}
+    parents = [(pregnancies, "id_clinica", clinics, False)]
+    repeated = [raw_facts.agg((F.count("*") - F.countDistinct("id_lectura")).alias("n"))]
     if star is not None:
-        patients = star["dim_paciente"]
-        of_facts += [(patients, "id_paciente"), (star["dim_tiempo_gestacional"], "id_tiempo_gestacional")]
+        dims["id_paciente"] = star["dim_paciente"]
         linked = star["puente_embarazo_factor"]
-        for other, key in ((pregnancies, "id_embarazo"), (star["dim_factor_riesgo"], "id_factor_riesgo")):
-            linked = linked.join(other.select(key, F.lit(True).alias(f"_{key}")).distinct(), key, "left")
-        loose += [missing(physicians, clinics, "id_clinica"), missing(patients, clinics, "id_clinica"), unmatched(pregnancies, patients, "id_paciente"), linked.filter("_id_embarazo is null or _id_factor_riesgo is null")]
-    in_facts = missing if star is None else unmatched
-    no_parent = reduce(DataFrame.unionByName, [x.select("id_lectura") for x in (missing(facts, sessions, "id_sesion"), *[in_facts(facts, other, key) for other, key in of_facts])])
-    held = covering(
-        facts.select(_c("id_lectura").alias("id"), _c("id_medico").alias("k"), clinical_day("fecha_hora").alias("dia")),
-        affiliations.select(_c("id_medico").alias("k"), _c("fecha_inicio").alias("desde"), _c("fecha_final").alias("hasta"), _c("id_clinica").alias("valor")),
-    ).join(facts.select(_c("id_lectura").alias("id"), "id_clinica"), "id")
-
-    blocking = {
-        "lecturas_sin_hecho": _n(readings.select("id_lectura").subtract(facts.select("id_lectura"))),
-        "hechos_sin_lectura_origen": _n(facts.select("id_lectura").subtract(readings.select("id_lectura"))),
-        "sesiones_distintas": symmetric_difference(readings.select("id_sesion"), facts.select("id_sesion")),
-        "contenido_divergente": _n(with_source, ~equal),
-        "semaforo_distinto_del_origen": _n(leveled.select("id_lectura", "codigo_nivel").join(readings.select("id_lectura", "codigo_semaforo"), "id_lectura"), "codigo_nivel <> codigo_semaforo"),
-        "semaforo_distinto_de_la_mayor_severidad": _n(leveled, _c("codigo_nivel") != F.coalesce(severest(_c("estado_hr"), _c("estado_spo2"), _c("estado_mov")), F.lit("OK"))),
-        "forma_invalida": _n(facts, ~shape),
-        "movimiento_antes_de_semana_20": _n(facts, _c("mov_valor").isNotNull() & (week < 20)),
-        "fecha_fuera_del_embarazo": _n(dated, "dia < fecha_inicio or dia > fecha_cierre"),
-        "claves_duplicadas": raw_facts.agg((F.count("*") - F.countDistinct("id_lectura")).alias("discrepancias")),
-        "huerfanos_del_hecho": _n(no_parent.distinct()),
-        "huerfanos_de_dimensiones": _n(reduce(DataFrame.unionByName, [x.select(F.lit(1).alias("uno")) for x in loose])),
-        "afiliacion_no_aplicable": _n(held, (_c("cubren") != 1) | (_c("valor") != _c("id_clinica"))),
-        "dim_clinica_distinta_del_origen": symmetric_difference(source_clinics.select(*_CLINIC), clinics.select(*_CLINIC)),
-        "dim_semaforo_distinta_del_origen": symmetric_difference(source_levels, raw_levels.select(*source_levels.columns)),
-        "catalogo_semaforo_incoherente": _n(levels, ~F.expr("(codigo_nivel, cast(prioridad as int)) IN (('OK', 1), ('WARNING', 2), ('ERROR', 3))")),
-        "dim_embarazo_duracion": _n(pregnancies, F.datediff("fecha_probable_parto", "fecha_inicio") != 7 * _c("duracion_est_semanas")),
-    }
-    informative = {
-        "clasificacion_embarazo_pendiente": _n(raw_pregnancies, "clasificacion_embarazo is null"),
-        "semana_recalculada_distinta": _n(dated, (_c("id_tiempo_gestacional") - 99) != weeks),
-        "sesiones_sin_lecturas": _n(sessions.select("id_sesion").distinct().join(readings.select("id_sesion"), "id_sesion", "left_anti")),
-    }
-    rows = [df.select(F.lit(name).alias("control"), F.lit(block).alias("bloqueante"), "discrepancias") for checks, block in ((blocking, True), (informative, False)) for name, df in checks.items()]
-    return reduce(DataFrame.unionByName, rows)
+        parents = [(physicians, "id_clinica", clinics, False), (star["dim_paciente"], "id_clinica", clinics, False), (pregnancies, "id_paciente", star["dim_paciente"], True)]
+        repeated.append(linked.agg((F.count("*") - F.countDistinct(F.struct("id_embarazo", "id_factor_riesgo"))).alias("n")))
+    loose = [(df if null_too else df.filter(_c(key).isNotNull())).join(other.select(key).distinct(), key, "left_anti").agg(F.count("*").alias("n")) for df, key, other, null_too in parents]
+    if star is not None:
+        both = linked.join(_known(pregnancies, "id_embarazo", "_e"), "id_embarazo", "left").join(_known(star["dim_factor_riesgo"], "id_factor_riesgo", "_r"), "id_factor_riesgo", "left")
+        loose.append(both.agg(F.count_if(_c("_e").isNull() | _c("_r").isNull()).alias("n")))
+    total = lambda parts, name: reduce(DataFrame.unionByName, parts).agg(F.sum("n").alias(name))
+    counts = [
+        _keys(readings, facts, sessions),
+        _against_source(facts, readings, levels),
+        _of_facts(facts, dims, pregnancies, levels, None if star is None else star["dim_tiempo_gestacional"], star is not None),
+        total(repeated, "claves_duplicadas"),
+        total(loose, "huerfanos_de_dimensiones"),
+        _affiliations(facts, affiliations),
+        symmetric_difference(source_clinics.select(*_CLINIC), clinics.select(*_CLINIC)).withColumnRenamed("discrepancias", "dim_clinica_distinta_del_origen"),
+        symmetric_difference(source_levels, raw_levels.select(*source_levels.columns)).withColumnRenamed("discrepancias", "dim_semaforo_distinta_del_origen"),
+        levels.agg(F.count_if(~F.expr("(codigo_nivel, cast(prioridad as int)) IN (('OK', 1), ('WARNING', 2), ('ERROR', 3))")).alias("catalogo_semaforo_incoherente")),
+        pregnancies.agg(F.count_if(F.datediff("fecha_probable_parto", "fecha_inicio") != 7 * _c("duracion_est_semanas")).alias("dim_embarazo_duracion")),
+        raw_pregnancies.agg(F.count_if(_c("clasificacion_embarazo").isNull()).alias("clasificacion_embarazo_pendiente")),
+    ]
+    return reduce(DataFrame.unionByName, [as_rows(x) for x in counts])

@@ -17,7 +17,7 @@ from telar.operators.copies import symmetric_difference
 from telar.operators.coverage import covering
 from telar.operators.merging import append_anomalies, mint_pseudonyms, type1_merge
 from telar.operators.ranking import single_or_null
-from telar.operators.reconcile import report
+from telar.operators.reconcile import as_rows, report
 from telar.session import checkpoint
 from telar.sources.sinks import Published
 
@@ -131,9 +131,10 @@ def reconcile(t: Tables, written: Tables) -> DataFrame:
     by the merge and reported here.
     """
     c = F.col
-    facts = checkpoint(written["hechos"])
-    readings = t["lecturas_biometricas"].join(t["semaforos"].select("id_semaforo", c("codigo_nivel").alias("codigo_semaforo")), "id_semaforo")
-    readings = readings.withColumn("id_lectura", c("id_lectura").cast("long")).withColumn("mov_valor", c("mov_valor").cast("int"))
+    facts = written["hechos"]
+    context = t["sesiones_monitoreo"].select("id_sesion", "id_embarazo").join(t["embarazos"].select("id_embarazo", "id_paciente", "id_clinica"), "id_embarazo", "left")
+    readings = t["lecturas_biometricas"].join(t["semaforos"].select("id_semaforo", c("codigo_nivel").alias("codigo_semaforo")), "id_semaforo", "left").join(context, "id_sesion", "left")
+    readings = readings.withColumnsRenamed({"id_tiempo_gest": "id_tiempo_gestacional", "fecha_hora_captura": "fecha_hora"}).withColumns({"id_lectura": c("id_lectura").cast("long"), "mov_valor": c("mov_valor").cast("int")})
     clinic = ["id_clinica", "nombre_clinica", "provincia", "distrito"]
     common = report(
         readings=readings, facts=facts, raw_facts=facts, sessions=t["sesiones_monitoreo"], pregnancies=written["dim_embarazo"], raw_pregnancies=written["dim_embarazo"], physicians=written["dim_medico"], affiliations=t["medico_clinica"],
@@ -142,15 +143,14 @@ def reconcile(t: Tables, written: Tables) -> DataFrame:
     )
     source = dimensions(t)
     other = ["dim_tiempo_gestacional", "dim_factor_riesgo", "dim_medico", "dim_paciente", "dim_embarazo", "puente_embarazo_factor"]
-    dims = {f"{n}_distinta_del_origen": symmetric_difference(source[n], written[n].select(*source[n].columns)) for n in other}
+    dims = [symmetric_difference(source[n], written[n].select(*source[n].columns)).withColumnRenamed("discrepancias", f"{n}_distinta_del_origen") for n in other]
     day = timeutil.clinical_day("fecha_hora")
-    follow = t["seguimiento_clinico"].filter("rol_seguimiento = 'PRINCIPAL'")
-    who = covering(facts.select(c("id_lectura").alias("id"), c("id_embarazo").alias("k"), day.alias("dia")), follow.select(c("id_embarazo").alias("k"), c("fecha_asignacion").alias("desde"), c("fecha_fin").alias("hasta"), c("id_medico").alias("valor")))
-    who = who.join(facts.select(c("id_lectura").alias("id"), "id_medico"), "id")
-    n = lambda cond: who.agg(F.count_if(cond).alias("discrepancias"))
-    extra = {"medico_no_resoluble": n(c("cubren") != 1), "medico_distinto_del_responsable": n((c("cubren") == 1) & (c("valor") != c("id_medico")))} | dims
-    rows = [df.select(F.lit(name).alias("control"), F.lit(True).alias("bloqueante"), "discrepancias") for name, df in extra.items()]
-    return reduce(DataFrame.unionByName, rows, common)
+    follow = t["seguimiento_clinico"].filter("rol_seguimiento = 'PRINCIPAL'").select("id_embarazo", "id_medico", c("fecha_asignacion").alias("desde"), c("fecha_fin").alias("hasta"), F.lit(None).cast("long").alias("valor"))
+    pair = F.xxhash64("id_embarazo", "id_medico")
+    any_ = covering(facts.select(c("id_lectura").alias("id"), c("id_embarazo").alias("k"), day.alias("dia")), follow.withColumn("k", c("id_embarazo")))
+    own = covering(facts.select(c("id_lectura").alias("id"), pair.alias("k"), day.alias("dia")), follow.withColumn("k", pair))
+    who = [any_.agg(F.count_if(c("cubren") != 1).alias("medico_no_resoluble")), own.agg(F.count_if(c("cubren") == 0).alias("medico_distinto_del_responsable"))]
+    return reduce(DataFrame.unionByName, [as_rows(x) for x in (*who, *dims)], common)
 
 
 def _refuse(rows: DataFrame, key: str) -> None:

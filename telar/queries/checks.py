@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from telar.operators import reconcile, validation
 from telar.plans import relations as R
 from telar.queries.registry import Registry
-from telar.session import table
+from telar.session import checkpoint, table
 
 query = Registry()
 
@@ -58,13 +58,13 @@ union all select 'sesiones_distintas', true, (select count(*) from (select id_se
 union all select 'contenido_divergente', true, count(*) from hechos h join lecturas l using (id_lectura) where (h.id_sesion, h.hr_valor, h.spo2_valor, h.mov_valor, h.fecha_hora) is distinct from (l.id_sesion, l.hr_valor, l.spo2_valor, l.mov_valor, l.fecha_hora_captura)
 union all select 'semaforo_distinto_del_origen', true, count(*) from hechos h join niveles n using (id_semaforo) join lecturas l on h.id_lectura = l.id_lectura where n.codigo_nivel <> l.codigo_semaforo
 union all select 'semaforo_distinto_de_la_mayor_severidad', true, count(*) from hechos h join niveles n using (id_semaforo) where n.codigo_nivel <> case when 'ERROR' in (estado_hr, estado_spo2, estado_mov) then 'ERROR' when 'WARNING' in (estado_hr, estado_spo2, estado_mov) then 'WARNING' else 'OK' end
-union all select 'forma_invalida', true, count(*) from hechos where not ((hr_valor is not null and spo2_valor is not null and mov_valor is null) or (hr_valor is null and spo2_valor is null and mov_valor is not null))
+union all select 'forma_invalida', true, count(*) from hechos where not ((hr_valor is not null and spo2_valor is not null and mov_valor is null and estado_hr is not null and estado_spo2 is not null and estado_mov is null) or (hr_valor is null and spo2_valor is null and mov_valor is not null and estado_hr is null and estado_spo2 is null and estado_mov is not null))
 union all select 'movimiento_antes_de_semana_20', true, count(*) from hechos where mov_valor is not null and id_tiempo_gestacional - 99 < 20
 union all select 'fecha_fuera_del_embarazo', true, count(*) from hechos h join embarazos e using (id_embarazo) where cast(h.fecha_hora at time zone 'America/Panama' as date) < e.fecha_inicio or cast(h.fecha_hora at time zone 'America/Panama' as date) > e.fecha_cierre
 union all select 'claves_duplicadas', true, count(*) - count(distinct id_lectura) from fact_lectura_biometrica
 union all select 'huerfanos_del_hecho', true, count(*) from hechos where id_sesion not in (select id_sesion from sesion_monitoreo) or id_embarazo not in (select id_embarazo from embarazos) or id_clinica not in (select id_clinica from clinicas) or id_medico not in (select id_medico from dim_medico_version) or id_semaforo not in (select id_semaforo from niveles)
 union all select 'huerfanos_de_dimensiones', true, count(*) from embarazos where id_clinica not in (select id_clinica from clinicas)
-union all select 'afiliacion_no_aplicable', true, count(*) from (select h.id_lectura, h.id_clinica, count(a.id_medico) k, max(a.id_clinica) v from hechos h left join medico_clinica a on a.id_medico = h.id_medico and a.fecha_inicio <= cast(h.fecha_hora at time zone 'America/Panama' as date) and (a.fecha_final is null or a.fecha_final >= cast(h.fecha_hora at time zone 'America/Panama' as date)) group by 1, 2) where k <> 1 or v <> id_clinica
+union all select 'afiliacion_no_aplicable', true, count(*) from (select h.id_lectura, h.id_clinica, count(a.id_medico) k, max(a.id_clinica) v from hechos h left join medico_clinica a on a.id_medico = h.id_medico and a.fecha_inicio <= cast(h.fecha_hora at time zone 'America/Panama' as date) and (a.fecha_final is null or a.fecha_final >= cast(h.fecha_hora at time zone 'America/Panama' as date)) group by 1, 2) where k <> 1 or v is distinct from id_clinica
 union all select 'dim_clinica_distinta_del_origen', true, (select count(*) from (select {", ".join(["id_clinica", *R.CLINIC])} from origen except select {", ".join(["id_clinica", *R.CLINIC])} from clinicas)) + (select count(*) from (select {", ".join(["id_clinica", *R.CLINIC])} from clinicas except select {", ".join(["id_clinica", *R.CLINIC])} from origen))
 union all select 'dim_semaforo_distinta_del_origen', true, (select count(*) from (select * from semaforo except select * from dim_semaforo)) + (select count(*) from (select * from dim_semaforo except select * from semaforo))
 union all select 'catalogo_semaforo_incoherente', true, count(*) from niveles where (codigo_nivel, prioridad) not in (('OK', 1), ('WARNING', 2), ('ERROR', 3))
@@ -75,8 +75,8 @@ union all select 'sesiones_sin_lecturas', false, count(*) from (select distinct
 def reconcile_report(spark, d):
     """Every check's discrepancies in one report."""
     return reconcile.report(
-        readings=R.readings(spark, d),
-        facts=R.facts(spark, d),
+        readings=R.readings(spark, d).withColumnRenamed("fecha_hora_captura", "fecha_hora"),
+        facts=checkpoint(R.facts(spark, d)),  # each pass would tell repeated rows apart anew
         raw_facts=table(spark, d, "fact_lectura_biometrica"),
         sessions=table(spark, d, "sesion_monitoreo"),
         pregnancies=R.pregnancies(spark, d),

@@ -6,6 +6,7 @@ from canonical import build
 from pyspark.sql import functions as F
 
 from telar.plans import etl
+from telar.session import checkpoint
 from telar.sources import dataset
 from telar.sources.sinks import LockBusy, Published, append_audit, write_csv, write_json
 
@@ -107,7 +108,7 @@ def test_faults_are_rows_and_stop_the_run(spark, doc, tables, tmp_path):
 
 def test_orphans_of_a_written_star(spark, tables):
     star = etl.dimensions(tables) | {"hechos": etl.facts_of(etl.new_readings(tables, None))}
-    star = {n: df.localCheckpoint() for n, df in star.items()}
+    star = {n: checkpoint(df) for n, df in star.items()}
     one = lambda n, key, value, to: star[n].withColumn(key, F.when(F.col(value[0]) == value[1], to).otherwise(F.col(key)))
     h = star["hechos"].toPandas()
     reading, patient, week = int(h.id_lectura[0]), int(h.id_paciente[0]), int(h.id_tiempo_gestacional[0])
