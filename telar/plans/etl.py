@@ -16,10 +16,11 @@ from telar.functions import levels, text, timeutil
 from telar.operators.copies import symmetric_difference
 from telar.operators.coverage import covering
 from telar.operators.merging import append_anomalies, mint_pseudonyms, type1_merge
-from telar.operators.ranking import single_or_null
+from telar.operators.ranking import single_or_null, top_n
 from telar.operators.reconcile import as_rows, report
 from telar.session import checkpoint
-from telar.sources.sinks import Published
+from telar.sources.dataset import declared_totals_differ
+from telar.sources.sinks import Published, Write
 
 Tables = dict[str, DataFrame]
 
@@ -27,6 +28,10 @@ Tables = dict[str, DataFrame]
 DIMENSIONS = {"dim_clinica": ["id_clinica"], "dim_semaforo": ["id_semaforo"], "dim_tiempo_gestacional": ["id_tiempo_gestacional"], "dim_factor_riesgo": ["id_factor_riesgo"], "dim_medico": ["id_medico"], "dim_paciente": ["id_paciente"], "dim_embarazo": ["id_embarazo"], "puente_embarazo_factor": ["id_embarazo", "id_factor_riesgo"]}
 
 
+#: Ids that a refusal names for each rule.
+IDS_NAMED = 10
+
+
 class LoadRefused(ValueError):
     """The rules that were broken and the first ids of each; never a measured or personal value."""
 
@@ -71,8 +76,8 @@ def dimension_faults(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def new_readings(t: Tables, facts: DataFrame | None) -> DataFrame:
-    """Readings that the facts lack, classified, with the day, the physician and the clinic they fall to.
+def new_readings(t: Tables, facts: DataFrame | None, r: levels.Rules = levels.Rules()) -> DataFrame:
+    """Readings that the facts lack, classified by the rules, with the day, the physician and the clinic they fall to.
 
     ``reglas`` lists what keeps a reading from being loaded.
     """
@@ -83,9 +88,9 @@ def new_readings(t: Tables, facts: DataFrame | None) -> DataFrame:
         .join(t["tiempo_gestacional"].select("id_tiempo_gest", "semana_gestacion", "trimestre"), "id_tiempo_gest")
         .join(t["semaforos"].select("id_semaforo", "codigo_nivel"), "id_semaforo")
         .withColumn("fecha_clinica", timeutil.clinical_day("fecha_hora_captura"))
-        .withColumn("estado_hr", levels.hr_level(F.col("hr_valor")))
-        .withColumn("estado_spo2", levels.spo2_level(F.col("spo2_valor")))
-        .withColumn("estado_mov", levels.mov_level(F.col("mov_valor"), F.col("semana_gestacion"), F.col("trimestre")))
+        .withColumn("estado_hr", levels.hr_level(F.col("hr_valor"), r))
+        .withColumn("estado_spo2", levels.spo2_level(F.col("spo2_valor"), r))
+        .withColumn("estado_mov", levels.mov_level(F.col("mov_valor"), F.col("semana_gestacion"), F.col("trimestre"), r))
     )
     ctx = checkpoint(ctx.withColumn("semaforo_derivado", levels.severest(F.col("estado_hr"), F.col("estado_spo2"), F.col("estado_mov"))))
     follow = t["seguimiento_clinico"].filter("rol_seguimiento = 'PRINCIPAL'").join(ctx.select("id_embarazo"), "id_embarazo", "left_semi")
@@ -154,51 +159,68 @@ def reconcile(t: Tables, written: Tables) -> DataFrame:
 
 
 def _refuse(rows: DataFrame, key: str) -> None:
-    """Raises with the rules broken and their ten least ids; a count and ten ids per rule reach the driver."""
-    found = rows.groupBy("regla").agg(F.count("*").alias("n"), F.min(key).alias("primera")).orderBy("regla").collect()
+    """Raises with the rules broken, their numbers of rows and their ten least ids, which is all that reaches the driver."""
+    counts = rows.groupBy("regla").agg(F.count("*").alias("n"))
+    ids = top_n(rows.select("regla", F.col(key).alias("k")).distinct(), ["regla"], [F.col("k")], IDS_NAMED).groupBy("regla").agg(F.sort_array(F.collect_list("k")).alias("ids"))
+    found = counts.join(ids, "regla", "left").orderBy("regla").collect()
     if found:
-        raise LoadRefused("; ".join(f"{r.regla}: {r.n} rows, first id {r.primera}" for r in found))
+        raise LoadRefused("; ".join(f"{r.regla}: {r.n} rows, ids {', '.join(map(str, r.ids or []))}" for r in found))
+
 
+def _refuse_catalogue(levels_: DataFrame, version: str) -> None:
+    """The catalogue has one row per level, so a few more than that show any fault."""
+    held = levels_.select("codigo_nivel", F.col("prioridad").cast("int").alias("p"), "version_referencia").orderBy("codigo_nivel").limit(10 * len(levels.RANKS)).collect()
+    if faults := levels.catalogue_faults([tuple(r) for r in held], levels.rules(version)):
+        raise LoadRefused("catalogo_semaforo: " + "; ".join(faults))
 
-def run(t: Tables, star: Published) -> dict[str, int]:
+
+def run(t: Tables, star: Published, version: str = "SIM-1.0", declared: dict[str, int] | None = None, stale_after_s: float | None = None) -> dict[str, int]:
     """Loads all new readings and the dimensions, or nothing; returns counters.
 
-    The facts are written anew with the version (old rows read from the version before), so
-    that readers of either version see whole tables.
+    The lock is held from before anything is read: of two runs at a time the second is
+    refused at once (``LockBusy``), and takes over only a lock not renewed for
+    ``stale_after_s``. Facts and pseudonyms are appended; dimensions, which are small
+    beside them, are written whole. version is that of the thresholds, which the catalogue
+    must have. declared: rows that sections of the source must have, so that one read in
+    part is refused.
     """
+    with star.writing(stale_after_s) as write:
+        return _load(t, write, version, declared or {})
+
+
+def _load(t: Tables, write: Write, version: str, declared: dict[str, int]) -> dict[str, int]:
+    _refuse_catalogue(t["semaforos"], version)
+    if differ := declared_totals_differ(t, declared):
+        raise LoadRefused("; ".join(f"{s}: {have} rows of {want} declared" for s, (want, have) in sorted(differ.items())))
     _refuse(dimension_faults(t), "clave")
-    old = {n: star.read(n) for n in (*DIMENSIONS, "hechos", "seudonimos")}
     counters: dict[str, int] = {}
-    staged: Tables = {}
+    replaced: Tables = {}
     for name, new in dimensions(t).items():
-        key = DIMENSIONS[name]
-        columns = [c for c in new.columns if c not in key]
-        held = old[name] if old[name] is not None else new.limit(0)
-        merged = checkpoint(type1_merge(held, new, key, columns))
+        key, held = DIMENSIONS[name], write.read(name)
+        merged = checkpoint(type1_merge(new.limit(0) if held is None else held, new, key, [c for c in new.columns if c not in key]))
         for r in merged.groupBy("accion").count().collect():
             counters[f"{name}.{r.accion}"] = r["count"]
-        staged[name] = merged.drop("accion")
-    seen = checkpoint(new_readings(t, old["hechos"]))
+        replaced[name] = merged.drop("accion")
+        write.renew()
+    facts = write.read("hechos")
+    seen = checkpoint(new_readings(t, facts, levels.rules(version)))
     _refuse(violations(seen), "id_lectura")
     new = facts_of(seen)
-    if old["hechos"] is not None:
-        _refuse(append_anomalies(old["hechos"], new, "id_lectura").withColumnRenamed("motivo", "regla"), "id_lectura")
-    else:
-        _refuse(append_anomalies(new.limit(0), new, "id_lectura").withColumnRenamed("motivo", "regla"), "id_lectura")
-    selected = seen.count()
-    counters["hechos.nuevos"] = new.count()
+    _refuse(append_anomalies(new.limit(0) if facts is None else facts, new, "id_lectura").withColumnRenamed("motivo", "regla"), "id_lectura")
+    selected, counters["hechos.nuevos"] = seen.count(), new.count()
     if counters["hechos.nuevos"] != selected:
         raise LoadRefused(f"{selected} readings selected, {counters['hechos.nuevos']} to be loaded")
-    staged["hechos"] = new if old["hechos"] is None else old["hechos"].unionByName(new)
-    map_ = old["seudonimos"] if old["seudonimos"] is not None else staged["dim_embarazo"].select("id_embarazo").limit(0).withColumn("seudonimo", F.lit("").cast("string"))
-    minted = checkpoint(mint_pseudonyms(map_, staged["dim_embarazo"], "id_embarazo"))  # uuid() must not be evaluated twice
-    counters["seudonimos.nuevos"] = minted.count()
-    staged["seudonimos"] = map_.unionByName(minted)
+    appended = {"hechos": new}
+    for name, dim, key in (("seudonimos", "dim_embarazo", "id_embarazo"), ("seudonimos_paciente", "dim_paciente", "id_paciente")):
+        held = write.read(name)
+        held = replaced[dim].select(key).limit(0) if held is None else held
+        appended[name] = checkpoint(mint_pseudonyms(held, replaced[dim], key))  # uuid() must not be evaluated twice
+        counters[f"{name}.nuevos"] = appended[name].count()
 
     def check(written: Tables) -> list[str]:
         """The blocking checks that found something in what was written."""
         found = reconcile(t, written).filter("bloqueante and discrepancias > 0").orderBy("control").collect()
         return [f"{r.control}: {r.discrepancias}" for r in found]
 
-    star.publish(staged, check)
+    write.publish(replaced, appended, check)
     return counters

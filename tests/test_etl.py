@@ -150,6 +150,63 @@ def test_publication_is_all_or_nothing(spark, tmp_path):
     assert p.read("t").count() == 5
 
 
+def test_overlapping_runs(spark, tables, tmp_path):
+    """The second of two runs is refused at once; a lock of a run that died can be taken over, and not used by it any more."""
+    star = Published(spark, str(tmp_path / "star"))
+    with star.writing() as write:
+        with pytest.raises(LockBusy):
+            etl.run(tables, star)
+        write.publish({"a": spark.range(2)})
+    assert star.read("a").count() == 2
+    dead = star.writing()
+    lost = dead.__enter__()
+    with pytest.raises(LockBusy), star.writing(stale_after_s=600):
+        pass
+    with star.writing(stale_after_s=-1) as write:
+        write.publish({}, {"a": spark.range(3)})
+        with pytest.raises(LockBusy):
+            lost.publish({"a": spark.range(9)})
+    dead.__exit__(None, None, None)
+    assert star.read("a").count() == 5
+    with star.writing() as write:
+        old = write.base
+        write.compact("a", 1)
+    assert star.read("a").count() == 5 and len(star.folders(star.current())["a"]) == 1 and star.read("a", old).count() == 5
+
+
+def test_a_load_writes_only_what_is_new(spark, tables, tmp_path):
+    star = Published(spark, str(tmp_path / "star"))
+    first = dict(tables)
+    first["lecturas_biometricas"] = tables["lecturas_biometricas"].filter("id_lectura < 1000")
+    assert etl.run(first, star)["hechos.nuevos"] == 900
+    held = star.folders(star.current())["hechos"]
+    assert etl.run(tables, star, declared={"lecturas_biometricas": 1180})["hechos.nuevos"] == 280
+    now = star.folders(star.current())["hechos"]
+    assert now[:1] == held and len(now) == 2 and spark.read.parquet(f"{star.path}/{now[1]}").count() == 280
+    with pytest.raises(etl.LoadRefused, match="lecturas_biometricas: 1180 rows of 1181"):
+        etl.run(tables, star, declared={"lecturas_biometricas": 1181})
+
+
+def test_the_catalogue_must_be_that_of_the_rules(spark, tables, tmp_path):
+    star = Published(spark, str(tmp_path / "star"))
+    other = dict(tables)
+    other["semaforos"] = tables["semaforos"].withColumn("version_referencia", F.lit("SIM-2.0"))
+    with pytest.raises(etl.LoadRefused, match="version of ERROR is SIM-2.0"):
+        etl.run(other, star)
+    other["semaforos"] = tables["semaforos"].withColumn("prioridad", F.lit(1).cast("short"))
+    with pytest.raises(etl.LoadRefused, match="priority of WARNING is 1"):
+        etl.run(other, star)
+    with pytest.raises(ValueError, match="no rules of version SIM-9"):
+        etl.run(tables, star, version="SIM-9")
+    assert star.current() is None
+
+
+def test_refusals_name_ten_ids(spark):
+    rows = spark.range(40).select((F.col("id") % 25).alias("clave"), F.lit("regla_a").alias("regla"))
+    with pytest.raises(etl.LoadRefused, match="regla_a: 40 rows, ids 0, 1, 2, 3, 4, 5, 6, 7, 8, 9$"):
+        etl._refuse(rows, "clave")
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "ñ"), (2, None)], "id long, t string").coalesce(1)
     write_csv(df, str(tmp_path / "csv"))
