@@ -15,16 +15,17 @@ def nice_step(span: Column, marks: int = 4) -> Column:
     return F.when(span > 0, nice * power).otherwise(1.0)
 
 
-def widened(low: Column, high: Column) -> tuple[Column, Column]:
-    """Bounds that differ: equal ones are moved apart by five per cent (of one, for zero)."""
-    by = F.when(low == high, F.when(low == 0, 1.0).otherwise(F.abs(low) * 0.05)).otherwise(0.0)
-    return low - by, high + by
+def bounds(low: Column, high: Column, from_zero: bool = False) -> tuple[Column, Column]:
+    """What an axis has to span. Bars begin at zero; equal bounds are moved apart by five per cent (of one, for zero), those of bars upwards only."""
+    low = F.lit(0.0) if from_zero else low
+    by = F.when(low == high, F.when(high == 0, 1.0).otherwise(F.abs(high) * 0.05)).otherwise(0.0)
+    return low if from_zero else low - by, high + by
 
 
-def marks(low: Column, high: Column, step: Column) -> Column:
-    """Multiples of the step from below the low bound to above the high one."""
-    first, last = F.floor(low / step).cast("int"), F.ceil(high / step).cast("int")
-    return F.transform(F.sequence(first, last), lambda i: i * step)
+def marks(low: Column, high: Column, step: Column, from_zero: bool = False) -> Column:
+    """Multiples of the step up to the high bound or just above it: from zero for bars, for lines from a whole step below the low bound's."""
+    first = F.lit(0) if from_zero else F.floor(low / step).cast("int") - 1
+    return F.transform(F.sequence(first, F.ceil(high / step).cast("int")), lambda i: i * step)
 
 
 def scaled(v: Column, low: Column, high: Column, from_: float, to: float) -> Column:

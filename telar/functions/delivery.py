@@ -24,16 +24,28 @@ def lease_seconds(http_timeout: float = HTTP_TIMEOUT_S) -> float:
 
 
 def outcome(code: Column, coherent: Column) -> Column:
-    """What an HTTP answer means; a 201 counts only if its header and body are coherent. No answer is a retry."""
+    """What an HTTP answer means; a 201 counts only if it is coherent (``coherent_201``). Of server errors those from 500 to 599 are tried again. No answer is a retry."""
     return (
         F.when(code.isNull(), RETRY)
         .when((code == 201) & coherent, DELIVERED)
         .when(code.isin(401, 403), RETRY_AND_STOP)
-        .when(code >= 500, RETRY)
+        .when(code.between(500, 599), RETRY)
         .otherwise(REJECTED)
     )
 
 
+def coherent_201(replay: Column, body: Column, sent: Column) -> Column:
+    """The five conditions of an answer 201 that confirms a package of so many readings, as one flag.
+
+    The header says whether it is a replay (``true`` or ``false``); the body can be read and
+    has its fields; it names as many readings as it says it made; and these are as many as were sent.
+    """
+    made = F.get_json_object(body, "$.lecturas_creadas").try_cast("int")
+    named = F.json_array_length(F.get_json_object(body, "$.ids_lectura"))
+    read = F.get_json_object(body, "$.id_sesion").try_cast("int").isNotNull() & made.isNotNull() & named.isNotNull()
+    return F.coalesce(replay.isin("true", "false") & read & (named == made) & (made == sent), F.lit(False))
+
+
 def payload_size(payload: Column) -> Column:
     """Number of readings of a package; null if it can't be read."""
     return F.json_array_length(F.get_json_object(payload, "$.lecturas"))
@@ -43,6 +55,7 @@ def terminal(state: Column, retryable: Column) -> Column:
     return (state == SENT) | ((state == FAILED) & ~F.coalesce(retryable, F.lit(False)))
 
 
-def eligible(state: Column, retryable: Column, attempts: Column, limit: Column, next_at: Column, now: Column) -> Column:
-    """Not terminal, attempts left, and its schedule due; open leases are excluded by an anti-join."""
-    return ~terminal(state, retryable) & (attempts < limit) & (next_at.isNull() | (next_at <= now))
+def eligible(state: Column, retryable: Column, attempts: Column, limit: Column, next_at: Column, now: Column, open_attempt: Column, scheduled: bool = True) -> Column:
+    """Not terminal, attempts left, no attempt open, and its schedule due; the schedule is not looked at when a person asks (``scheduled`` false)."""
+    may = ~terminal(state, retryable) & (attempts < limit) & ~F.coalesce(open_attempt, F.lit(False))
+    return may & (next_at.isNull() | (next_at <= now)) if scheduled else may

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Fixed value: the form of an idempotency key.
 KEY_FORM = "^[A-Za-z0-9_-]{8,128}$"
 EMAIL_FORM = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
+# The form of an address that registers itself, in lower case, and of a day.
+REGISTRATION_EMAIL_FORM = r"^paciente[0-9]{2,}@example\.com$"
 DATE_FORM = r"^\d{4}-\d{2}-\d{2}$"
 
 
@@ -22,8 +24,9 @@ def canonical_email(email: Column) -> Column:
     return F.lower(F.regexp_replace(email, r"^\s+|\s+$", ""))
 
 
-def is_canonical_email(email: Column) -> Column:
-    return (F.length(email) > 0) & (email == F.lower(email)) & ~email.rlike(r"\s")
+def valid_key(key: Column) -> Column:
+    """Whether a text has the form of an idempotency key; false for null."""
+    return F.coalesce(key.rlike(KEY_FORM) & ~key.contains("\n"), F.lit(False))
 
 
 def valid_date(text: Column) -> Column:

@@ -34,6 +34,11 @@ def gestational_week(day: Column, start: Column) -> Column:
     return (F.floor(F.datediff(day, start) / F.lit(7)) + 1).cast("int")
 
 
+def own_day(iso: Column) -> Column:
+    """The day of an ISO instant in the zone it is written in, which no timestamp keeps; null for any other text."""
+    return F.when(F.try_to_timestamp(iso).isNotNull(), F.try_to_date(F.substring(iso, 1, 10), "yyyy-MM-dd"))
+
+
 def exact_weeks(end: Column, start: Column) -> Column:
     """Whole weeks between two days; null if negative or not a multiple of seven."""
     days = F.datediff(end, start)

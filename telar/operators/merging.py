@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from telar.operators.skew import skew_safe_join
+from telar.session import checkpoint
+
 INSERTED, UPDATED, SAME, KEPT = "insertada", "actualizada", "igual", "conservada"
 
 
@@ -64,20 +67,24 @@ def load_conflicts(target: DataFrame, source: DataFrame, key: str, columns: list
     return both.select(key, F.concat_ws(",", names).alias("columnas")).filter("columnas <> ''")
 
 
-def claim_outcomes(claims: DataFrame, key: list[str], hash_: str, order: list[str]) -> DataFrame:
+def claim_outcomes(claims: DataFrame, key: list[str], hash_: str, order: list[str], answered: str | None = None) -> DataFrame:
     """Idempotent claims in batch form: each claim and ``resultado``.
 
     The first claim of a key (by ``order``, which must tell claims apart) is ``nueva``;
-    later ones are ``repeticion`` with the same hash and ``colision`` with another.
-    The first is found by a combined aggregation and joined back by its key.
+    later ones are ``repeticion`` with the same hash and ``colision`` with another. answered:
+    a column that says whether the first claim came to an answer; if it did not, later ones
+    are ``incompleta``, whatever their hash, as there is nothing to repeat. The first is
+    found by a combined aggregation and joined back in a join that stands hot keys.
     """
-    first = claims.groupBy(*key).agg(F.min(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(hash_).alias("h"))).alias("_primera"))
-    cond = [F.col(f"c.{k}").eqNullSafe(F.col(f"p.{k}")) for k in key]
-    on = cond[0]
-    for c in cond[1:]:
-        on = on & c
+    names = {k: f"_k{i}" for i, k in enumerate(key)}
+    # nulls in a key are a value, which an equi-join would drop
+    held = claims.withColumns({n: F.coalesce(F.col(k).cast("string"), F.lit("")) for k, n in names.items()}).withColumns({f"{n}n": F.col(k).isNull() for k, n in names.items()})
+    on = [x for n in names.values() for x in (n, f"{n}n")]
+    values = [F.col(c).alias(f"o{i}") for i, c in enumerate(order)]
+    done = F.lit(True) if answered is None else F.coalesce(F.col(answered), F.lit(False))
+    first = checkpoint(held.groupBy(*on).agg(F.min(F.struct(*values, F.col(hash_).alias("h"), done.alias("r"))).alias("_primera"), F.count("*").alias("_n")))
     is_first = F.lit(True)
     for i, c in enumerate(order):
-        is_first = is_first & F.col(f"c.{c}").eqNullSafe(F.col(f"_primera.o{i}"))
-    outcome = F.when(is_first, "nueva").when(F.col(f"c.{hash_}").eqNullSafe(F.col("_primera.h")), "repeticion").otherwise("colision")
-    return claims.alias("c").join(first.alias("p"), on).select("c.*", outcome.alias("resultado"))
+        is_first = is_first & F.col(c).eqNullSafe(F.col(f"_primera.o{i}"))
+    outcome = F.when(is_first, "nueva").when(~F.col("_primera.r"), "incompleta").when(F.col(hash_).eqNullSafe(F.col("_primera.h")), "repeticion").otherwise("colision")
+    return skew_safe_join(held, first, on, "_n").select(*claims.columns, outcome.alias("resultado"))

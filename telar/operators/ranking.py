@@ -31,9 +31,10 @@ def latest_by(df: DataFrame, entity: list[str], order: list[str], values: list[s
     return df.groupBy(*entity).agg(whole).select(*entity, *[F.col(f"x.c{i}").alias(c) for i, c in enumerate([*order, *values])])
 
 
-def top_n(df: DataFrame, entity: list[str], order: list[Column], n: int) -> DataFrame:
-    """The first n rows of each entity; Spark limits the groups before it shuffles them."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*entity).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
+def top_n(df: DataFrame, entity: list[str], order: list[Column], n: int, name: str | None = None) -> DataFrame:
+    """The first n rows of each entity, and their place if it has a name; Spark limits the groups before it shuffles them."""
+    kept = df.withColumn("_n", F.row_number().over(Window.partitionBy(*entity).orderBy(*order))).filter(F.col("_n") <= n)
+    return kept.withColumnRenamed("_n", name) if name else kept.drop("_n")
 
 
 def single_or_null(value: Column, where: Column | None = None) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telar.functions.levels import movement_shape, vitals_shape
-from telar.functions.text import EMAIL_FORM, canonical_email, valid_date
+from telar.functions.text import REGISTRATION_EMAIL_FORM, canonical_email, valid_date
 from telar.functions.timeutil import gestational_week
 from telar.operators.coverage import covered_whole
 
@@ -48,11 +48,6 @@ def repeated_keys(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def unknown_columns(df: DataFrame, expected: list[str]) -> tuple[list[str], list[str]]:
-    """Missing and unexpected columns of a table, by its schema."""
-    return sorted(set(expected) - set(df.columns)), sorted(set(df.columns) - set(expected))
-
-
 def package_violations(sessions: DataFrame, readings: DataFrame) -> DataFrame:
     """id_sesion, regla: sessions without readings, with readings of another type, outside of their time, or out of order.
 
@@ -81,17 +76,23 @@ def package_violations(sessions: DataFrame, readings: DataFrame) -> DataFrame:
     return violations(p, "id_sesion", lambda: rules)
 
 
+#: Characters of a registered text.
+LONGEST = 100
+
+
 def registration_faults(df: DataFrame, key: str, today: Column) -> DataFrame:
-    """key, regla of registrations: required texts, a real day of birth that isn't in the future, a mail address, acceptance.
+    """key, regla of registrations: required texts, a real day of birth that isn't in the future, a mail address of the registered form, acceptance.
 
-    Columns: nombre, apellido, cedula, correo, fecha_nac (text), acepta. White space around
-    texts doesn't count; blanks are missing.
+    Columns: nombre, apellido, cedula, correo, fecha_nac (text), acepta, and of optional texts
+    (segundo_nombre, apellido_materno, telefono) those there are. White space around texts
+    doesn't count; blanks are missing. Texts have at most ``LONGEST`` characters.
     """
     there = lambda c: F.length(F.trim(F.coalesce(_c(c), F.lit("")))) > 0
     born = valid_date(F.trim(_c("fecha_nac")))
     rules = {
         **{f"falta_{c}": there(c) for c in ("nombre", "apellido", "cedula")},
-        "correo": F.coalesce(canonical_email(_c("correo")).rlike(EMAIL_FORM), F.lit(False)),
+        **{f"largo_{c}": F.length(F.trim(_c(c))) <= LONGEST for c in ("nombre", "apellido", "cedula", "segundo_nombre", "apellido_materno", "telefono") if c in df.columns},
+        "correo": F.coalesce(canonical_email(_c("correo")).rlike(REGISTRATION_EMAIL_FORM), F.lit(False)),
         "fecha": born.isNotNull(),
         "fecha_futura": born <= today,
         "aceptacion": F.coalesce(_c("acepta"), F.lit(False)),
@@ -114,23 +115,25 @@ def incoherent_accounts(accounts: DataFrame, patients: DataFrame, physicians: Da
 
 
 def package_reference_faults(readings: DataFrame, sessions: DataFrame, pregnancies: DataFrame, weeks: DataFrame, assignments: DataFrame) -> DataFrame:
-    """id_sesion, regla: a pregnancy that doesn't exist, a device not assigned throughout, a week that isn't the computed one, movement before week 20.
+    """id_sesion, regla, indice: a pregnancy that doesn't exist, a device not assigned throughout, a week that isn't the computed one, movement before week 20.
 
-    readings: id_sesion, id_tiempo_gest, dia, mov_valor. sessions: id_sesion, id_embarazo,
-    id_dispositivo, desde, hasta (days). weeks: id_tiempo_gest, semana_gestacion.
-    assignments: id_dispositivo, id_embarazo, fecha_inicio, fecha_fin. Pairs of device and
-    pregnancy are told apart by a hash of 64 bits.
+    readings: id_sesion, indice, id_tiempo_gest, dia (of the capture, in its own zone), mov_valor.
+    sessions: id_sesion, id_embarazo, id_dispositivo, desde, hasta (days). weeks:
+    id_tiempo_gest, semana_gestacion. assignments: id_dispositivo, id_embarazo,
+    fecha_inicio, fecha_fin. Pairs of device and pregnancy are told apart by a hash of 64
+    bits. indice is that of the first reading that breaks the rule, null for a rule of the session.
     """
     pair = lambda: F.xxhash64("id_dispositivo", "id_embarazo").alias("k")
-    rule = lambda df, name: df.select("id_sesion", F.lit(name).alias("regla")).distinct()
+    of_session = lambda df, name: df.select("id_sesion", F.lit(name).alias("regla"), F.lit(None).cast("int").alias("indice")).distinct()
+    of_reading = lambda df, name: df.groupBy("id_sesion").agg(F.min("indice").alias("indice")).select("id_sesion", F.lit(name).alias("regla"), F.col("indice").cast("int").alias("indice"))
     absent = sessions.join(pregnancies.select("id_embarazo"), "id_embarazo", "left_anti")
     held = covered_whole(sessions.select(_c("id_sesion").alias("id"), pair(), "desde", "hasta"), assignments.select(pair(), _c("fecha_inicio").alias("desde"), _c("fecha_fin").alias("hasta")))
-    dated = readings.join(weeks, "id_tiempo_gest").join(sessions.select("id_sesion", "id_embarazo"), "id_sesion").join(pregnancies.select("id_embarazo", "fecha_inicio"), "id_embarazo")
+    dated = readings.join(weeks.select("id_tiempo_gest", "semana_gestacion"), "id_tiempo_gest").join(sessions.select("id_sesion", "id_embarazo"), "id_sesion").join(pregnancies.select("id_embarazo", "fecha_inicio"), "id_embarazo")
     computed = gestational_week(_c("dia"), _c("fecha_inicio"))
     return (
-        rule(absent, "embarazo_inexistente")
-        .unionByName(rule(held.filter("not cubierto").withColumnRenamed("id", "id_sesion"), "dispositivo_sin_asignacion"))
-        .unionByName(rule(readings.join(weeks, "id_tiempo_gest", "left_anti"), "semana_inexistente"))
-        .unionByName(rule(dated.filter((_c("semana_gestacion") != computed) | ~computed.between(1, 42)), "semana_distinta"))
-        .unionByName(rule(dated.filter(_c("mov_valor").isNotNull() & (_c("semana_gestacion") < 20)), "movimiento_antes_de_semana_20"))
+        of_session(absent, "embarazo_inexistente")
+        .unionByName(of_session(held.filter("not cubierto").withColumnRenamed("id", "id_sesion"), "dispositivo_sin_asignacion"))
+        .unionByName(of_reading(readings.join(weeks.select("id_tiempo_gest"), "id_tiempo_gest", "left_anti"), "semana_inexistente"))
+        .unionByName(of_reading(dated.filter((_c("semana_gestacion") != computed) | ~computed.between(1, 42)), "semana_distinta"))
+        .unionByName(of_reading(dated.filter(_c("mov_valor").isNotNull() & (_c("semana_gestacion") < 20)), "movimiento_antes_de_semana_20"))
     )

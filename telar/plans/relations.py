@@ -13,6 +13,7 @@ SESSION = ["id_embarazo", "id_dispositivo", "tipo_sesion", "fecha_inicio", "fech
 PREGNANCY = ["id_paciente", "id_clinica", "numero_gestas", "numero_partos", "estado_embarazo", "fecha_inicio", "fecha_probable_parto", "fecha_cierre", "duracion_est_semanas"]
 PHYSICIAN = ["registrado_en", "id_version", "id_clinica", "nombre_completo", "especialidad", "email_med", "telefono_med"]
 CLINIC = ["nombre_clinica", "provincia", "distrito"]
+LEVEL = ["codigo_nivel", "etiqueta_visual", "prioridad", "version_referencia", "color_hex", "mensaje_app"]
 
 
 def readings(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +50,7 @@ def facts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 
 
 def levels(spark: SparkSession, d: str) -> DataFrame:
-    return latest_by(table(spark, d, "dim_semaforo"), ["id_semaforo"], [], ["codigo_nivel", "etiqueta_visual", "prioridad", "version_referencia"])
+    return latest_by(table(spark, d, "dim_semaforo"), ["id_semaforo"], [], LEVEL)
 
 
 def _latest(name: str, table: str, key: str, order: list[str], values: list[str]) -> str:
@@ -65,7 +66,7 @@ CTE = {
     "medicos": _latest("medicos", "dim_medico_version", "id_medico", ["vigente_desde"], PHYSICIAN),
     "clinicas": _latest("clinicas", "dim_clinica", "id_clinica", ["cargado_en"], CLINIC),
     "hechos": "hechos as (select distinct * from fact_lectura_biometrica)",
-    "niveles": _latest("niveles", "dim_semaforo", "id_semaforo", [], ["codigo_nivel", "etiqueta_visual", "prioridad", "version_referencia"]),
+    "niveles": _latest("niveles", "dim_semaforo", "id_semaforo", [], LEVEL),
 }
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telar.operators import reconcile, validation
@@ -31,11 +33,29 @@ def pk_uniqueness(spark, d):
     return validation.repeated_keys(table(spark, d, "dim_medico_version"), ["id_version"])
 
 
-@query("""select id_embarazo, 'gestas' regla from dim_embarazo where numero_gestas < 1 union all select id_embarazo, 'partos' from dim_embarazo where numero_partos < 0 or numero_partos >= numero_gestas
-union all select id_embarazo, 'parto_tras_inicio' from dim_embarazo where fecha_probable_parto < fecha_inicio union all select id_embarazo, 'cierre_tras_inicio' from dim_embarazo where fecha_cierre < fecha_inicio
-union all select id_embarazo, 'estado' from dim_embarazo where estado_embarazo not in ('ACTIVO', 'FINALIZADO', 'SUSPENDIDO')""")
+_CONSTRAINTS = {
+    "dim_embarazo": {"gestas": "numero_gestas >= 1", "partos": "numero_partos >= 0 and numero_partos < numero_gestas", "parto_tras_inicio": "fecha_probable_parto >= fecha_inicio", "cierre_tras_inicio": "fecha_cierre >= fecha_inicio", "estado": "estado_embarazo in ('ACTIVO', 'FINALIZADO', 'SUSPENDIDO')"},
+    "sesion_monitoreo": {"fin_tras_inicio": "fecha_fin >= fecha_inicio", "tipo": "tipo_sesion in ('SIGNOS_MATERNOS', 'MOVIMIENTOS_FETALES')", "borrado_tras_registro": "eliminada_en >= registrada_en"},
+    "medico_clinica": {"fin_tras_inicio": "fecha_final >= fecha_inicio", "inicio": "fecha_inicio is not null"},
+    "lectura_resumen": {"spo2": "spo2_valor between 0 and 100", "hr": "hr_valor > 0", "mov": "mov_valor >= 0", "algo_medido": "hr_valor is not null or spo2_valor is not null or mov_valor is not null"},
+}
+
+
+@query(" union all ".join(f"select '{t}' tabla, '{rule}' regla, count(*) filter (({ok}) is not null) revisadas, count(*) filter (not ({ok})) incumplidas from {t}" for t, rules in _CONSTRAINTS.items() for rule, ok in rules.items()))
 def row_constraints(spark, d):
-    return validation.violations(table(spark, d, "dim_embarazo"), "id_embarazo", validation.PREGNANCY_RULES)
+    """For each constraint of a table how many rows it applies to and how many break it; a table is read once for all of its constraints."""
+    parts = []
+    for t, rules in _CONSTRAINTS.items():
+        counts = table(spark, d, t).agg(*[x for rule, ok in rules.items() for x in (F.count(F.expr(ok)).alias(f"r_{rule}"), F.count_if(~F.expr(ok)).alias(f"i_{rule}"))])
+        rows = [F.struct(F.lit(t).alias("tabla"), F.lit(rule).alias("regla"), F.col(f"r_{rule}").alias("revisadas"), F.col(f"i_{rule}").alias("incumplidas")) for rule in rules]
+        parts.append(counts.select(F.explode(F.array(*rows)).alias("x")).select("x.*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("""select id_embarazo, 'gestas' regla from dim_embarazo where numero_gestas < 2 union all select id_embarazo, 'partos' from dim_embarazo where numero_partos < 0 or numero_partos >= numero_gestas""")
+def pregnancy_violations(spark, d):
+    """Rules of pregnancies as violations, with a bound for first pregnancies that the test tables break."""
+    return validation.violations(table(spark, d, "dim_embarazo"), "id_embarazo", lambda: {"gestas": F.col("numero_gestas") >= 2, "partos": validation.PREGNANCY_RULES()["partos"]})
 
 
 _PAQUETES = R.with_("sesiones", "lecturas") + """, p as (select s.id_sesion, s.tipo_sesion, s.fecha_inicio, s.fecha_fin, s.estado_sesion, count(l.id_lectura) n,

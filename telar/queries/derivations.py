@@ -161,12 +161,22 @@ def backoff_schedule(spark, d):
     return k.select("user_id", "intento", delivery.backoff(F.col("intento")).alias("espera"), (F.col("intento") >= delivery.ATTEMPTS).alias("agotado"))
 
 
-@query("""select user_id, codigo, case when codigo = 201 then 'ENTREGADO' when codigo = 409 then 'RECHAZO' when codigo >= 500 then 'REINTENTO' when codigo in (401, 403) then 'REINTENTO_Y_ALTO' else 'RECHAZO' end resultado, count(*) n
-from (select user_id, case event_id % 7 when 0 then 201 when 1 then 409 when 2 then 503 when 3 then 401 when 4 then 403 when 5 then 422 else 302 end codigo from events) group by all""")
+_ANSWERS = [(201, "true"), (409, None), (503, None), (401, None), (403, None), (422, None), (302, None), (600, None), (201, "quizas"), (599, None), (None, None)]
+
+
+@query("""with r as (select user_id, event_id % 11 c, event_id % 3 + 1 enviadas, case when event_id % 13 = 0 then event_id % 3 + 2 else event_id % 3 + 1 end creadas, case when event_id % 17 = 0 then 1 else 0 end sobran, event_id % 19 = 0 roto from events),
+q as (select *, case c when 0 then 201 when 1 then 409 when 2 then 503 when 3 then 401 when 4 then 403 when 5 then 422 when 6 then 302 when 7 then 600 when 8 then 201 when 9 then 599 end codigo from r)
+select user_id, codigo, case when codigo is null then 'REINTENTO' when codigo = 201 and c = 0 and not roto and sobran = 0 and creadas = enviadas then 'ENTREGADO' when codigo between 500 and 599 then 'REINTENTO' when codigo in (401, 403) then 'REINTENTO_Y_ALTO' else 'RECHAZO' end resultado, count(*) n from q group by all""")
 def http_outcome(spark, d):
-    code = F.element_at(F.array(*[F.lit(x) for x in (201, 409, 503, 401, 403, 422, 302)]), (F.col("event_id") % 7 + 1).cast("int"))
-    own = table(spark, d, "events").select("user_id", code.alias("codigo"))
-    return own.groupBy("user_id", "codigo", delivery.outcome(F.col("codigo"), F.lit(True)).alias("resultado")).agg(F.count("*").alias("n"))
+    """Outcomes of answers; of those with code 201 only the coherent ones are deliveries."""
+    i = (F.col("event_id") % len(_ANSWERS) + 1).cast("int")
+    code, header = (F.element_at(F.array(*[F.lit(x[k]).cast(kind) for x in _ANSWERS]), i) for k, kind in ((0, "int"), (1, "string")))
+    e = table(spark, d, "events").select("user_id", "event_id", code.alias("codigo"), header.alias("repeticion"), (F.col("event_id") % 3 + 1).alias("enviadas"))
+    made = F.when(F.col("event_id") % 13 == 0, F.col("enviadas") + 1).otherwise(F.col("enviadas"))
+    ids = F.sequence(F.lit(1), (made + F.when(F.col("event_id") % 17 == 0, 1).otherwise(0)).cast("int"))
+    body = F.when(F.col("event_id") % 19 == 0, F.lit("{")).otherwise(F.concat(F.lit('{"id_sesion":1,"lecturas_creadas":'), made.cast("string"), F.lit(',"ids_lectura":['), F.concat_ws(",", ids.cast("array<string>")), F.lit("]}")))
+    own = e.select("user_id", "codigo", delivery.outcome(F.col("codigo"), delivery.coherent_201(F.col("repeticion"), body, F.col("enviadas"))).alias("resultado"))
+    return own.groupBy("user_id", "codigo", "resultado").agg(F.count("*").alias("n"))
 
 
 @query("""select event_id, cast(json_extract(props, '$.k') as bigint) k, coalesce(json_array_length('[' || repeat('1,', cast(json_extract(props, '$.k') as integer) % 4) || '1]'), 0) lecturas from events""")
@@ -183,17 +193,26 @@ def sync_delay(spark, d):
     return R.readings(spark, d).select("id_lectura", (us("fecha_hora_sincronizacion") - us("fecha_hora_captura")).alias("demora_us"), (F.col("fecha_hora_sincronizacion") < F.col("fecha_hora_captura")).alias("invertida"))
 
 
-@query("""with e as (select user_id, min(value) lo, max(value) hi, count(*) n from events group by 1),
-w as (select user_id, n, lo - a lo, hi + a hi from (select *, case when lo < hi then 0 when lo = 0 then 1 else abs(lo) * 0.05 end a from e)),
+_STEP = "potencia * case when round(bruto / potencia, 9) <= 1 then 1 when round(bruto / potencia, 9) <= 2 then 2 when round(bruto / potencia, 9) <= 2.5 then 2.5 when round(bruto / potencia, 9) <= 5 then 5 else 10 end"
+
+
+@query(f"""with e as (select user_id, min(value) lo, max(value) hi from events group by 1),
+w as (select user_id, 'lineas' tipo, case when lo < hi then lo when hi = 0 then -1 else lo - abs(hi) * 0.05 end lo, case when lo < hi then hi when hi = 0 then 1 else hi + abs(hi) * 0.05 end hi from e
+ union all select user_id, 'barras', 0, case when hi = 0 then 1 else hi end from e),
 p as (select *, (hi - lo) / 4.0 bruto, power(10.0, floor(log10((hi - lo) / 4.0))) potencia from w),
-s as (select *, potencia * case when round(bruto / potencia, 9) <= 1 then 1 when round(bruto / potencia, 9) <= 2 then 2 when round(bruto / potencia, 9) <= 2.5 then 2.5 when round(bruto / potencia, 9) <= 5 then 5 else 10 end paso from p)
-select user_id, cast(paso as double) paso, cast(floor(lo / paso) * paso as double) primera, cast(ceil(hi / paso) * paso as double) ultima, cast(ceil(hi / paso) - floor(lo / paso) as bigint) + 1 marcas from s""")
+s as (select *, {_STEP} paso from p)
+select user_id, tipo, cast(paso as double) paso, cast(case when tipo = 'barras' then 0 else (floor(lo / paso) - 1) * paso end as double) primera, cast(ceil(hi / paso) * paso as double) ultima, cast(ceil(hi / paso) - case when tipo = 'barras' then 0 else floor(lo / paso) - 1 end as bigint) + 1 marcas from s""")
 def axis_marks(spark, d):
+    """The marks of lines, and of bars, which begin at zero."""
     e = table(spark, d, "events").groupBy("user_id").agg(F.min("value").alias("a"), F.max("value").alias("b"))
-    low, high = axis.widened(F.col("a"), F.col("b"))
-    e = e.select("user_id", low.alias("lo"), high.alias("hi")).withColumn("paso", axis.nice_step(F.col("hi") - F.col("lo")))
-    e = e.withColumn("m", axis.marks(F.col("lo"), F.col("hi"), F.col("paso")))
-    return e.select("user_id", "paso", F.element_at("m", 1).alias("primera"), F.element_at("m", -1).alias("ultima"), F.size("m").cast("long").alias("marcas"))
+
+    def of(kind: str, from_zero: bool) -> DataFrame:
+        low, high = axis.bounds(F.col("a"), F.col("b"), from_zero)
+        own = e.select("user_id", F.lit(kind).alias("tipo"), low.alias("lo"), high.alias("hi")).withColumn("paso", axis.nice_step(F.col("hi") - F.col("lo")))
+        own = own.withColumn("m", axis.marks(F.col("lo"), F.col("hi"), F.col("paso"), from_zero))
+        return own.select("user_id", "tipo", "paso", F.element_at("m", 1).alias("primera"), F.element_at("m", -1).alias("ultima"), F.size("m").cast("long").alias("marcas"))
+
+    return of("lineas", False).unionByName(of("barras", True))
 
 
 @query("""with e as (select user_id, min(value) lo, max(value) hi from events group by 1)

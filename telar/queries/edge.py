@@ -17,42 +17,58 @@ from telar.session import table
 
 query = Registry()
 
-_QUEUE = """with cola as (select user_id id_outbox, count(*) intentos, max(epoch_us(ts)) ultimo, bool_or(event_type = 'purchase' and user_id % 3 = 0) enviado, bool_or(event_type = 'signup' and user_id % 5 = 0) rechazado from events group by 1),
-q as (select id_outbox, intentos, ultimo, case when enviado then 'ENVIADO' when rechazado or user_fallido then 'FALLIDO' else 'PENDIENTE' end estado, case when enviado then null when rechazado then false when user_fallido then true end reintentable,
- ultimo + cast(least(60, power(2, least(intentos - 1, 62))) * 1000000 as bigint) proximo from (select *, id_outbox % 7 = 0 user_fallido from cola)) """
-_NOW = 1_706_659_200_000_000
+_NOW = 1_706_616_000_000_000
 _LIMIT = 70
+#: A pause after rejected credentials, which holds back what could be sent now.
+_PAUSE = _NOW + 30_000_000
+_LEASE_US = int(delivery.lease_seconds() * 1_000_000)
+
+_QUEUE = f"""with cola as (select user_id id_outbox, count(*) intentos, max(epoch_us(ts)) ultimo, arg_max(event_type, (ts, event_id)) ultimo_tipo, bool_or(event_type = 'purchase' and user_id % 3 = 0) enviado, bool_or(event_type = 'signup' and user_id % 5 = 0) rechazado from events group by 1),
+q as (select id_outbox, intentos, ultimo, case when enviado then 'ENVIADO' when rechazado or user_fallido then 'FALLIDO' else 'PENDIENTE' end estado, case when enviado then null when rechazado then false when user_fallido then true end reintentable,
+ case when id_outbox % 10 = 0 then 60 else {_LIMIT} end limite, case when ultimo_tipo = 'click' then ultimo + {_LEASE_US} end arriendo,
+ ultimo + cast(least(60, power(2, least(intentos - 1, 62))) * 1000000 as bigint) proximo from (select *, id_outbox % 7 = 0 user_fallido from cola)),
+c as (select *, not (estado = 'ENVIADO' or (estado = 'FALLIDO' and not coalesce(reintentable, false))) viva, viva and intentos < limite and arriendo is null puede, puede and proximo <= {_NOW} elegible, puede and proximo > {_NOW} programada from q) """
 
 
 def queue(spark, d) -> DataFrame:
-    """One row per package: id_outbox, intentos, ultimo, estado, reintentable, proximo (microseconds)."""
+    """One row per package: id_outbox, intentos, limite, ultimo, estado, reintentable, proximo and arriendo (end of the open attempt's lease), in microseconds."""
     own = table(spark, d, "events").groupBy(F.col("user_id").alias("id_outbox")).agg(
         F.count("*").alias("intentos"),
         F.max(local_micros("ts")).alias("ultimo"),
+        F.max(F.struct("ts", "event_id", "event_type")).alias("x"),
         F.bool_or((F.col("event_type") == "purchase") & (F.col("user_id") % 3 == 0)).alias("enviado"),
         F.bool_or((F.col("event_type") == "signup") & (F.col("user_id") % 5 == 0)).alias("rechazado"),
     )
     failed = F.col("id_outbox") % 7 == 0
     state = F.when(F.col("enviado"), delivery.SENT).when(F.col("rechazado") | failed, delivery.FAILED).otherwise(delivery.PENDING)
     again = F.when(F.col("enviado"), None).when(F.col("rechazado"), False).when(failed, True)
-    return own.select("id_outbox", "intentos", "ultimo", state.alias("estado"), again.alias("reintentable"), (F.col("ultimo") + (delivery.backoff(F.col("intentos")) * 1_000_000).cast("long")).alias("proximo"))
+    lease = F.when(F.col("x.event_type") == "click", F.col("ultimo") + _LEASE_US)
+    limit = F.when(F.col("id_outbox") % 10 == 0, 60).otherwise(_LIMIT)
+    return own.select("id_outbox", "intentos", limit.alias("limite"), "ultimo", state.alias("estado"), again.alias("reintentable"), (F.col("ultimo") + (delivery.backoff(F.col("intentos")) * 1_000_000).cast("long")).alias("proximo"), lease.alias("arriendo"))
+
 
+def _eligible(scheduled: bool = True):
+    c = F.col
+    return delivery.eligible(c("estado"), c("reintentable"), c("intentos"), c("limite"), c("proximo"), F.lit(_NOW), c("arriendo").isNotNull(), scheduled)
 
-@query(_QUEUE + f"""select count(*) total, count(*) filter (estado = 'PENDIENTE') pendientes, count(*) filter (estado = 'ENVIADO') enviados, count(*) filter (estado = 'FALLIDO' and reintentable) reintentables, count(*) filter (estado = 'FALLIDO' and not reintentable) revision,
-count(*) filter (estado <> 'ENVIADO' and intentos >= {_LIMIT}) agotados, min(case when estado = 'PENDIENTE' then id_outbox end) primero, min(case when estado <> 'ENVIADO' then proximo end) proximo, cast(sum(case when estado = 'ENVIADO' then intentos else 0 end) as bigint) intentos_enviados from q""")
+
+@query(_QUEUE + """select count(*) total, count(*) filter (elegible) elegibles, count(*) filter (programada) programados, min(case when programada then proximo end) proximo_programado, count(*) filter (viva and arriendo is not null) con_intento_abierto, min(case when viva then arriendo end) proximo_reconciliable,
+count(*) filter (estado = 'ENVIADO') enviados, count(*) filter (estado = 'FALLIDO' and not reintentable) revision, count(*) filter (viva and intentos >= limite) bloqueados, min(case when elegible then id_outbox end) primero from c""")
 def queue_census(spark, d):
     """All counters of the queue from one scan, so that they agree with each other."""
-    s, r = F.col("estado"), F.col("reintentable")
+    c = F.col
+    alive, may, waits = ~delivery.terminal(c("estado"), c("reintentable")), _eligible(), _eligible(False) & (c("proximo") > _NOW)
     return queue(spark, d).agg(
         F.count("*").alias("total"),
-        F.count_if(s == delivery.PENDING).alias("pendientes"),
-        F.count_if(s == delivery.SENT).alias("enviados"),
-        F.count_if((s == delivery.FAILED) & r).alias("reintentables"),
-        F.count_if((s == delivery.FAILED) & ~r).alias("revision"),
-        F.count_if((s != delivery.SENT) & (F.col("intentos") >= _LIMIT)).alias("agotados"),
-        F.min(F.when(s == delivery.PENDING, F.col("id_outbox"))).alias("primero"),
-        F.min(F.when(s != delivery.SENT, F.col("proximo"))).alias("proximo"),
-        F.sum(F.when(s == delivery.SENT, F.col("intentos")).otherwise(0)).alias("intentos_enviados"),
+        F.count_if(may).alias("elegibles"),
+        F.count_if(waits).alias("programados"),
+        F.min(F.when(waits, c("proximo"))).alias("proximo_programado"),
+        F.count_if(alive & c("arriendo").isNotNull()).alias("con_intento_abierto"),
+        F.min(F.when(alive, c("arriendo"))).alias("proximo_reconciliable"),
+        F.count_if(c("estado") == delivery.SENT).alias("enviados"),
+        F.count_if((c("estado") == delivery.FAILED) & ~c("reintentable")).alias("revision"),
+        F.count_if(alive & (c("intentos") >= c("limite"))).alias("bloqueados"),
+        F.min(F.when(may, c("id_outbox"))).alias("primero"),
     )
 
 
@@ -61,16 +77,23 @@ def queue_summary(spark, d):
     return queue(spark, d).groupBy("estado", "reintentable").agg(F.count("*").alias("n"))
 
 
-@query(_QUEUE + f"select id_outbox, proximo <= {_NOW} vencido from q where not (estado = 'ENVIADO' or (estado = 'FALLIDO' and not coalesce(reintentable, false))) and intentos < {_LIMIT} and proximo <= {_NOW}")
+@query(_QUEUE + "select id_outbox, intentos from c where elegible")
 def queue_eligible(spark, d):
-    """Packages that may be sent at a given moment."""
-    ok = delivery.eligible(F.col("estado"), F.col("reintentable"), F.col("intentos"), F.lit(_LIMIT), F.col("proximo"), F.lit(_NOW))
-    return queue(spark, d).filter(ok).select("id_outbox", (F.col("proximo") <= _NOW).alias("vencido"))
+    """Packages that may be sent at a given moment: alive, attempts left, none open, schedule due."""
+    return queue(spark, d).filter(_eligible()).select("id_outbox", "intentos")
+
+
+@query(_QUEUE + "select id_outbox, proximo from c where puede")
+def queue_forced(spark, d):
+    """Packages that a person may send now, whatever their schedule."""
+    return queue(spark, d).filter(_eligible(False)).select("id_outbox", "proximo")
 
 
-@query(_QUEUE + f"select min(proximo) despertar from q where estado <> 'ENVIADO' and proximo > {_NOW} - 86400000000")
+@query(_QUEUE + f"select least(min(case when programada then proximo end), min(case when viva then arriendo end), case when count(*) filter (elegible) > 0 then {_PAUSE} end) despertar from c")
 def next_wakeup(spark, d):
-    return queue(spark, d).filter((F.col("estado") != delivery.SENT) & (F.col("proximo") > _NOW - 86_400_000_000)).agg(F.min("proximo").alias("despertar"))
+    """The earliest of schedules, lease ends and the pause, which counts only if it holds back a package."""
+    alive, waits = ~delivery.terminal(F.col("estado"), F.col("reintentable")), _eligible(False) & (F.col("proximo") > _NOW)
+    return queue(spark, d).agg(F.least(F.min(F.when(waits, F.col("proximo"))), F.min(F.when(alive, F.col("arriendo"))), F.when(F.count_if(_eligible()) > 0, F.lit(_PAUSE))).alias("despertar"))
 
 
 @query("""select user_id, row_number() over (partition by user_id order by ts, event_id) numero, epoch_us(ts) t, event_type, event_type = 'purchase' confirmo from events""")

@@ -58,13 +58,13 @@ def verify_loaded(spark, d):
     return f.agg(F.countDistinct("id_lectura").alias("cargadas"))
 
 
-@query("""with c as (select event_id, user_id clave, sha256(event_type) huella from events),
+@query("""with c as (select event_id, user_id clave, sha256(event_type) huella, user_id % 9 > 0 contestada from events),
 p as (select clave, min((event_id, huella)) primera from c group by 1)
-select c.event_id, c.clave, c.huella, case when c.event_id = primera[1] then 'nueva' when c.huella = primera[2] then 'repeticion' else 'colision' end resultado from c join p using (clave)""")
+select c.event_id, c.clave, c.huella, c.contestada, case when c.event_id = primera[1] then 'nueva' when not c.contestada then 'incompleta' when c.huella = primera[2] then 'repeticion' else 'colision' end resultado from c join p using (clave)""")
 def idempotent_claims(spark, d):
-    """The first claim of a key wins; the same content again is a replay, other content a collision."""
-    claims = table(spark, d, "events").select("event_id", F.col("user_id").alias("clave"), F.sha2("event_type", 256).alias("huella"))
-    return M.claim_outcomes(claims, ["clave"], "huella", ["event_id"])
+    """The first claim of a key wins; the same content again is a replay, other content a collision; without an answer of the first there is neither."""
+    claims = table(spark, d, "events").select("event_id", F.col("user_id").alias("clave"), F.sha2("event_type", 256).alias("huella"), (F.col("user_id") % 9 > 0).alias("contestada"))
+    return M.claim_outcomes(claims, ["clave"], "huella", ["event_id"], "contestada")
 
 
 QUERIES, SQL = query.QUERIES, query.SQL

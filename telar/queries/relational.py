@@ -69,13 +69,23 @@ def _fk_sql(t: str, c: str, p: str, k: str) -> str:
 
 @query(" union all ".join(_fk_sql(*x) for x in _FKS))
 def fk_check(spark, d):
-    """Foreign keys missing in their parent: counted per key first, so that only distinct keys are joined."""
-    found = []
-    for t, c, p, k in _FKS:
-        keys = table(spark, d, t).filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("k")).agg(F.count("*").alias("n"))
-        gone = keys.join(table(spark, d, p).select(F.col(k).alias("k")).distinct(), "k", "left_anti")
-        found.append(gone.agg(F.count("*").alias("claves"), F.sum("n").alias("filas")).filter("claves > 0").select(F.lit(t).alias("tabla"), F.lit(c).alias("columna"), "claves", "filas"))
-    return reduce(DataFrame.unionByName, found)
+    """Foreign keys missing in their parent.
+
+    All keys of a table are stacked in one scan, and counted per key before anything is
+    shuffled; parents' keys come as rows of their own, so one aggregation tells which are there.
+    """
+    rows = []
+    for t in dict.fromkeys(x[0] for x in _FKS):
+        own = [(i, c) for i, (t_, c, _, _) in enumerate(_FKS) if t_ == t]
+        stacked = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("long").alias("k")) for i, c in own])
+        rows.append(table(spark, d, t).select(F.explode(stacked).alias("x")).select("x.i", "x.k", F.lit(1).cast("long").alias("n"), F.lit(0).alias("hay")))
+    for p, k in dict.fromkeys(x[2:] for x in _FKS):
+        of = F.array(*[F.lit(i) for i, x in enumerate(_FKS) if x[2:] == (p, k)])
+        rows.append(table(spark, d, p).select(F.explode(of).alias("i"), F.col(k).cast("long").alias("k"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("hay")))
+    keys = reduce(DataFrame.unionByName, rows).filter("k is not null").groupBy("i", "k").agg(F.sum("n").alias("n"), F.max("hay").alias("hay"))
+    gone = keys.filter("hay = 0").groupBy("i").agg(F.count("*").alias("claves"), F.sum("n").alias("filas"))
+    name = lambda j: F.element_at(F.array(*[F.lit(x[j]) for x in _FKS]), F.col("i") + 1)
+    return gone.select(name(0).alias("tabla"), name(1).alias("columna"), "claves", "filas")
 
 
 _DIMS = [("sesion", "id_sesion", "sesion_monitoreo"), ("embarazo", "id_embarazo", "dim_embarazo"), ("clinica", "id_clinica", "dim_clinica"), ("medico", "id_medico", "dim_medico_version"), ("semaforo", "id_semaforo", "dim_semaforo")]
@@ -182,10 +192,13 @@ _COUNTED = ["lectura_resumen", "sesion_monitoreo", "fact_lectura_biometrica", "c
 
 @query(" union all ".join(f"select '{t}' nombre, count(*) valor from {t}" for t in _COUNTED) + " union all select 'sesiones_distintas', count(distinct id_sesion) from fact_lectura_biometrica union all select 'ultima_captura', max(epoch_us(fecha_hora_captura)) from lectura_resumen")
 def totals(spark, d):
-    """Named totals of all tables as rows."""
-    one = lambda t, name, value: table(spark, d, t).agg(value.alias("valor")).select(F.lit(name).alias("nombre"), "valor")
-    parts = [one(t, t, F.count("*")) for t in _COUNTED]
-    parts += [one("fact_lectura_biometrica", "sesiones_distintas", F.countDistinct("id_sesion")), one("lectura_resumen", "ultima_captura", F.max(F.unix_micros("fecha_hora_captura")))]
+    """Named totals of all tables as rows; each table is read once."""
+    more = {"fact_lectura_biometrica": [("sesiones_distintas", F.countDistinct("id_sesion"))], "lectura_resumen": [("ultima_captura", F.max(F.unix_micros("fecha_hora_captura")))]}
+    parts = []
+    for t in _COUNTED:
+        own = [(t, F.count("*")), *more.get(t, [])]
+        counts = table(spark, d, t).agg(*[value.alias(name) for name, value in own])
+        parts.append(counts.select(F.explode(F.array(*[F.struct(F.lit(name).alias("nombre"), F.col(name).alias("valor")) for name, _ in own])).alias("x")).select("x.*"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -210,23 +223,37 @@ def all_closed_groups(spark, d):
     return g.filter("todos and clinicas = 1").drop("todos", "clinicas")
 
 
-@query("""select 'lectura_resumen' tabla, count(*) filas, cast(sum(id_lectura) as bigint) suma, cast(sum(epoch_us(fecha_hora_captura) % 1000003) as bigint) instantes, cast(sum(cast(coalesce(hr_valor, -1) * 100 as bigint)) as bigint) hr from lectura_resumen
-union all select 'fact_lectura_biometrica', count(*), cast(sum(id_lectura) as bigint), cast(sum(epoch_us(fecha_hora) % 1000003) as bigint), cast(sum(cast(coalesce(hr_valor, -1) * 100 as bigint)) as bigint) from fact_lectura_biometrica""")
+_PRINTED = {
+    "lectura_resumen": ["id_lectura", "id_sesion", "id_dispositivo", "fecha_hora_captura", "fecha_hora_sincronizacion", "codigo_semaforo", "semana_gestacion", "hr_valor", "spo2_valor", "mov_valor"],
+    "fact_lectura_biometrica": ["id_lectura", "id_sesion", "id_paciente", "id_medico", "id_clinica", "id_tiempo_gestacional", "id_embarazo", "id_semaforo", "hr_valor", "spo2_valor", "mov_valor", "estado_hr", "estado_spo2", "estado_mov", "fecha_hora", "cargado_en"],
+}
+_INSTANTS = {"fecha_hora_captura", "fecha_hora_sincronizacion", "fecha_hora", "cargado_en"}
+
+
+def _printed_sql(t: str) -> str:
+    row = " || '|' || ".join(f"coalesce(cast({f'epoch_us({c})' if c in _INSTANTS else c} as varchar), '~')" for c in _PRINTED[t])
+    return f"select '{t}' tabla, count(*) filas, cast(sum(cast('0x' || substr(h, 1, 8) as bigint)) as bigint) suma_1, cast(sum(cast('0x' || substr(h, 9, 8) as bigint)) as bigint) suma_2 from (select md5({row}) h from {t})"
+
+
+@query(" union all ".join(_printed_sql(t) for t in _PRINTED))
 def table_fingerprint(spark, d):
-    """A fingerprint per table that doesn't depend on the order of its rows."""
-    def one(t: str, ts: str) -> DataFrame:
-        return table(spark, d, t).agg(F.count("*").alias("filas"), F.sum("id_lectura").alias("suma"), F.sum(F.unix_micros(ts) % 1000003).alias("instantes"), F.sum((F.coalesce("hr_valor", F.lit(-1)) * 100).cast("long")).alias("hr")).select(F.lit(t).alias("tabla"), "filas", "suma", "instantes", "hr")
+    """A fingerprint per table over all columns of all rows that doesn't depend on their order: sums of hashes of the rows' texts."""
+
+    def one(t: str) -> DataFrame:
+        parts = [F.coalesce((F.unix_micros(c) if c in _INSTANTS else F.col(c)).cast("string"), F.lit("~")) for c in _PRINTED[t]]
+        h = table(spark, d, t).select(F.md5(F.concat_ws("|", *parts)).alias("h"))
+        piece = lambda at: F.sum(F.conv(F.substring("h", at, 8), 16, 10).cast("long"))
+        return h.agg(F.count("*").alias("filas"), piece(1).alias("suma_1"), piece(9).alias("suma_2")).select(F.lit(t).alias("tabla"), "filas", "suma_1", "suma_2")
 
-    return one("lectura_resumen", "fecha_hora_captura").unionByName(one("fact_lectura_biometrica", "fecha_hora"))
+    return reduce(DataFrame.unionByName, [one(t) for t in _PRINTED])
 
 
 @query(R.with_("sesiones") + """select strftime(fecha_inicio at time zone 'America/Panama', '%Y-%m') mes, count(*) filter (tipo_sesion = 'SIGNOS_MATERNOS') signos, count(*) filter (tipo_sesion = 'MOVIMIENTOS_FETALES') movimientos, count(*) n from sesiones group by 1""")
 def month_type_pivot(spark, d):
+    """Counts by month and type in one aggregation; sessions without a beginning make up a group of their own."""
     month = timeutil.month_text(timeutil.clinical_day("fecha_inicio")).alias("mes")
-    p = R.sessions(spark, d).groupBy(month).pivot("tipo_sesion", ["SIGNOS_MATERNOS", "MOVIMIENTOS_FETALES"]).agg(F.count(F.lit(1)))
-    n = R.sessions(spark, d).groupBy(month).agg(F.count("*").alias("n"))
-    zero = lambda c, a: F.coalesce(F.col(c), F.lit(0)).alias(a)
-    return n.join(p, "mes").select("mes", zero("SIGNOS_MATERNOS", "signos"), zero("MOVIMIENTOS_FETALES", "movimientos"), "n")
+    n = lambda kind, a: F.count_if(F.col("tipo_sesion") == kind).alias(a)
+    return R.sessions(spark, d).groupBy(month).agg(n("SIGNOS_MATERNOS", "signos"), n("MOVIMIENTOS_FETALES", "movimientos"), F.count("*").alias("n"))
 
 
 @query("select id_lectura, 'sin_hecho' lado from (select id_lectura from lectura_resumen except select id_lectura from fact_lectura_biometrica) union all select id_lectura, 'sin_lectura' from (select id_lectura from fact_lectura_biometrica except select id_lectura from lectura_resumen)")
@@ -261,13 +288,13 @@ def row_is_distinct(spark, d):
 _K = 5
 
 
-@query(R.with_("hechos", "clinicas", "niveles") + f"""select c.provincia, strftime(h.fecha_hora at time zone 'America/Panama', '%Y-%m') mes, n.codigo_nivel, count(*) lecturas, count(distinct h.id_embarazo) embarazos, cast(sum(cast(h.hr_valor * 100 as bigint)) as bigint) hr_suma, count(h.hr_valor) hr_n
-from hechos h join niveles n using (id_semaforo) left join clinicas c on h.id_clinica = c.id_clinica group by 1, 2, 3 having count(distinct h.id_embarazo) >= {_K}""")
+@query(R.with_("hechos", "niveles") + f"""select strftime(h.fecha_hora at time zone 'America/Panama', '%Y-%m') mes, n.codigo_nivel, count(*) lecturas, count(distinct h.id_embarazo) embarazos, cast(sum(cast(h.hr_valor * 100 as bigint)) as bigint) hr_suma, count(h.hr_valor) hr_n
+from hechos h join niveles n using (id_semaforo) group by 1, 2 having count(distinct h.id_embarazo) >= {_K}""")
 def kanon_summary(spark, d):
-    """Cells of province, month and level with at least k pregnancies; sums in hundredths are exact."""
-    h = R.facts(spark, d, "id_clinica", "id_semaforo", "id_embarazo", "hr_valor", "fecha_hora").select("id_clinica", "id_semaforo", "id_embarazo", "hr_valor", timeutil.month_text(timeutil.clinical_day("fecha_hora")).alias("mes"))
-    j = h.join(R.levels(spark, d), "id_semaforo").join(R.clinics(spark, d), "id_clinica", "left")
-    return j.groupBy("provincia", "mes", "codigo_nivel").agg(F.count("*").alias("lecturas"), F.countDistinct("id_embarazo").alias("embarazos"), F.sum((F.col("hr_valor") * 100).cast("long")).alias("hr_suma"), F.count("hr_valor").alias("hr_n")).filter(F.col("embarazos") >= _K)
+    """Cells of month and level with at least k pregnancies; sums in hundredths are exact."""
+    h = R.facts(spark, d, "id_semaforo", "id_embarazo", "hr_valor", "fecha_hora").select("id_semaforo", "id_embarazo", "hr_valor", timeutil.month_text(timeutil.clinical_day("fecha_hora")).alias("mes"))
+    j = h.join(R.levels(spark, d), "id_semaforo")
+    return j.groupBy("mes", "codigo_nivel").agg(F.count("*").alias("lecturas"), F.countDistinct("id_embarazo").alias("embarazos"), F.sum((F.col("hr_valor") * 100).cast("long")).alias("hr_suma"), F.count("hr_valor").alias("hr_n")).filter(F.col("embarazos") >= _K)
 
 
 @query(f"""select n_name, strftime(o_orderdate, '%Y-%m') mes, o_orderstatus, count(*) pedidos, count(distinct o_custkey) clientes, cast(sum(cast(round(o_totalprice * 100) as bigint)) as bigint) centavos

@@ -1,7 +1,6 @@
 """Read-only scan of a table of an SQLite file, as a Python data source named ``sqlite_ro``.
 
-Options: ``path``, ``table``, and ``partitions`` with ``key`` (an integer column) to read in
-parallel by ranges of rowid. The file must be reachable from the executors.
+Options: ``path``, ``table``, and ``partitions`` to read in parallel by ranges of rowid. The file must be reachable from the executors.
 """
 
 from __future__ import annotations

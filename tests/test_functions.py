@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from telar.functions import axis, delivery, levels, text, timeutil
 from telar.operators import merging
-from telar.queries.published import scope
 
 
 def values(spark, rows, schema, expr):
@@ -71,15 +70,24 @@ def test_texts(spark):
 def test_axes(spark):
     for span, want in ((8.0, 2.0), (9.0, 2.5), (3.0, 1.0), (41.0, 20.0), (0.0, 1.0), (0.03, 0.01)):
         assert values(spark, [(span,)], "s double", axis.nice_step(F.col("s"))) == pytest.approx([want])
-    assert values(spark, [(71.0, 88.0)], "a double, b double", axis.marks(F.col("a"), F.col("b"), F.lit(5.0))) == [[70.0, 75.0, 80.0, 85.0, 90.0]]
+    assert values(spark, [(71.0, 88.0)], "a double, b double", axis.marks(F.col("a"), F.col("b"), F.lit(5.0))) == [[65.0, 70.0, 75.0, 80.0, 85.0, 90.0]]
+    assert values(spark, [(0.0, 14.0)], "a double, b double", axis.marks(F.col("a"), F.col("b"), F.lit(5.0), True)) == [[0.0, 5.0, 10.0, 15.0]]
+    for low, high, bars, want in ((5.0, 9.0, False, [5.0, 9.0]), (5.0, 9.0, True, [0.0, 9.0]), (8.0, 8.0, False, [7.6, 8.4]), (0.0, 0.0, True, [0.0, 1.0]), (0.0, 0.0, False, [-1.0, 1.0]), (-4.0, -4.0, False, [-4.2, -3.8])):
+        assert values(spark, [(low, high)], "a double, b double", F.array(*axis.bounds(F.col("a"), F.col("b"), bars)))[0] == pytest.approx(want)
     assert values(spark, [(5.0,), (10.0,)], "v double", axis.scaled(F.col("v"), F.lit(0.0), F.lit(10.0), 200.0, 0.0)) == [100.0, 0.0]
 
 
 def test_delivery(spark):
-    rows = [(201, True, "ENTREGADO"), (201, False, "RECHAZO"), (409, True, "RECHAZO"), (503, True, "REINTENTO"), (401, True, "REINTENTO_Y_ALTO"), (422, True, "RECHAZO"), (302, True, "RECHAZO"), (None, True, "REINTENTO")]
+    rows = [(201, True, "ENTREGADO"), (201, False, "RECHAZO"), (409, True, "RECHAZO"), (503, True, "REINTENTO"), (401, True, "REINTENTO_Y_ALTO"), (422, True, "RECHAZO"), (302, True, "RECHAZO"), (599, True, "REINTENTO"), (600, True, "RECHAZO"), (999, True, "RECHAZO"), (None, True, "REINTENTO")]
     assert values(spark, [x[:2] for x in rows], "c int, k boolean", delivery.outcome(F.col("c"), F.col("k"))) == [x[2] for x in rows]
     assert values(spark, [(k,) for k in (1, 2, 3, 4, 7, 2000)], "k int", delivery.backoff(F.col("k"))) == [1, 2, 4, 8, 60, 60]
     assert delivery.lease_seconds() == 70
+    body = '{"id_sesion":1,"lecturas_creadas":2,"ids_lectura":[7,8]}'
+    answers = [("true", body, 2, True), ("false", body, 2, True), (None, body, 2, False), ("si", body, 2, False), ("true", body, 3, False), ("true", body.replace(",8", ""), 2, False), ("true", "{", 2, False), ("true", None, 2, False), ("true", body.replace('"id_sesion":1,', ""), 2, False)]
+    assert values(spark, [x[:3] for x in answers], "r string, b string, n int", delivery.coherent_201(F.col("r"), F.col("b"), F.col("n"))) == [x[3] for x in answers]
+    queue = [("PENDIENTE", None, 1, 10, None, True), ("FALLIDO", True, 1, 5, False, True), ("FALLIDO", False, 1, 5, False, False), ("PENDIENTE", None, 5, 5, False, False), ("PENDIENTE", None, 1, 5, True, False), ("ENVIADO", None, 1, 5, False, False), ("PENDIENTE", None, 1, 99, False, False)]
+    ok = delivery.eligible(F.col("s"), F.col("r"), F.col("n"), F.lit(5), F.col("t"), F.lit(10), F.col("a"))
+    assert values(spark, [x[:5] for x in queue], "s string, r boolean, n int, t int, a boolean", ok) == [x[5] for x in queue]
 
 
 def test_merges(spark):
@@ -93,19 +101,22 @@ def test_merges(spark):
     assert [r.k for r in minted] == [5] and len(minted[0].seudonimo) == 36
     c = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "a", "x"), (4, None, "x"), (5, None, None)], "id int, k string, h string")
     assert {r.id: r.resultado for r in merging.claim_outcomes(c, ["k"], "h", ["id"]).collect()} == {1: "nueva", 2: "colision", 3: "repeticion", 4: "nueva", 5: "colision"}
+    c = c.withColumn("listo", F.col("id") != 1)
+    assert {r.id: r.resultado for r in merging.claim_outcomes(c, ["k"], "h", ["id"], "listo").collect()} == {1: "nueva", 2: "incompleta", 3: "incompleta", 4: "nueva", 5: "colision"}
+    hot = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, "a").otherwise(F.col("id").cast("string")).alias("k"), (F.col("id") % 2).cast("string").alias("h"))
+    assert {r.resultado: r["count"] for r in merging.claim_outcomes(hot, ["k"], "h", ["id"]).groupBy("resultado").count().collect()} == {"nueva": 1001, "repeticion": 999, "colision": 1000}
 
 
-def test_scope(spark):
-    e = spark.createDataFrame([(1, 10), (2, 11), (3, 10)], "id_embarazo int, id_paciente int")
-    f = spark.createDataFrame([(7, 1), (7, 1), (7, 2), (8, 3)], "id_medico int, id_embarazo int")
-    ids = lambda df: sorted(r.id_embarazo for r in df.collect())
-    assert ids(scope(e, "PACIENTE", 10)) == [1, 3] and ids(scope(e, "MEDICO", 7, f)) == [1, 2] and ids(scope(e, "ADMIN", 1)) == [] == ids(scope(e, "PACIENTE", 99))
+def test_own_day_and_keys(spark):
+    rows = [("2025-01-01T23:30:00-05:00", "2025-01-01"), ("2025-01-02T04:30:00Z", "2025-01-02"), ("2025-01-01", "2025-01-01"), ("ayer", None), (None, None)]
+    assert values(spark, rows, "t string, d string", timeutil.own_day(F.col("t")).cast("string")) == [d for _, d in rows]
+    assert values(spark, [("abcd_-12",), ("corta",), ("x" * 129,), ("con espacio",), (None,), ("abcdefgh\n",)], "k string", text.valid_key(F.col("k"))) == [True, False, False, False, False, False]
 
 
 def test_registrations_and_accounts(spark):
     from telar.operators.validation import incoherent_accounts, registration_faults
 
-    rows = [(1, "A", "B", "8-1", " X@y.z ", "1990-01-01", True), (2, " ", None, "8", "x@y", "2999-01-01", None), (3, "A", "B", "8", None, "1990-02-30", True)]
+    rows = [(1, "A", "B", "8-1", " Paciente31@Example.com ", "1990-01-01", True), (2, " ", None, "8", "x@y", "2999-01-01", None), (3, "A", "B", "8", None, "1990-02-30", True)]
     got = {}
     for r in registration_faults(spark.createDataFrame(rows, "id int, nombre string, apellido string, cedula string, correo string, fecha_nac string, acepta boolean"), "id", F.lit("2025-01-01").cast("date")).collect():
         got.setdefault(r.id, set()).add(r.regla)
@@ -124,6 +135,6 @@ def test_package_references(spark):
     pregnancies = spark.createDataFrame([(1, "2025-01-06")], "id_embarazo int, fecha_inicio string").select("id_embarazo", day("fecha_inicio"))
     assigned = spark.createDataFrame([(1, 1, "2025-01-06", "2025-06-30"), (1, 1, "2025-07-01", None)], "id_dispositivo int, id_embarazo int, fecha_inicio string, fecha_fin string").select("id_dispositivo", "id_embarazo", day("fecha_inicio"), day("fecha_fin"))
     weeks = spark.range(1, 43).select((F.col("id") + 99).cast("int").alias("id_tiempo_gest"), F.col("id").cast("int").alias("semana_gestacion"))
-    readings = spark.createDataFrame([(1, 120, "2025-06-01", 4), (3, 110, "2025-06-30", 4), (3, 500, "2025-06-30", None)], "id_sesion int, id_tiempo_gest int, dia string, mov_valor int").select("id_sesion", "id_tiempo_gest", day("dia"), "mov_valor")
-    got = {(r.id_sesion, r.regla) for r in package_reference_faults(readings, sessions, pregnancies, weeks, assigned).collect()}
-    assert got == {(2, "embarazo_inexistente"), (2, "dispositivo_sin_asignacion"), (3, "dispositivo_sin_asignacion"), (3, "semana_inexistente"), (3, "semana_distinta"), (3, "movimiento_antes_de_semana_20")}
+    readings = spark.createDataFrame([(1, 120, "2025-06-01", 4), (3, 110, "2025-06-30", 4), (3, 500, "2025-06-30", None)], "id_sesion int, id_tiempo_gest int, dia string, mov_valor int").select("id_sesion", F.when(F.col("id_tiempo_gest") == 500, 1).otherwise(0).alias("indice"), "id_tiempo_gest", day("dia"), "mov_valor")
+    got = {(r.id_sesion, r.regla, r.indice) for r in package_reference_faults(readings, sessions, pregnancies, weeks, assigned).collect()}
+    assert got == {(2, "embarazo_inexistente", None), (2, "dispositivo_sin_asignacion", None), (3, "dispositivo_sin_asignacion", None), (3, "semana_inexistente", 1), (3, "semana_distinta", 0), (3, "movimiento_antes_de_semana_20", 0)}
