@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telar.schemas import REFERENCES, SECTIONS, key_of
+from telar.session import checkpoint
 
 
 class DatasetError(ValueError):
@@ -45,16 +46,17 @@ def read_dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """A DataFrame per section, with the section's declared types.
 
     Spark drops unknown fields silently, so column sets are compared first: the document
-    must have exactly the declared columns. Values that don't fit their type fail the read.
+    must have exactly the declared columns. Values that don't fit their type fail the read
+    (a boolean is no number), and so do instants without a zone.
     """
     names = section_names(spark, path)
     if missing := sorted(set(SECTIONS) - names):
         raise DatasetError(f"sections missing: {', '.join(missing)}")
     schema = T.StructType([T.StructField(s, T.ArrayType(t)) for s, t in SECTIONS.items()])
     doc = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    faults = column_faults(spark, path)
-    if faults:
+    if faults := column_faults(spark, path) + naive_instants(spark, path):
         raise DatasetError("; ".join(faults))
+    doc = checkpoint(doc)  # the document is one row, which each section would parse anew
     return {s: doc.select(F.explode(s).alias("x")).select("x.*") for s in SECTIONS}
 
 
@@ -72,6 +74,17 @@ def column_faults(spark: SparkSession, path: str) -> list[str]:
     return sorted(found)
 
 
+def naive_instants(spark: SparkSession, path: str) -> list[str]:
+    """Columns with instants that name no zone, which would mean another instant in another session."""
+    timed = {s: [f.name for f in t.fields if isinstance(f.dataType, T.TimestampType)] for s, t in SECTIONS.items()}
+    loose = T.StructType([T.StructField(s, T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in cs]))) for s, cs in timed.items() if cs])
+    doc = _document(spark, path).select(F.from_json("value", loose).alias("d"))
+    zoned = r"(Z|[+-]\d\d(:?\d\d)?)$"
+    naive = [F.exists(F.col(f"d.{s}.{c}"), lambda x: ~x.rlike(zoned)).alias(f"{s}.{c}") for s, cs in timed.items() for c in cs]
+    found = doc.select(*naive).first().asDict()
+    return sorted(f"{name}: instants without a zone" for name, bad in found.items() if bad)
+
+
 def metadata_faults(spark: SparkSession, path: str, expected: dict[str, object]) -> list[str]:
     """Metadata values that differ from the approved ones; one small object, read on the driver."""
     text = _document(spark, path).select(F.get_json_object("value", "$.metadata").alias("m")).first().m

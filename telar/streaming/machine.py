@@ -63,7 +63,10 @@ def result(p: Package, attempt: int, outcome: str, now: int, policy: Policy = Po
     if attempt != p.attempts or p.lease_until is None:
         if outcome != DELIVERED or p.state == SENT:
             return p, "TARDIO"
-        return replace(p, state=SENT, retryable=None, lease_until=None, next_at=None, reason=None), "ENTREGADO_TARDE"
+        # an attempt that is open meanwhile stays so until its own answer or its end
+        return replace(p, state=SENT, retryable=None, next_at=None, reason=None), "ENTREGADO_TARDE"
+    if p.state == SENT:
+        return replace(p, lease_until=None), "YA_ENTREGADO"
     if outcome == DELIVERED:
         return replace(p, state=SENT, retryable=None, lease_until=None, next_at=None), "ENTREGADO"
     if outcome == REJECTED:
@@ -73,14 +76,30 @@ def result(p: Package, attempt: int, outcome: str, now: int, policy: Policy = Po
     raise ValueError(f"no outcome {outcome}")
 
 
-def lease_expired(p: Package, now: int, policy: Policy = Policy()) -> tuple[Package, str]:
-    """Seals an abandoned attempt and schedules the next, if the lease is still the one that ran out."""
+def lease_expired(p: Package, now: int, policy: Policy = Policy(), attempt: int | None = None) -> tuple[Package, str]:
+    """Seals an abandoned attempt, if the lease is still the one that ran out.
+
+    The package itself changes only if nothing else has settled it: not if it was delivered
+    or closed meanwhile, nor if ``attempt``, the one that is said to be abandoned, is not its
+    last. Otherwise the next attempt is scheduled, or the package is exhausted.
+    """
+    if attempt is not None and attempt != p.attempts:
+        return p, "ABANDONADO_SUPERADO"
     if p.lease_until is None or p.lease_until > now:
         return p, "VIGENTE"
+    if p.state == SENT:
+        return replace(p, lease_until=None), "ABANDONADO_YA_ENTREGADO"
+    if is_terminal(p):
+        return replace(p, lease_until=None), "ABANDONADO_CERRADO"
     p, what = _after_failure(p, now, policy, True)
     return p, "ABANDONADO_" + what
 
 
+def is_due(p: Package, now: int) -> bool:
+    """Whether a scheduled retry may be sent."""
+    return p.state == FAILED and bool(p.retryable) and p.lease_until is None and p.next_at is not None and p.next_at <= now
+
+
 def inherited_exhaustion(p: Package, policy: Policy = Policy()) -> Package:
     """Packages of an older queue with all attempts used are closed for review."""
     if not is_terminal(p) and p.lease_until is None and p.attempts >= policy.attempts:

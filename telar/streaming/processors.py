@@ -22,30 +22,33 @@ def _in_order(rows: Iterator[Row]) -> list[Row]:
 
 class _Claims(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("primera", "huella string, llegada long")
+        self.first = handle.getValueState("primera", "huella string, llegada long, contestada boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         for r in _in_order(rows):
             if not self.first.exists():
-                self.first.update((r.huella, r.llegada))
+                self.first.update((r.huella, r.llegada, r.contestada))
                 what, by = "NUEVA", r.llegada
             else:
-                huella, by = self.first.get()
-                what = "REPETICION" if huella == r.huella else "COLISION"
-            yield Row(clave=key[0], llegada=r.llegada, resultado=what, primera=by)
+                huella, by, answered = self.first.get()
+                what = "INCOMPLETA" if not answered else "REPETICION" if huella == r.huella else "COLISION"
+            yield Row(recurso=key[0], clave=key[1], llegada=r.llegada, resultado=what, primera=by)
 
     def close(self) -> None:
         pass
 
 
 def ingest_claims(stream: DataFrame) -> DataFrame:
-    """stream: clave string, huella string, llegada long. Gives clave, llegada, resultado, primera.
+    """stream: recurso string, clave string, huella string, llegada long, and perhaps contestada boolean. Gives recurso, clave, llegada, resultado, primera.
 
-    The first package of a key is NUEVA; the same content again is a REPETICION, answered
-    by the first one's result; other content a COLISION. A null key or content is a value
-    like any other.
+    The first package of a resource and key is NUEVA; the same content again is a
+    REPETICION, answered by the first one's result; other content a COLISION. Where the
+    first one never came to an answer (contestada false), later ones are INCOMPLETA,
+    whatever their content. A null key or content is a value like any other.
     """
-    return stream.select("clave", "huella", "llegada").groupBy("clave").transformWithState(_Claims(), "clave string, llegada long, resultado string, primera long", "Append", "None")
+    answered = F.coalesce(F.col("contestada"), F.lit(True)) if "contestada" in stream.columns else F.lit(True)
+    own = stream.select("recurso", "clave", "huella", "llegada", answered.alias("contestada"))
+    return own.groupBy("recurso", "clave").transformWithState(_Claims(), "recurso string, clave string, llegada long, resultado string, primera long", "Append", "None")
 
 
 class _Queue(StatefulProcessor):
@@ -73,16 +76,22 @@ class _Queue(StatefulProcessor):
                 if what == "RECLAMADO":
                     self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.policy.lease_ms)
             elif r.evento == "VENCIMIENTO":
-                p, what = machine.lease_expired(p, r.t, self.policy)
+                p, what = machine.lease_expired(p, r.t, self.policy, r.intento)
             else:
                 p, what = machine.result(p, r.intento, r.evento, r.t, self.policy)
+            if what.endswith("REPROGRAMADO"):
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.policy.wait(p.attempts))
             yield self._put(key, p, what, r.t, r.llegada)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = expiredTimerInfo.getExpiryTimeInMs()
         p, what = machine.lease_expired(self._get(), now, self.policy)
         if what != "VIGENTE":
+            if what.endswith("REPROGRAMADO"):
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.policy.wait(p.attempts))
             yield self._put(key, p, what, now, None)
+        elif machine.is_due(p, now):
+            yield self._put(key, p, "LISTO", now, None)
 
     def close(self) -> None:
         pass
@@ -92,8 +101,9 @@ def queue_machine(stream: DataFrame, policy: machine.Policy = machine.Policy())
     """stream: id_outbox long, llegada long, t long (ms), evento string, intento int.
 
     evento is CAPTURA, RECLAMO, VENCIMIENTO or an outcome of the attempt ``intento``. Gives
-    each step's effect and the state after it. A timer seals an abandoned attempt. A query
-    with timers goes on under ``availableNow`` too: stop it, or feed VENCIMIENTO events.
+    each step's effect and the state after it. A timer seals an abandoned attempt, and one at
+    the end of a wait says that the package may be sent again (LISTO). VENCIMIENTO may name
+    the attempt it is about. A query with timers goes on under ``availableNow`` too: stop it, or feed VENCIMIENTO events.
     """
     out = "id_outbox long, llegada long, t long, efecto string, estado string, intentos int, proximo long"
     return stream.select("id_outbox", "llegada", "t", "evento", "intento").groupBy("id_outbox").transformWithState(_Queue(policy), out, "Append", "ProcessingTime")

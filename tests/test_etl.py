@@ -6,6 +6,7 @@ from canonical import build
 from pyspark.sql import functions as F
 
 from telar.plans import etl
+from telar.plans.dataset_load import load_dataset
 from telar.session import checkpoint
 from telar.sources import dataset
 from telar.sources.sinks import LockBusy, Published, append_audit, write_csv, write_json
@@ -48,6 +49,32 @@ def test_document_checks(spark, doc, tables, tmp_path):
     assert found == {("roles", "clave_repetida"): 1, ("medicos", "id_especialidad -> especialidades"): 1}
 
 
+def test_a_document_is_loaded_whole_or_not_at_all(spark, doc, tmp_path):
+    store = Published(spark, str(tmp_path / "store"))
+    load = lambda d, **k: load_dataset(spark, written(d, tmp_path / "d.json"), store, **k)
+    first = load(doc, metadata={"semilla": 20260810}, declared={"sesiones_monitoreo": 732})
+    assert first["lecturas_biometricas"] == 1180 and first["medico_clinica"] == 5
+    assert not any(load(doc).values())
+    more = copy.deepcopy(doc)
+    more["roles"].append({"id_rol": 999, "nombre_rol": "X"})
+    more["medico_clinica"].append({**doc["medico_clinica"][0], "fecha_inicio": "2025-02-01"})
+    assert {s: n for s, n in load(more).items() if n} == {"roles": 1, "medico_clinica": 1} and store.read("roles").count() == 4
+    version = store.current()
+    other = copy.deepcopy(more)
+    other["clinicas"][0] |= {"provincia": "otra", "ruc": "9"}
+    with pytest.raises(dataset.DatasetError, match="^clinicas: 1 rows differ in ruc,provincia$"):
+        load(other)
+    with pytest.raises(dataset.DatasetError, match="metadata semilla: 20260810"):
+        load(doc, metadata={"semilla": 1})
+    with pytest.raises(dataset.DatasetError, match="roles: 3 rows of 4 declared"):
+        load(doc, declared={"roles": 4})
+    naive = copy.deepcopy(doc)
+    naive["dispositivos"][3]["fecha_registro"] = "2025-01-01T00:00:00"
+    with pytest.raises(dataset.DatasetError, match="^dispositivos.fecha_registro: instants without a zone$"):
+        load(naive)
+    assert store.current() == version
+
+
 def test_canonical_load_gives_the_published_counts(spark, doc, tables, tmp_path):
     star = Published(spark, str(tmp_path / "star"))
     counters = etl.run(tables, star)

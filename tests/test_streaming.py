@@ -56,6 +56,19 @@ def test_abandoned_and_late():
     assert inherited_exhaustion(Package(attempts=3), P).reason == "AGOTAMIENTO_HEREDADO" and inherited_exhaustion(late, P) == late
 
 
+def test_an_abandoned_attempt_of_a_settled_package_changes_only_itself():
+    p, _ = claim(lease_expired(claim(Package(), 0, P)[0], 70_000, P)[0], 71_000, P)
+    sent, what = result(p, 1, DELIVERED, 71_500, P)  # late, while the second is open
+    assert what == "ENTREGADO_TARDE" and sent.lease_until is not None
+    assert result(sent, 2, RETRY, 71_600, P)[1] == "YA_ENTREGADO"
+    done, what = lease_expired(sent, 10**6, P)
+    assert what == "ABANDONADO_YA_ENTREGADO" and done.state == SENT and done.lease_until is None and done.attempts == 2
+    closed = Package(FAILED, False, 2, 50, None, "RECHAZO")
+    assert lease_expired(closed, 60, P) == (Package(FAILED, False, 2, None, None, "RECHAZO"), "ABANDONADO_CERRADO")
+    assert lease_expired(p, 10**6, P, attempt=1) == (p, "ABANDONADO_SUPERADO")
+    assert lease_expired(Package(PENDING, None, 3, 50), 60, P)[1] == "ABANDONADO_AGOTADO"
+
+
 def test_rate_limit_ignores_refused_requests():
     accepted, seen = [], []
     for t in (0, 1, 2, 3, 1000, 1001, 1002):
@@ -94,9 +107,10 @@ QUEUE = "id_outbox long, llegada long, t long, evento string, intento int"
 
 
 def test_claims_stream(spark, tmp_path):
-    batches = [[{"clave": "a", "huella": "x", "llegada": 2}, {"clave": "a", "huella": "y", "llegada": 1}, {"clave": "b", "huella": "x", "llegada": 3}], [{"clave": "a", "huella": "y", "llegada": 4}, {"clave": "b", "huella": "z", "llegada": 5}, {"clave": None, "huella": "x", "llegada": 6}]]
-    got = run(spark, tmp_path, "clave string, huella string, llegada long", batches, processors.ingest_claims).collect()
-    assert {r.llegada: (r.resultado, r.primera) for r in got} == {1: ("NUEVA", 1), 2: ("COLISION", 1), 3: ("NUEVA", 3), 4: ("REPETICION", 1), 5: ("COLISION", 3), 6: ("NUEVA", 6)}
+    c = lambda clave, huella, llegada, recurso="r", contestada=True: {"recurso": recurso, "clave": clave, "huella": huella, "llegada": llegada, "contestada": contestada}
+    batches = [[c("a", "x", 2), c("a", "y", 1), c("b", "x", 3), c("a", "x", 7, "otro")], [c("a", "y", 4), c("b", "z", 5), c(None, "x", 6), c("c", "x", 8, contestada=False), c("c", "x", 9), c("c", "y", 10)]]
+    got = run(spark, tmp_path, "recurso string, clave string, huella string, llegada long, contestada boolean", batches, processors.ingest_claims).collect()
+    assert {r.llegada: (r.resultado, r.primera) for r in got} == {1: ("NUEVA", 1), 2: ("COLISION", 1), 3: ("NUEVA", 3), 4: ("REPETICION", 1), 5: ("COLISION", 3), 6: ("NUEVA", 6), 7: ("NUEVA", 7), 8: ("NUEVA", 8), 9: ("INCOMPLETA", 8), 10: ("INCOMPLETA", 8)}
 
 
 def test_queue_stream(spark, tmp_path):
@@ -110,8 +124,8 @@ def test_queue_stream(spark, tmp_path):
 def test_a_timer_seals_an_abandoned_attempt(spark, tmp_path):
     now = int(time.time() * 1000)
     e = lambda i, evento: {"id_outbox": 1, "llegada": i, "t": now, "evento": evento, "intento": None}
-    got = run(spark, tmp_path, QUEUE, [[e(1, "CAPTURA"), e(2, "RECLAMO")]], lambda s: processors.queue_machine(s, SHORT), timers=True).collect()
-    assert [(r.efecto, r.estado) for r in got if r.llegada is None] == [("ABANDONADO_REPROGRAMADO", FAILED)]
+    got = run(spark, tmp_path, QUEUE, [[e(1, "CAPTURA"), e(2, "RECLAMO")]], lambda s: processors.queue_machine(s, SHORT), timers=True).orderBy("t").collect()
+    assert [(r.efecto, r.estado) for r in got if r.llegada is None][:2] == [("ABANDONADO_REPROGRAMADO", FAILED), ("LISTO", FAILED)]
 
 
 def test_rate_limit_stream(spark, tmp_path):
@@ -152,6 +166,9 @@ def test_incremental_stream_by_difference_of_keys(spark, tmp_path):
         incremental.start(stream, facts, str(tmp_path / "cp"), "id", "v").awaitTermination(60)
         total.append(sorted((r.id, r.v) for r in spark.read.parquet(facts).collect()))
     assert total == [[(5, 3), (6, 2)], [(1, 9), (5, 3), (6, 2)]]
+    batch = spark.createDataFrame([(2, 1), (5, 1), (8, 1), (9, 1)], "id long, v long")
+    assert incremental.load_new(batch, facts, "id", "v", up_to=8) == 2 and incremental.load_new(batch, facts, "id", "v") == 1
+    assert incremental.load_new(batch.limit(0), facts, "id", "v") == 0 and spark.read.parquet(facts).count() == 6
 
 
 def package(**changes):
