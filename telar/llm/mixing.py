@@ -146,11 +146,16 @@ class Mixture:
         needs = spark.createDataFrame([(s.source, s.demand, s.available, s.repeats) for s in self.shares if s.demand > 0], f"`{source}` string, _pide double, _hay long, _veces int")
         last = F.least(F.col("_veces") - 1, F.floor((F.col("_pide") - F.col("_medio")) / F.col("_hay"))).cast("int")
         copies = placed.join(F.broadcast(needs), source).withColumn("_ultima", last).filter("_ultima >= 0").withColumn("_vez", F.explode(F.sequence(F.lit(0), F.col("_ultima")))).withColumn("_c", F.col("_vez") * F.col("_hay") + F.col("_medio"))
-        stretches = spark.createDataFrame(_segments(self.shares, self.schedule), f"`{source}` string, _c0 double, _c1 double, _d0 double, _t0 double, _w double, _m double")
-        y = F.col("_c") - F.col("_d0")
-        root = F.sqrt(F.greatest(F.col("_w") * F.col("_w") + 2 * F.col("_m") * y, F.lit(0.0)))
-        at = F.col("_t0") + F.when(y > 0, 2 * y / (F.col("_w") + root)).otherwise(0.0)
-        found = copies.join(F.broadcast(stretches), source).filter((F.col("_c0") < F.col("_c")) & (F.col("_c") <= F.col("_c1")))
+        segments: dict[str, list[tuple]] = {}
+        for s, *stretch in _segments(self.shares, self.schedule):
+            segments.setdefault(s, []).append(tuple(stretch))
+        # one row per target with its stretches, so that a text is joined to one row only
+        stretches = spark.createDataFrame(list(segments.items()), f"`{source}` string, _tramos array<struct<c0: double, c1: double, d0: double, t0: double, w: double, m: double>>")
+        own_stretch = F.filter("_tramos", lambda x: (x["c0"] < F.col("_c")) & (F.col("_c") <= x["c1"]))[0]
+        found = copies.join(F.broadcast(stretches), source).withColumn("_t", own_stretch)
+        y = F.col("_c") - F.col("_t.d0")
+        root = F.sqrt(F.greatest(F.col("_t.w") * F.col("_t.w") + 2 * F.col("_t.m") * y, F.lit(0.0)))
+        at = F.col("_t.t0") + F.when(y > 0, 2 * y / (F.col("_t.w") + root)).otherwise(0.0)
         return found.select(at.alias("posicion"), source, key, (F.col("_vez") + 1).alias("repeticion"), size).orderBy("posicion", source, key, "repeticion")
 
     def reached(self, chosen: DataFrame) -> DataFrame:

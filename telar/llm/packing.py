@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 from telar.session import checkpoint, width
 
 
-#: More than there are texts of one size.
-_RANKS = 2**40
-
-
 class _Filling:
     """Containers for a histogram of sizes.
 
@@ -139,15 +135,20 @@ def _placing(spark: SparkSession, capacities: list[int], runs: dict[int, list[tu
     """
     stride = max(capacities) + 1
     rows = sorted((i * stride + size, lo, first, each) for i, c in enumerate(capacities) for size, lo, _, first, each in runs[c])
-    sent = spark.sparkContext.broadcast((np.array(capacities, "int64"), np.array(rows, "int64").reshape(-1, 4)))
+    table = np.array(rows, "int64").reshape(-1, 4)
+    sizes, place_of = np.unique(table[:, 0], return_inverse=True)
+    ranks = 1 + max((hi for i in runs.values() for _, _, hi, _, _ in i), default=0)
+    if len(sizes) * ranks >= 2**63:
+        raise ValueError("too many texts of too many sizes for one number to tell them apart")
+    sent = spark.sparkContext.broadcast((np.array(capacities, "int64"), sizes, place_of * ranks + table[:, 1], table[:, 1:]))
 
     @F.pandas_udf("long")
     def place(capacity: pd.Series, size: pd.Series, rank: pd.Series) -> pd.Series:
-        known, table = sent.value
+        known, sizes, begins, table = sent.value
         group = np.searchsorted(known, capacity.to_numpy()) * stride + size.to_numpy()
-        ranks = rank.to_numpy("int64")
-        i = np.searchsorted(table[:, 0] * _RANKS + table[:, 1], group * _RANKS + ranks, side="right") - 1
-        return pd.Series(table[i, 2] + (ranks - table[i, 1]) // table[i, 3])
+        own = rank.to_numpy("int64")
+        i = np.searchsorted(begins, np.searchsorted(sizes, group) * ranks + own, side="right") - 1
+        return pd.Series(table[i, 1] + (own - table[i, 0]) // table[i, 2])
 
     return place
 

@@ -71,27 +71,71 @@ def _is(characters: bytes) -> np.ndarray:
     return out
 
 
-def _candidates(t: _Texts, limit: Limit) -> tuple[np.ndarray, np.ndarray]:
-    """Text and boundary (token of the whole list) where an optimal plan may cut the texts over the limit.
-
-    All boundaries between characters, but for those inside a word that fits a piece: cuts
-    before and after the word (l, r) cost less than one inside it (i). They make a piece of
-    size t, and those beside it shorter by c and d; in limits c + d <= t <= 1, the two have
-    at least c and d, and e <= 1 is the even size. The departures grow by no more than
-    (t - e)^2 + 2 e (c + d) - c^2 - d^2 <= t^2 / 2 + e^2 <= 3 / 2, times IMBALANCE, which is
-    less than a token's price over two of a space. Where one of the two cuts or both are
-    there or passed already, leaving out i gains more.
+def _candidates(t: _Texts, limit: Limit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text and boundary (token of the whole list) where an optimal plan may cut the texts over the limit, and what a piece beside it holds at least.
+
+    All boundaries between characters but those inside a word (what lies between two
+    natural boundaries, text ends among them) that no optimal plan has:
+
+    A word that fits a piece: cuts before and after the word (l, r) cost less than one
+    inside it (i). They make a piece of size t, and those beside it shorter by c and d; in
+    limits c + d <= t <= 1, the two have at least c and d, and e <= 1 is the even size. The
+    departures grow by no more than (t - e)^2 + 2 e (c + d) - c^2 - d^2 <= t^2 / 2 + e^2
+    <= 3 / 2, times IMBALANCE, which is less than a token's price over two of a space. Where
+    one of the two cuts or both are there or passed already, leaving out i gains more.
+
+    A longer word of R tokens needs M = ceil(R / U) - 1 cuts, of U = limit - overlap tokens at
+    most, and has no more. Say it had M + q, and the pieces beside them reached out by a and
+    b of U on both sides. Cuts at l and r with M even ones between them save q token prices
+    and cost two of a space at most; with sizes less the overlap, in U, the departures grow by
+    (2 - q) e^2 + a^2 + b^2 + R^2 / (M + 1) - (a + b + R)^2 / (M + 1 + q) at most. For q = 1
+    this is below 2 (by 4 / U and more where a and b aren't 0, so that rounding the even cuts to
+    tokens takes nothing away in words of fewer than 16 limits of cuts, and else the price is
+    less), for q > 1 below 2 + q: times IMBALANCE less than what is saved. So the k-th cut lies
+    within k U of l and within (M + 1 - k) U of r.
+
+    And the M + 1 pieces beside the M cuts differ by a token at most in all, or moving the
+    cuts between a longer and a shorter one by a token would even the two. M pieces in their
+    place would spare a cut, so they can't all fit the limit: if they did, at s tokens each,
+    and s lay above e (elsewhere they cost less than the M + 1), the text's k even pieces would
+    be more than M, and as L - e <= L / k the M pieces' departures would cost IMBALANCE / M at
+    most. Hence the M + 1 pieces hold more than M limits and one overlap, and each of them
+    a (M + 1)th of it, rounded down. Words with a character of several tokens are left as they are.
     """
     held = np.repeat(t.n > limit.tokens, t.n)
-    local = np.arange(len(t.kind)) - np.repeat(t.first[:-1], t.n)
+    first = np.repeat(t.first[:-1], t.n)
+    here = np.arange(len(t.kind))
+    local = here - first
     free = t.whole & held & (local > limit.overlap)
     natural = free & (t.kind < 5)
     mark = natural.copy()
     mark[t.first[:-1]] = True
-    word = np.diff(np.r_[np.flatnonzero(mark), len(mark)])
-    short = word + limit.overlap + (3 if limit.overlap else 0) <= limit.tokens
-    at = np.flatnonzero(natural | free & ~np.repeat(short, word))
-    return np.searchsorted(t.first, at, side="right") - 1, at
+    begins = np.flatnonzero(mark)
+    word = np.diff(np.r_[begins, len(mark)])
+    slack = 3 if limit.overlap else 0
+    long = np.flatnonzero((word + limit.overlap + slack > limit.tokens) & held[begins])
+    # nodes of long words, word by word
+    many = word[long]
+    inner = np.repeat(begins[long] - np.cumsum(many) + many, many) + np.arange(many.sum())
+    step = limit.tokens - limit.overlap
+    broken = np.r_[0, np.cumsum(~t.whole)]
+    at_start = local[begins[long]] == 0
+    left = begins[long] + np.where(at_start, limit.overlap, 0)
+    right = begins[long] + many
+    cuts = -(-(right - left) // step) - 1
+    plain = (broken[right] == broken[np.maximum(begins[long] - np.where(at_start, 0, limit.overlap), 0)]) & (cuts > 0) & (cuts + 1 < 16 * limit.tokens)
+    # the k-th cut lies in [right - (cuts + 1 - k) step, left + k step], so between those at equal distance from either end
+    from_left = inner - np.repeat(left, many)
+    to_right = np.repeat(right, many) - inner
+    k = -(-from_left // step)  # the first that may lie so far
+    kept = free[inner] & (~np.repeat(plain, many) | (to_right <= (np.repeat(cuts, many) + 1 - k) * step))
+    least = np.zeros(len(mark), "int32")
+    least[inner] = np.repeat(np.where(plain, (cuts * limit.tokens + limit.overlap) // (cuts + 1), 0), many)
+    least[natural] = 0
+    chosen = natural.copy()
+    chosen[inner[kept]] = True
+    at = np.flatnonzero(chosen)
+    return np.searchsorted(t.first, at, side="right") - 1, at, least[at]
 
 
 class _Ways:
@@ -101,14 +145,13 @@ class _Ways:
     times the distance in limits, which is what the move can add to the departures of the
     two pieces): a plan with it gets cheaper by moving the cut there, or by leaving it out
     where another one lies between. So in an optimal plan the better one to the right lies
-    beyond the reach of the piece before, and the better one to the left beyond that of
-    the piece after. Beginning and end count as better ones, without a price.
+    beyond the reach of the piece before. The end counts as a better one, without a price.
     """
 
     def __init__(self, t: _Texts, limit: Limit):
         most, lap = limit.tokens, limit.overlap
         self.text = over = np.flatnonzero(t.n > most)
-        text, at = _candidates(t, limit)
+        text, at, least_at = _candidates(t, limit)
         lane = (np.cumsum(t.n > most) - 1)[text]
         #: Steps of each text after its beginning, and the node of its beginning.
         self.steps = np.bincount(lane, minlength=len(over)) + 1
@@ -127,17 +170,18 @@ class _Ways:
         kind = np.full(size, -1, "int8")
         kind[where] = t.kind[at]
         self.price = np.r_[COSTS, 0.0][kind]
-        right, left = np.full(size, _FAR, "int32"), np.full(size, -_FAR, "int32")
+        right = np.full(size, _FAR, "int32")
         better = [np.flatnonzero(kind <= k) for k in range(-1, len(KINDS) - 1)]
-        for beside, of in ((right, [np.repeat(x, np.diff(np.r_[-1, x])) for x in better]), (left, [np.repeat(x, np.diff(np.r_[x, size])) for x in better])):
-            for k in range(len(KINDS)):
-                own = np.flatnonzero(kind == k)
-                for nearest in of[k::-1]:
-                    r = nearest[own]
-                    near = 2 * IMBALANCE * (np.abs(end[r] - end[own]) + 3) < (COSTS[k] - self.price[r]) * most
-                    beside[own[near]] = (end if beside is right else begin)[r[near]]
-                    own = own[~near]
-        least = _least_piece(kind, end, begin, limit)
+        following = [np.repeat(x, np.diff(np.r_[-1, x])) for x in better]
+        for k in range(len(KINDS)):
+            own = np.flatnonzero(kind == k)
+            for nearest in following[k::-1]:
+                r = nearest[own]
+                near = 2 * IMBALANCE * (end[r] - end[own] + 3) < (COSTS[k] - self.price[r]) * most
+                right[own[near]] = end[r[near]]
+                own = own[~near]
+        least = np.zeros(size, "int32")
+        least[where] = least_at
         below = np.cumsum(np.bincount(begin, minlength=len(t.kind) + 1))
         below = below.astype("int32")
         reached = lambda x: below[np.maximum(x - 1, 0)] * (x > 0)
@@ -145,8 +189,6 @@ class _Ways:
         self.lo = np.maximum(reached(end - most), self.off.astype("int32")[node])
         self.hi = np.maximum(np.minimum(reached(np.minimum(right - most, end - least + 1)), np.arange(size, dtype="int32")), self.lo)
         self.hi[self.off] = self.lo[self.off]
-        #: A piece that begins at a node ends beyond the reach from the better cut to the left, and isn't too small.
-        self.far, self.left = end - most, np.maximum(left, begin + least - most - 1)
         pieces = -(-(n - lap) // (most - lap))
         even = (n + (pieces - 1) * lap) / pieces
         self.end, self.begin = end - first[node], begin - first[node]
@@ -154,39 +196,40 @@ class _Ways:
         self.x, self.y = (self.end - even[node]) * unit, self.begin * unit
 
 
-def _least_piece(kind: np.ndarray, end: np.ndarray, begin: np.ndarray, limit: Limit) -> np.ndarray:
-    """Tokens that the pieces before and after a cut have at least in an optimal plan; 0 where nothing is known.
-
-    In a long run of tokens without a natural boundary, each a character or more: pieces
-    beside a cut differ by a token at most, or moving it by one would even them. K cuts
-    one after the other are needed, which is to say that one less would leave a piece over
-    the limit, as long as K pieces' departures (at most IMBALANCE each) cost less than a cut.
-    So K + 1 pieces hold more than K limits and one overlap, and each of them a (K + 1)th
-    of it less K / 2. The next cut on either side lies at most a step away, so a run holds
-    as many more cuts as it holds steps.
-    """
-    step = limit.tokens - limit.overlap
-    even = np.zeros(len(kind), bool)
-    one = (np.diff(end) == 1) & (np.diff(begin) == 1)
-    even[1:-1] = (kind[1:-1] == 5) & one[1:] & one[:-1]
-    here = np.arange(len(kind), dtype="int32")
-    before = here - np.maximum.accumulate(np.where(even, -1, here)) - 1
-    after = np.minimum.accumulate(np.where(even, len(kind), here)[::-1])[::-1] - here - 1
-    cuts = np.clip(1 + before // step + after // step, 0, int(np.ceil(COSTS[5] / IMBALANCE)) - 1)
-    return np.where(even, (cuts * limit.tokens + limit.overlap) // (cuts + 1) - (cuts + 1) // 2, 0).astype("int32")
-
-
 def _edges(w: _Ways, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place of the node among dst, node where its piece begins, and the piece's price, of all ways to the nodes."""
-    lo = w.lo[dst]
+    """Number of ways to each node, and of all of them the node where the piece begins, and the piece's departure."""
+    lo = w.lo[dst].astype("int64")
     many = w.hi[dst] - lo
-    src = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
-    row = np.repeat(np.arange(len(dst), dtype="int32"), many)
-    ok = np.flatnonzero(w.left[src] < w.far[dst][row])
-    row, src = row[ok], src[ok]
-    way = w.x[dst][row] - w.y[src]
+    src = np.repeat(lo - np.cumsum(many) + many, many)
+    src += np.arange(len(src))
+    way = np.repeat(w.x[dst], many)
+    way -= w.y[src]
     way *= way
-    return row, src, way
+    return many, src, way
+
+
+def _turns(w: _Ways) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes after the beginnings by turns, and where each turn begins and the last ends; ways to a turn's nodes begin at nodes of earlier turns.
+
+    After a turn's first node g a text's turn goes on up to the least node j with hi[j] > g,
+    whose ways may begin within the turn. All texts take their turns together.
+    """
+    size = len(w.price)
+    nodes = np.arange(size - 1, -1, -1, dtype="int32")
+    blocked = np.full(size + 1, size, "int32")
+    blocked[w.hi[nodes]] = nodes  # of several the last written, the least, stays
+    after = np.minimum.accumulate(blocked[::-1])[::-1][1:]
+    turn = np.zeros(size, "int32")
+    at, end, lanes, k = w.off + 1, w.off + w.steps, np.arange(len(w.off)), 0
+    while len(lanes):
+        turn[at[lanes]] = k
+        at[lanes] = after[at[lanes]]
+        lanes = lanes[at[lanes] <= end[lanes]]
+        k += 1
+    later = np.delete(nodes[::-1], w.off)
+    lane = np.repeat(np.arange(len(w.off)) * k, w.steps)
+    turn = (np.maximum.accumulate(turn[later] + lane) - lane).astype("int16" if k < 2**15 else "int32")  # the former is sorted by digits
+    return later[np.argsort(turn, kind="stable")], np.r_[0, np.cumsum(np.bincount(turn))]
 
 
 def _plan(t: _Texts, limits: list[Limit]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -199,27 +242,16 @@ def _plan(t: _Texts, limits: list[Limit]) -> Iterator[tuple[int, int, np.ndarray
 
 
 def _cheapest(w: _Ways) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Text, ends and begins of its pieces. All texts advance together, node by node; the ways of some steps are made at once."""
-    size, lanes = len(w.price), np.arange(len(w.text))
-    # nodes by step, the longest texts first, so that those of a step lie together
-    rank = np.empty(len(lanes), "int64")
-    rank[np.argsort(-w.steps, kind="stable")] = lanes
-    active = np.searchsorted(np.sort(-w.steps), -np.arange(1, w.steps.max() + 1), side="right")
-    bound = np.r_[0, np.cumsum(active)]
-    step = np.arange(size) - np.repeat(w.off, w.steps + 1)
-    later = np.flatnonzero(step)
-    turn = np.empty(len(later), "int64")
-    turn[bound[step[later] - 1] + np.repeat(rank, w.steps)] = later
-    del step, later
+    """Text, ends and begins of its pieces. All texts advance together, turn by turn; the ways of some turns are made at once."""
+    turn, bound = _turns(w)
     work = np.r_[0, np.cumsum((w.hi - w.lo)[turn] + 1, dtype="int64")][bound]
-    cost = np.full(size, np.inf)
+    cost = np.full(len(w.price), np.inf)
     cost[w.off] = 0.0
     j = 0
     while j < len(bound) - 1:
         to = max(j + 1, int(np.searchsorted(work, work[j] + WAYS_AT_ONCE, side="right")) - 1)
         dst = turn[bound[j] : bound[to]]
-        row, src, way = _edges(w, dst)
-        many = np.bincount(row, minlength=len(dst))
+        many, src, way = _edges(w, dst)
         some = np.flatnonzero(many)
         cut = np.r_[0, np.cumsum(many)]
         begins, dst = cut[some], dst[some]
@@ -228,14 +260,16 @@ def _cheapest(w: _Ways) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         e, d = cut[at].tolist(), np.searchsorted(some, at).tolist()
         for e0, e1, d0, d1 in zip(e, e[1:], d, d[1:]):
             if d0 < d1:
-                cost[dst[d0:d1]] = np.minimum.reduceat(cost[src[e0:e1]] + way[e0:e1], begins[d0:d1] - e0) + price[d0:d1]
+                total = cost[src[e0:e1]]
+                total += way[e0:e1]
+                cost[dst[d0:d1]] = np.minimum.reduceat(total, begins[d0:d1] - e0) + price[d0:d1]
         j = to
-    at, found = w.off + w.steps, []
+    lanes, at, found = np.arange(len(w.text)), w.off + w.steps, []
     while len(lanes):
-        row, src, way = _edges(w, at)
+        many, src, way = _edges(w, at)
         way += cost[src]
-        cut = np.r_[0, np.flatnonzero(np.diff(row)) + 1]
-        least = np.flatnonzero(way == np.minimum.reduceat(way, cut)[row])
+        row = np.repeat(np.arange(len(many)), many)
+        least = np.flatnonzero(way == np.minimum.reduceat(way, np.cumsum(many) - many)[row])
         prior = src[least[np.r_[np.diff(row[least]) > 0, True]]]  # the last of equals
         found.append((lanes, w.end[at], w.begin[prior]))
         more = prior > w.off[lanes]
@@ -247,7 +281,7 @@ def _cheapest(w: _Ways) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def _pieces(keys: list, texts: list[bytes], limits: list[Limit], vocabulary: str) -> Iterator[tuple]:
-    """(key, limit, piece, from, to, kind of the cut after it, text), for a handful of texts."""
+    """(key, limit's place, piece, from, to, kind of the cut after it, text), for a handful of texts."""
     least = min(x.tokens for x in limits)
     kept, ids = [], []
     for i, x in enumerate(texts):
@@ -265,13 +299,13 @@ def _pieces(keys: list, texts: list[bytes], limits: list[Limit], vocabulary: str
         kinds = [*t.kind[first + ends[:-1]].tolist(), -1]
         own = texts[kept[i]]
         for n, (f, to, x, y, kind) in enumerate(zip(begins.tolist(), ends.tolist(), a, b, kinds)):
-            yield keys[kept[i]], limits[place].tokens, n, f, to, FINAL if kind < 0 else KINDS[kind], own[x:y]
+            yield keys[kept[i]], place, n, f, to, FINAL if kind < 0 else KINDS[kind], own[x:y]
 
 
 def split(docs: DataFrame, limits: list[tuple[int, int]], key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """Pieces of the texts over a limit: key, max_tokens, pieza, desde_token, hasta_token, n_tokens, corte, texto.
+    """Pieces of the texts over a limit: key, max_tokens, solape_tokens, pieza, desde_token, hasta_token, n_tokens, corte, texto.
 
-    limits: (tokens, overlap) pairs. A text within a limit gives no rows for it, nor does a
+    limits: (tokens, overlap) pairs; one limit may come with several overlaps. A text within a limit gives no rows for it, nor does a
     null or empty one. Pieces hold at most the limit; each shares the overlap's tokens with
     the one before, or up to three more where its first character would be cut otherwise.
     corte is the kind of boundary after the piece, ``fin`` after the last. Texts are cut
@@ -287,12 +321,10 @@ def split(docs: DataFrame, limits: list[tuple[int, int]], key: str = "doc_id", t
     own = sorted({Limit(int(a), int(b or 0)) for a, b in limits}, key=lambda x: (x.tokens, x.overlap))
     if not own:
         raise ValueError("no limits given")
-    least = min(x.tokens for x in own)
     kind = dict(docs.dtypes)[key]
     schema = f"`{key}` {kind}, max_tokens int, solape_tokens int, pieza int, desde_token int, hasta_token int, n_tokens int, corte string, texto string"
-    overlap = {x.tokens: x.overlap for x in own}
-    if len(overlap) < len(own):
-        raise ValueError("one limit with two overlaps")
+    least = own[0].tokens
+    most_of, overlap_of = (np.array([getattr(x, c) for x in own], "int32") for c in ("tokens", "overlap"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_type: pa.Schema | None = None
@@ -306,10 +338,9 @@ def split(docs: DataFrame, limits: list[tuple[int, int]], key: str = "doc_id", t
                     rows = list(_pieces(keys[a:b], texts[a:b], own, vocabulary))
                     a, held = b, 0
                     for i in range(0, len(rows), 20_000):
-                        k, most, n, f, to, cut, piece = zip(*rows[i : i + 20_000])
-                        f_, to_ = np.array(f, "int32"), np.array(to, "int32")
-                        most_ = np.array(most, "int32")
-                        columns = [pa.array(k, out_type.field(0).type), pa.array(most_), pa.array([overlap[m] for m in most], pa.int32()), pa.array(np.array(n, "int32")), pa.array(f_), pa.array(to_), pa.array(to_ - f_), pa.array(cut), pa.array(piece, pa.binary()).cast(pa.string())]
+                        k, place, n, f, to, cut, piece = zip(*rows[i : i + 20_000])
+                        f_, to_, place_ = np.array(f, "int32"), np.array(to, "int32"), np.array(place)
+                        columns = [pa.array(k, out_type.field(0).type), pa.array(most_of[place_]), pa.array(overlap_of[place_]), pa.array(np.array(n, "int32")), pa.array(f_), pa.array(to_), pa.array(to_ - f_), pa.array(cut), pa.array(piece, pa.binary()).cast(pa.string())]
                         yield pa.RecordBatch.from_arrays(columns, schema=out_type)
 
     # a text of no more bytes than the least limit has no more tokens
@@ -317,5 +348,5 @@ def split(docs: DataFrame, limits: list[tuple[int, int]], key: str = "doc_id", t
 
 
 def cuts(pieces: DataFrame) -> DataFrame:
-    """Per limit: texts, pieces, tokens and how many pieces end at each kind of boundary."""
-    return pieces.groupBy("max_tokens").agg(F.count_if(F.col("pieza") == 0).alias("textos"), F.count("*").alias("piezas"), F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("mayor"), *[F.count_if(F.col("corte") == k).alias(k) for k in KINDS])
+    """Per limit and overlap: texts, pieces, tokens and how many pieces end at each kind of boundary."""
+    return pieces.groupBy("max_tokens", "solape_tokens").agg(F.count_if(F.col("pieza") == 0).alias("textos"), F.count("*").alias("piezas"), F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("mayor"), *[F.count_if(F.col("corte") == k).alias(k) for k in KINDS])

@@ -98,6 +98,28 @@ def test_no_boundary_gives_cheaper_cuts(limit):
             assert abs(got - least) < 1e-6
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_words_over_the_limit_are_cut_at_the_least_cost(seed):
+    """Unbroken words from half a limit to many limits, between all kinds of boundaries, at the ends of texts too."""
+    r = random.Random(seed)
+    for limit in (Limit(16, 0), Limit(24, 8), Limit(40, 5), Limit(64, 0), Limit(33, 25)):
+        for _ in range(12):
+            word = lambda: "".join(r.choice("qxzjkvw0123") for _ in range(int(limit.tokens * r.choice([0.4, 0.9, 1.0, 1.1, 1.6, 2.0, 2.1, 3.5, 7]) * 1.5)))
+            gap = lambda: r.choice([" ", " ", "\n", "\n\n", ". ", "\n# ", " a ", " a b. c\n", " é́ ", "😀"])
+            x = r.choice(["", gap()]) + "".join(word() + gap() for _ in range(r.randint(1, 5))) + r.choice(["", word()])
+            t = S._Texts([x.encode()], [np.array(encode(VOCABULARY, x))], VOCABULARY)
+            for _, _, ends, begins in S._plan(t, [limit]):
+                least, even = cheapest(t, limit)
+                got = (S.IMBALANCE * ((ends - begins - even) / limit.tokens) ** 2).sum() + S.COSTS[t.kind[ends[:-1]]].sum()
+                assert abs(got - least) < 1e-6, (limit, x)
+
+
+def test_one_limit_with_two_overlaps(spark):
+    got = split(spark.createDataFrame([(1, PROSE * 30)], "doc_id long, text string"), [(128, 0), (128, 32)])
+    n = {r.solape_tokens: r.piezas for r in cuts(got).collect()}
+    assert set(n) == {0, 32} and n[32] > n[0]
+
+
 def test_cuts_prefer_natural_boundaries():
     t = "".join(f"# Parte {i}\n\n" + "La gestante refiere movimientos fetales normales. " * 6 + "\n\n" for i in range(12))
     kinds = [x[5] for x in S._pieces([1], [t.encode()], [Limit(128, 0)], VOCABULARY)]
