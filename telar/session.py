@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +26,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a reliable checkpoint.
 
     The folder is the one that the cluster names in ``spark.checkpoint.dir``.
-    Only where that is unset (tests, a laptop) a folder of this machine is used.
+    Only where that is unset (tests, a laptop) a folder of this machine is used, which is
+    removed at the end. A session that runs many queries should set
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``, so that Spark drops checkpoints
+    nobody refers to any more.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -32,5 +37,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="telar-", dir=os.environ.get("TMPDIR")))
+        if named is None:
+            named = tempfile.mkdtemp(prefix="telar-", dir=os.environ.get("TMPDIR"))
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return df.checkpoint(eager=True)
