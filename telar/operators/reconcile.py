@@ -11,6 +11,7 @@ from telar.functions.levels import movement_shape, severest, vitals_shape
 from telar.functions.timeutil import clinical_day
 from telar.operators.copies import symmetric_difference
 from telar.operators.coverage import covering
+from telar.session import together
 
 _c = F.col
 _CLINIC = ["id_clinica", "nombre_clinica", "provincia", "distrito"]
@@ -119,17 +120,19 @@ def report(*, readings: DataFrame, facts: DataFrame, raw_facts: DataFrame, sessi
         both = linked.join(_known(pregnancies, "id_embarazo", "_e"), "id_embarazo", "left").join(_known(star["dim_factor_riesgo"], "id_factor_riesgo", "_r"), "id_factor_riesgo", "left")
         loose.append(both.agg(F.count_if(_c("_e").isNull() | _c("_r").isNull()).alias("n")))
     total = lambda parts, name: reduce(DataFrame.unionByName, parts).agg(F.sum("n").alias(name))
-    counts = [
-        _keys(readings, facts, sessions),
-        _against_source(facts, readings, levels),
-        _of_facts(facts, dims, pregnancies, levels, None if star is None else star["dim_tiempo_gestacional"], star is not None),
-        total(repeated, "claves_duplicadas"),
-        total(loose, "huerfanos_de_dimensiones"),
-        _affiliations(facts, affiliations),
-        symmetric_difference(source_clinics.select(*_CLINIC), clinics.select(*_CLINIC)).withColumnRenamed("discrepancias", "dim_clinica_distinta_del_origen"),
-        symmetric_difference(source_levels, raw_levels.select(*source_levels.columns)).withColumnRenamed("discrepancias", "dim_semaforo_distinta_del_origen"),
-        levels.agg(F.count_if(~F.expr("(codigo_nivel, cast(prioridad as int)) IN (('OK', 1), ('WARNING', 2), ('ERROR', 3))")).alias("catalogo_semaforo_incoherente")),
-        pregnancies.agg(F.count_if(F.datediff("fecha_probable_parto", "fecha_inicio") != 7 * _c("duracion_est_semanas")).alias("dim_embarazo_duracion")),
-        raw_pregnancies.agg(F.count_if(_c("clasificacion_embarazo").isNull()).alias("clasificacion_embarazo_pendiente")),
-    ]
+    weeks = None if star is None else star["dim_tiempo_gestacional"]
+    counts = together(
+        facts.sparkSession,
+        lambda: _affiliations(facts, affiliations),
+        lambda: _keys(readings, facts, sessions),
+        lambda: _against_source(facts, readings, levels),
+        lambda: _of_facts(facts, dims, pregnancies, levels, weeks, star is not None),
+        lambda: total(repeated, "claves_duplicadas"),
+        lambda: total(loose, "huerfanos_de_dimensiones"),
+        lambda: symmetric_difference(source_clinics.select(*_CLINIC), clinics.select(*_CLINIC)).withColumnRenamed("discrepancias", "dim_clinica_distinta_del_origen"),
+        lambda: symmetric_difference(source_levels, raw_levels.select(*source_levels.columns)).withColumnRenamed("discrepancias", "dim_semaforo_distinta_del_origen"),
+        lambda: levels.agg(F.count_if(~F.expr("(codigo_nivel, cast(prioridad as int)) IN (('OK', 1), ('WARNING', 2), ('ERROR', 3))")).alias("catalogo_semaforo_incoherente")),
+        lambda: pregnancies.agg(F.count_if(F.datediff("fecha_probable_parto", "fecha_inicio") != 7 * _c("duracion_est_semanas")).alias("dim_embarazo_duracion")),
+        lambda: raw_pregnancies.agg(F.count_if(_c("clasificacion_embarazo").isNull()).alias("clasificacion_embarazo_pendiente")),
+    )
     return reduce(DataFrame.unionByName, [as_rows(x) for x in counts])

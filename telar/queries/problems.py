@@ -11,7 +11,7 @@ from telar.operators.copies import diff_copies
 from telar.operators.orphans import orphan_references
 from telar.operators.periods import periods_and_gaps
 from telar.operators.spikes import Field, flag_measurements
-from telar.session import table
+from telar.session import table, together
 
 #: Bounds of a plausible reading of a living person, and of the sensors' units.
 FIELDS = [
@@ -91,8 +91,9 @@ h as (select *, lag(e) over (partition by id_medico, id_clinica order by isla) p
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    clinics = diff_copies(table(spark, d, "clinica"), table(spark, d, "dim_clinica"), "id_clinica", ["nombre_clinica", "provincia", "distrito"], "actualizado_en", "cargado_en")
-    levels = diff_copies(table(spark, d, "semaforo"), table(spark, d, "dim_semaforo"), "id_semaforo", ["codigo_nivel", "etiqueta_visual", "color_hex", "prioridad", "mensaje_app", "version_referencia"])
+    clinics = lambda: diff_copies(table(spark, d, "clinica"), table(spark, d, "dim_clinica"), "id_clinica", ["nombre_clinica", "provincia", "distrito"], "actualizado_en", "cargado_en")
+    levels = lambda: diff_copies(table(spark, d, "semaforo"), table(spark, d, "dim_semaforo"), "id_semaforo", ["codigo_nivel", "etiqueta_visual", "color_hex", "prioridad", "mensaje_app", "version_referencia"])
+    clinics, levels = together(spark, clinics, levels)
     found = lambda df, name, key: df.select(F.lit(name).alias("tabla"), F.col(key).cast("long").alias("id_registro"), "campo")
     return found(clinics, "dim_clinica", "id_clinica").unionByName(found(levels, "dim_semaforo", "id_semaforo"))
 

@@ -6,7 +6,10 @@ import atexit
 import os
 import shutil
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that one partition should hold at most, on average, where a scan has to see it whole.
@@ -22,6 +25,22 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """A scan of few splits (one large file, say) spread over the cores by a hash of the key, for work that is dear per row.
+
+    A scan that has a split for each core is left as it is: at scale nothing is shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(2 * cores, key)
+
+
+def together(spark: SparkSession, *plans: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Plans that don't depend on each other: they are made, and their jobs (samples, checkpoints, summaries) run, side by side."""
+    own = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(8) as pool:
+        return [f.result() for f in [pool.submit(own(plan)) for plan in plans]]
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a reliable checkpoint.
 
