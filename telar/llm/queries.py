@@ -13,7 +13,7 @@ from telar.llm.mixing import Mixture
 from telar.llm.packing import occupancy, pack
 from telar.llm.splitting import cuts, split
 from telar.llm.tokens import sized
-from telar.session import checkpoint, table
+from telar.session import checkpoint, spread, table
 
 
 def _limits(spark: SparkSession, d: str, use: str) -> list[tuple[int, int]]:
@@ -22,8 +22,13 @@ def _limits(spark: SparkSession, d: str, use: str) -> list[tuple[int, int]]:
     return sorted({(r.max_tokens, r.solape_tokens or 0) for r in rows})
 
 
+def _documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The texts, spread where one file holds them all: tokens and cuts are dear."""
+    return spread(table(spark, d, "documents").select("doc_id", "text", *columns), "doc_id")
+
+
 def p6_contenedores(spark: SparkSession, d: str) -> DataFrame:
-    sizes = checkpoint(sized(table(spark, d, "documents"), "doc_id"))
+    sizes = checkpoint(sized(_documents(spark, d), "doc_id"))
     return pack(sizes, [c for c, _ in _limits(spark, d, "contenedor")])
 
 
@@ -32,7 +37,7 @@ def p6_ocupacion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, d: str, whole: bool = False) -> Mixture:
-    sizes = checkpoint(sized(table(spark, d, "documents"), "doc_id", "source"))
+    sizes = checkpoint(sized(_documents(spark, d, "source"), "doc_id", "source"))
     total = sizes.agg(F.sum("n_tokens")).first()[0] or 0 if whole else None
     return Mixture(sizes, table(spark, d, "mezcla_objetivo"), total=total)
 
@@ -58,7 +63,7 @@ def p7_cuotas_completa(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_piezas(spark: SparkSession, d: str) -> DataFrame:
-    return split(table(spark, d, "documents"), _limits(spark, d, "pieza"))
+    return split(_documents(spark, d), _limits(spark, d, "pieza"))
 
 
 def p8_cortes(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +107,7 @@ select source, round(w / todo, 6) cuota_objetivo, round(case when n > 0 then w /
 def p8_recompuesto(spark: SparkSession, d: str) -> DataFrame:
     """Texts put together again from their pieces without overlap, for each limit: the hash of the whole; texts within a limit as they are."""
     limits = sorted({c for c, _ in _limits(spark, d, "pieza")})
-    docs = table(spark, d, "documents").select("doc_id", "text").filter("text is not null")
+    docs = _documents(spark, d).filter("text is not null")
     pieces = split(docs, [(c, 0) for c in limits]).groupBy("doc_id", "max_tokens").agg(F.sort_array(F.collect_list(F.struct("pieza", "texto"))).alias("x"))  # a text's own pieces
     whole = pieces.select("doc_id", "max_tokens", F.array_join("x.texto", "").alias("t"))
     every = docs.select("doc_id", "text", F.explode(F.array(*[F.lit(c) for c in limits])).alias("max_tokens"))
