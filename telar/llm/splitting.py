@@ -19,8 +19,10 @@ FINAL = "fin"
 #: Weight of a piece's squared departure from the even size, in limits.
 IMBALANCE = 8.0
 #: Texts are worked on together up to this many bytes, and their pieces weighed up to this many at once.
-BYTES_AT_ONCE = 6_000_000
-WAYS_AT_ONCE = 200_000
+BYTES_AT_ONCE = 1_000_000
+WAYS_AT_ONCE = 100_000
+#: Pieces of a batch that goes back to Spark, about.
+PIECES_AT_ONCE = 20_000
 _FAR = 2**30
 #: A limit must exceed its overlap by this many tokens, for no character takes more of them than four.
 LEAST_STEP = 8
@@ -53,7 +55,7 @@ class _Texts:
         stop = _is(b".!?")
         inside = (p1 == 13) & (cur == 10)  # of one line end
         line = end[p1] & ~inside
-        kind = np.full(len(cur), 5, "int64")
+        kind = np.full(len(cur), 5, "int8")
         kind[blank[cur] | blank[p1]] = 4
         kind[(blank[cur] & stop[p1]) | (blank[p1] & stop[p2] & ~line)] = 3
         kind[line] = 2
@@ -63,6 +65,13 @@ class _Texts:
         self.kind = kind
         #: Whether a character begins here; the text could not be cut elsewhere.
         self.whole = (cur & 0xC0) != 0x80
+        #: Tokens before each that begin within a character, and the last token up to each that does not.
+        self.broken = np.zeros(len(cur) + 1, "int32")
+        np.cumsum(~self.whole, out=self.broken[1:])
+        self.begin_of = np.maximum.accumulate(np.where(self.whole, np.arange(len(cur), dtype="int32"), 0))
+        #: Text of each token, and its place there.
+        self.text = np.repeat(np.arange(len(ids), dtype="int32"), self.n)
+        self.local = np.arange(len(cur), dtype="int32") - self.first[:-1].astype("int32")[self.text]
 
 
 def _is(characters: bytes) -> np.ndarray:
@@ -102,10 +111,7 @@ def _candidates(t: _Texts, limit: Limit) -> tuple[np.ndarray, np.ndarray, np.nda
     most. Hence the M + 1 pieces hold more than M limits and one overlap, and each of them
     a (M + 1)th of it, rounded down. Words with a character of several tokens are left as they are.
     """
-    held = np.repeat(t.n > limit.tokens, t.n)
-    first = np.repeat(t.first[:-1], t.n)
-    here = np.arange(len(t.kind))
-    local = here - first
+    held, local = (t.n > limit.tokens)[t.text], t.local
     free = t.whole & held & (local > limit.overlap)
     natural = free & (t.kind < 5)
     mark = natural.copy()
@@ -118,7 +124,7 @@ def _candidates(t: _Texts, limit: Limit) -> tuple[np.ndarray, np.ndarray, np.nda
     many = word[long]
     inner = np.repeat(begins[long] - np.cumsum(many) + many, many) + np.arange(many.sum())
     step = limit.tokens - limit.overlap
-    broken = np.r_[0, np.cumsum(~t.whole)]
+    broken = t.broken
     at_start = local[begins[long]] == 0
     left = begins[long] + np.where(at_start, limit.overlap, 0)
     right = begins[long] + many
@@ -135,7 +141,7 @@ def _candidates(t: _Texts, limit: Limit) -> tuple[np.ndarray, np.ndarray, np.nda
     chosen = natural.copy()
     chosen[inner[kept]] = True
     at = np.flatnonzero(chosen)
-    return np.searchsorted(t.first, at, side="right") - 1, at, least[at]
+    return t.text[at], at, least[at]
 
 
 class _Ways:
@@ -163,8 +169,7 @@ class _Ways:
         #: Last and first token of the pieces that end and begin at a node, of the whole list.
         end, begin = first[node], first[node]
         end[where] = at
-        begin_of = np.maximum.accumulate(np.where(t.whole, np.arange(len(t.whole)), 0))
-        begin[where] = begin_of[at - lap]
+        begin[where] = t.begin_of[at - lap]
         last = self.off + self.steps
         end[last] = begin[last] = first + n
         kind = np.full(size, -1, "int8")
@@ -182,9 +187,10 @@ class _Ways:
                 own = own[~near]
         least = np.zeros(size, "int32")
         least[where] = least_at
-        below = np.cumsum(np.bincount(begin, minlength=len(t.kind) + 1))
-        below = below.astype("int32")
-        reached = lambda x: below[np.maximum(x - 1, 0)] * (x > 0)
+        #: Nodes that begin before a token.
+        below = np.zeros(len(t.kind) + 2, "int32")
+        np.cumsum(np.bincount(begin, minlength=len(t.kind) + 1), out=below[1:])
+        reached = lambda x: below[np.maximum(x, 0)]
         #: First and beyond-the-last node at which a piece that ends here may begin.
         self.lo = np.maximum(reached(end - most), self.off.astype("int32")[node])
         self.hi = np.maximum(np.minimum(reached(np.minimum(right - most, end - least + 1)), np.arange(size, dtype="int32")), self.lo)
@@ -196,7 +202,7 @@ class _Ways:
         self.x, self.y = (self.end - even[node]) * unit, self.begin * unit
 
 
-def _edges(w: _Ways, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _edges(w: _Joined, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Number of ways to each node, and of all of them the node where the piece begins, and the piece's departure."""
     lo = w.lo[dst].astype("int64")
     many = w.hi[dst] - lo
@@ -208,7 +214,7 @@ def _edges(w: _Ways, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return many, src, way
 
 
-def _turns(w: _Ways) -> tuple[np.ndarray, np.ndarray]:
+def _turns(w: _Joined) -> tuple[np.ndarray, np.ndarray]:
     """The nodes after the beginnings by turns, and where each turn begins and the last ends; ways to a turn's nodes begin at nodes of earlier turns.
 
     After a turn's first node g a text's turn goes on up to the least node j with hi[j] > g,
@@ -232,16 +238,27 @@ def _turns(w: _Ways) -> tuple[np.ndarray, np.ndarray]:
     return later[np.argsort(turn, kind="stable")], np.r_[0, np.cumsum(np.bincount(turn))]
 
 
+class _Joined:
+    """The ways of all limits, one after the other, so that their texts take their turns together."""
+
+    def __init__(self, ways: list[_Ways]):
+        self.off, self.lo, self.hi = (np.concatenate([getattr(w, c) + base for w, base in zip(ways, np.cumsum([0, *[len(w.price) for w in ways[:-1]]]))]) for c in ("off", "lo", "hi"))
+        self.text, self.steps, self.price, self.x, self.y, self.end, self.begin = (np.concatenate([getattr(w, c) for w in ways]) for c in ("text", "steps", "price", "x", "y", "end", "begin"))
+
+
 def _plan(t: _Texts, limits: list[Limit]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(limit's place, text, ends, begins) of the pieces, in tokens of the text."""
-    for place, limit in enumerate(limits):
-        if (t.n > limit.tokens).any():
-            w = _Ways(t, limit)
-            for i, ends, begins in _cheapest(w):
-                yield place, i, ends, begins
+    places = [place for place, limit in enumerate(limits) if (t.n > limit.tokens).any()]
+    if places:
+        ways = [_Ways(t, limits[place]) for place in places]
+        of_lane = np.repeat(places, [len(w.text) for w in ways]).tolist()
+        joined = _Joined(ways)
+        del ways
+        for place, (i, ends, begins) in zip(of_lane, _cheapest(joined)):
+            yield place, i, ends, begins
 
 
-def _cheapest(w: _Ways) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _cheapest(w: _Joined) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Text, ends and begins of its pieces. All texts advance together, turn by turn; the ways of some turns are made at once."""
     turn, bound = _turns(w)
     work = np.r_[0, np.cumsum((w.hi - w.lo)[turn] + 1, dtype="int64")][bound]
@@ -281,25 +298,35 @@ def _cheapest(w: _Ways) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def _pieces(keys: list, texts: list[bytes], limits: list[Limit], vocabulary: str) -> Iterator[tuple]:
-    """(key, limit's place, piece, from, to, kind of the cut after it, text), for a handful of texts."""
+    """(key, limit's place, and of all its pieces from, to, kind of the cut after it, and text), for a handful of texts."""
     least = min(x.tokens for x in limits)
     kept, ids = [], []
     for i, x in enumerate(texts):
         found = encode(vocabulary, x.decode("utf-8"))
         if len(found) > least:
             kept.append(i)
-            ids.append(np.array(found, "int64"))
+            ids.append(np.array(found, "int32"))
     if not kept:
         return
     t = _Texts([texts[i] for i in kept], ids, vocabulary)
+    names = np.array([*KINDS, FINAL], object)
     for place, i, ends, begins in _plan(t, limits):
         first = t.first[i]
-        bytes_at = t.at[first : first + t.n[i] + 1] - t.at[first]
-        a, b = bytes_at[begins].tolist(), bytes_at[ends].tolist()
-        kinds = [*t.kind[first + ends[:-1]].tolist(), -1]
+        cut = t.kind[first : first + t.n[i]][ends[:-1]]
+        a, b = (t.at[first + begins] - t.at[first]).tolist(), (t.at[first + ends] - t.at[first]).tolist()
         own = texts[kept[i]]
-        for n, (f, to, x, y, kind) in enumerate(zip(begins.tolist(), ends.tolist(), a, b, kinds)):
-            yield keys[kept[i]], place, n, f, to, FINAL if kind < 0 else KINDS[kind], own[x:y]
+        yield keys[kept[i]], place, begins, ends, names[np.r_[cut, len(KINDS)]], [own[x:y] for x, y in zip(a, b)]
+
+
+def _batch(rows: list[tuple], most: np.ndarray, overlap: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+    keys, places, begins, ends, cuts_, texts = zip(*rows)
+    many = np.array([len(x) for x in begins])
+    place = np.repeat(np.array(places), many)
+    number = np.arange(many.sum(), dtype="int32") - np.repeat(np.cumsum(many) - many, many).astype("int32")
+    a, b = np.concatenate(begins).astype("int32"), np.concatenate(ends).astype("int32")
+    key = pa.array(keys, schema.field(0).type).take(pa.array(np.repeat(np.arange(len(keys)), many)))
+    columns = [key, pa.array(most[place]), pa.array(overlap[place]), pa.array(number), pa.array(a), pa.array(b), pa.array(b - a), pa.array(np.concatenate(cuts_), pa.string()), pa.array([x for own in texts for x in own], pa.binary()).cast(pa.string())]
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 def split(docs: DataFrame, limits: list[tuple[int, int]], key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -335,13 +362,16 @@ def split(docs: DataFrame, limits: list[tuple[int, int]], key: str = "doc_id", t
             for b, x in enumerate(texts, 1):
                 held += len(x)
                 if held >= BYTES_AT_ONCE or b == len(texts):
-                    rows = list(_pieces(keys[a:b], texts[a:b], own, vocabulary))
+                    ready, n = [], 0
+                    for x in _pieces(keys[a:b], texts[a:b], own, vocabulary):
+                        ready.append(x)
+                        n += len(x[2])
+                        if n >= PIECES_AT_ONCE:
+                            yield _batch(ready, most_of, overlap_of, out_type)
+                            ready, n = [], 0
+                    if ready:
+                        yield _batch(ready, most_of, overlap_of, out_type)
                     a, held = b, 0
-                    for i in range(0, len(rows), 20_000):
-                        k, place, n, f, to, cut, piece = zip(*rows[i : i + 20_000])
-                        f_, to_, place_ = np.array(f, "int32"), np.array(to, "int32"), np.array(place)
-                        columns = [pa.array(k, out_type.field(0).type), pa.array(most_of[place_]), pa.array(overlap_of[place_]), pa.array(np.array(n, "int32")), pa.array(f_), pa.array(to_), pa.array(to_ - f_), pa.array(cut), pa.array(piece, pa.binary()).cast(pa.string())]
-                        yield pa.RecordBatch.from_arrays(columns, schema=out_type)
 
     # a text of no more bytes than the least limit has no more tokens
     return docs.select(key, text).filter(F.octet_length(text) > least).mapInArrow(run, schema)

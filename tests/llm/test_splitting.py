@@ -16,11 +16,15 @@ def text(seed, n):
     return "".join(r.choice(bits) for _ in range(n))
 
 
+def flat(pieces):
+    return [(k, place, n, *x) for k, place, *columns in pieces for n, x in enumerate(zip(*columns))]
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_pieces_make_up_the_text_within_the_limit(seed):
     t = text(seed, 300)
     for limit in (Limit(16, 0), Limit(24, 8), Limit(128, 0), Limit(64, 16)):
-        pieces = list(S._pieces([7], [t.encode()], [limit], VOCABULARY))
+        pieces = flat(S._pieces([7], [t.encode()], [limit], VOCABULARY))
         if not pieces:
             assert len(encode(VOCABULARY, t)) <= limit.tokens
             continue
@@ -122,13 +126,13 @@ def test_one_limit_with_two_overlaps(spark):
 
 def test_cuts_prefer_natural_boundaries():
     t = "".join(f"# Parte {i}\n\n" + "La gestante refiere movimientos fetales normales. " * 6 + "\n\n" for i in range(12))
-    kinds = [x[5] for x in S._pieces([1], [t.encode()], [Limit(128, 0)], VOCABULARY)]
+    kinds = [x[5] for x in flat(S._pieces([1], [t.encode()], [Limit(128, 0)], VOCABULARY))]
     assert set(kinds[:-1]) == {"titulo"}
 
 
 def test_line_ends_are_not_cut():
     t = "uno dos tres cuatro\r\n\r\n" * 60
-    pieces = list(S._pieces([1], [t.encode()], [Limit(32, 0)], VOCABULARY))
+    pieces = flat(S._pieces([1], [t.encode()], [Limit(32, 0)], VOCABULARY))
     assert len(pieces) > 5 and not any(x[-1].startswith(b"\n") for x in pieces) and {x[5] for x in pieces[:-1]} == {"parrafo"}
 
 
