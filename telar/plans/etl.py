@@ -83,8 +83,7 @@ def new_readings(t: Tables, facts: DataFrame | None, r: levels.Rules = levels.Ru
     """
     own = t["lecturas_biometricas"] if facts is None else t["lecturas_biometricas"].join(facts.select("id_lectura"), "id_lectura", "left_anti")
     ctx = (
-        own.join(t["sesiones_monitoreo"].select("id_sesion", "id_embarazo"), "id_sesion")
-        .join(t["embarazos"].select("id_embarazo", "id_paciente", "id_clinica"), "id_embarazo")
+        own.join(t["sesiones_monitoreo"].select("id_sesion", "id_embarazo").join(t["embarazos"].select("id_embarazo", "id_paciente", "id_clinica"), "id_embarazo"), "id_sesion")
         .join(t["tiempo_gestacional"].select("id_tiempo_gest", "semana_gestacion", "trimestre"), "id_tiempo_gest")
         .join(t["semaforos"].select("id_semaforo", "codigo_nivel"), "id_semaforo")
         .withColumn("fecha_clinica", timeutil.clinical_day("fecha_hora_captura"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["derivations", "relational", "ordered", "merging", "published", "checks", "edge"]
+MODULES = ["derivations", "relational", "ordered", "merging", "published", "checks", "edge", "rules"]
 
 QUERIES, SQL = {}, {}
 for _name in MODULES:

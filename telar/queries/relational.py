@@ -23,7 +23,8 @@ def reading_context_join(spark, d):
     """Readings with their session and pregnancy; readings without either fall out."""
     s = R.sessions(spark, d).select("id_sesion", "id_embarazo", "tipo_sesion")
     e = R.pregnancies(spark, d).select("id_embarazo", "id_paciente", "estado_embarazo")
-    both = R.readings(spark, d).select("id_lectura", "id_sesion", F.unix_micros("fecha_hora_captura").alias("captura_us")).join(s, "id_sesion").join(e, "id_embarazo")
+    # pregnancies go to the sessions first, of which there are fewer: a pregnancy with many readings does not come together
+    both = R.readings(spark, d).select("id_lectura", "id_sesion", F.unix_micros("fecha_hora_captura").alias("captura_us")).join(s.join(e, "id_embarazo"), "id_sesion")
     return both.select("id_lectura", "id_embarazo", "tipo_sesion", "id_paciente", "estado_embarazo", "captura_us")
 
 
