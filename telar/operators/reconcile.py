@@ -54,7 +54,12 @@ def _keys(readings: DataFrame, facts: DataFrame, sessions: DataFrame) -> DataFra
 
 def _of_facts(facts: DataFrame, dims: dict[str, DataFrame], pregnancies: DataFrame, levels: DataFrame, weeks: DataFrame | None, null_is_orphan: bool) -> DataFrame:
     """All that a fact and the dimensions it points to tell: each dimension is joined once, and one scan is aggregated."""
-    f = facts.withColumn("_dia", clinical_day("fecha_hora"))
+    (vital, moving), (vital_states, moving_states) = _shape(), _shape("estado")
+    # what the fact alone tells is told before the joins, so that they move keys and flags only
+    f = facts.select(
+        *dims, "id_embarazo", "id_semaforo", "id_tiempo_gestacional", clinical_day("fecha_hora").alias("_dia"), ((vital & vital_states) | (moving & moving_states)).alias("_forma"),
+        _c("mov_valor").isNotNull().alias("_mueve"), F.coalesce(severest(_c("estado_hr"), _c("estado_spo2"), _c("estado_mov")), F.lit("OK")).alias("_severo"),
+    )
     for key, df in dims.items():
         f = f.join(_known(df, key, f"_con_{key}"), key, "left")
     f = f.join(pregnancies.select("id_embarazo", F.lit(True).alias("_con_id_embarazo"), _c("fecha_inicio").alias("_inicio"), _c("fecha_cierre").alias("_cierre")), "id_embarazo", "left")
@@ -66,11 +71,10 @@ def _of_facts(facts: DataFrame, dims: dict[str, DataFrame], pregnancies: DataFra
     absent = [_c(f"_con_{k}").isNull() if null_is_orphan and k != "id_sesion" else _c(f"_con_{k}").isNull() & _c(k).isNotNull() for k in (*dims, "id_embarazo", "id_semaforo", *(["id_tiempo_gestacional"] if weeks is not None else []))]
     days = F.datediff("_dia", "_inicio")
     weeks_begun = F.signum(days.cast("double")) * F.floor(F.abs(days) / 7) + 1  # towards zero, as integer division
-    (vital, moving), (vital_states, moving_states) = _shape(), _shape("estado")
     return f.agg(
-        F.count_if(_c("_nivel") != F.coalesce(severest(_c("estado_hr"), _c("estado_spo2"), _c("estado_mov")), F.lit("OK"))).alias("semaforo_distinto_de_la_mayor_severidad"),
-        F.count_if(~((vital & vital_states) | (moving & moving_states))).alias("forma_invalida"),
-        F.count_if(_c("mov_valor").isNotNull() & (week < 20)).alias("movimiento_antes_de_semana_20"),
+        F.count_if(_c("_nivel") != _c("_severo")).alias("semaforo_distinto_de_la_mayor_severidad"),
+        F.count_if(~_c("_forma")).alias("forma_invalida"),
+        F.count_if(_c("_mueve") & (week < 20)).alias("movimiento_antes_de_semana_20"),
         F.count_if((_c("_dia") < _c("_inicio")) | F.coalesce(_c("_dia") > _c("_cierre"), F.lit(False))).alias("fecha_fuera_del_embarazo"),
         F.count_if(reduce(Column.__or__, absent)).alias("huerfanos_del_hecho"),
         F.count_if(week != weeks_begun).alias("semana_recalculada_distinta"),
