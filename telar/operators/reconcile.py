@@ -97,14 +97,15 @@ def _affiliations(facts: DataFrame, affiliations: DataFrame) -> DataFrame:
     return held.agg(F.count_if((_c("cubren") != 1) | ~_c("valor").eqNullSafe(_c("id_clinica"))).alias("afiliacion_no_aplicable"))
 
 
-def report(*, readings: DataFrame, facts: DataFrame, raw_facts: DataFrame, sessions: DataFrame, pregnancies: DataFrame, raw_pregnancies: DataFrame, physicians: DataFrame, affiliations: DataFrame, clinics: DataFrame, source_clinics: DataFrame, levels: DataFrame, raw_levels: DataFrame, source_levels: DataFrame, star: dict[str, DataFrame] | None = None) -> DataFrame:
+def report(*, readings: DataFrame, facts: DataFrame, raw_facts: DataFrame, sessions: DataFrame, pregnancies: DataFrame, raw_pregnancies: DataFrame, physicians: DataFrame, affiliations: DataFrame, clinics: DataFrame, source_clinics: DataFrame, levels: DataFrame, raw_levels: DataFrame, source_levels: DataFrame, raw_readings: DataFrame | None = None, star: dict[str, DataFrame] | None = None) -> DataFrame:
     """control, bloqueante, discrepancias. A load may be published if every blocking check has none.
 
     All checks are one plan of few passes: the ids of both sides in one aggregation, the
     facts with their dimensions in one, the facts with their readings in one. Comparisons
     are set differences in which nulls are equal, and periods are swept (see ``covering``)
     instead of joined by ranges. pregnancies and levels have one row per key. readings have
-    those of the columns ``COPIED`` that can be compared.
+    those of the columns ``COPIED`` that can be compared. raw_readings, raw_facts: with
+    repeated rows, where only ids are asked for and nothing need be told apart.
 
     star: dim_paciente, dim_tiempo_gestacional, dim_factor_riesgo and puente_embarazo_factor of
     a written star. With them orphans are looked for in all of it: facts in all six
@@ -128,7 +129,7 @@ def report(*, readings: DataFrame, facts: DataFrame, raw_facts: DataFrame, sessi
     counts = together(
         facts.sparkSession,
         lambda: _affiliations(facts, affiliations),
-        lambda: _keys(readings, facts, sessions),
+        lambda: _keys(readings if raw_readings is None else raw_readings, raw_facts, sessions),
         lambda: _against_source(facts, readings, levels),
         lambda: _of_facts(facts, dims, pregnancies, levels, weeks, star is not None),
         lambda: total(repeated, "claves_duplicadas"),

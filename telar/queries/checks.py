@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from telar.operators import reconcile, validation
 from telar.plans import relations as R
 from telar.queries.registry import Registry
-from telar.session import table
+from telar.session import checkpoint, table
 
 query = Registry()
 
@@ -96,7 +96,8 @@ def reconcile_report(spark, d):
     """Every check's discrepancies in one report."""
     return reconcile.report(
         readings=R.readings(spark, d).withColumnRenamed("fecha_hora_captura", "fecha_hora"),
-        facts=R.facts(spark, d),
+        facts=checkpoint(R.facts(spark, d)),  # each pass would tell repeated rows apart anew
+        raw_readings=table(spark, d, "lectura_resumen"),
         raw_facts=table(spark, d, "fact_lectura_biometrica"),
         sessions=table(spark, d, "sesion_monitoreo"),
         pregnancies=R.pregnancies(spark, d),
