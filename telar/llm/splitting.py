@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,8 +49,9 @@ class _Texts:
         width = token_bytes(vocabulary)[np.concatenate(ids)]
         #: Byte at which each token begins, counted over all texts.
         self.at = np.r_[0, np.cumsum(width, dtype="int64")]
-        byte = lambda k: self.data[self.at[:-1] + 4 + k]
-        cur, p1, p2, p3 = byte(0), byte(-1), byte(-2), byte(-3)
+        before = self.data.take
+        here = self.at[:-1] + 4
+        cur, p1, p2, p3 = (before(here - k) for k in range(4))
         end = _is(b"\r\n")
         blank = _is(b" \t\r\n\v\f")
         stop = _is(b".!?")
@@ -158,60 +160,70 @@ class _Ways:
         most, lap = limit.tokens, limit.overlap
         self.text = over = np.flatnonzero(t.n > most)
         text, at, least_at = _candidates(t, limit)
-        lane = (np.cumsum(t.n > most) - 1)[text]
+        lane = (np.cumsum(t.n > most, dtype="int32") - 1).take(text)
         #: Steps of each text after its beginning, and the node of its beginning.
         self.steps = np.bincount(lane, minlength=len(over)) + 1
         self.off = np.cumsum(self.steps + 1) - self.steps - 1
         size = int((self.steps + 1).sum())
-        where = np.arange(len(at)) + 2 * lane + 1
+        where = np.arange(1, len(at) + 1)
+        where += lane
+        where += lane
         first, n = t.first[over].astype("int32"), t.n[over].astype("int32")
-        node = np.repeat(np.arange(len(over), dtype="int32"), self.steps + 1)
         #: Last and first token of the pieces that end and begin at a node, of the whole list.
-        end, begin = first[node], first[node]
+        start = np.repeat(first, self.steps + 1)
+        end, begin = start.copy(), start.copy()
         end[where] = at
-        begin[where] = t.begin_of[at - lap]
+        begin[where] = t.begin_of.take(at - lap) if lap else at
         last = self.off + self.steps
         end[last] = begin[last] = first + n
         kind = np.full(size, -1, "int8")
-        kind[where] = t.kind[at]
-        self.price = np.r_[COSTS, 0.0][kind]
+        kind[where] = t.kind.take(at)
+        self.price = np.append(COSTS, 0.0)[kind]
         right = np.full(size, _FAR, "int32")
         better = [np.flatnonzero(kind <= k) for k in range(-1, len(KINDS) - 1)]
         following = [np.repeat(x, np.diff(np.r_[-1, x])) for x in better]
         for k in range(len(KINDS)):
             own = np.flatnonzero(kind == k)
+            #: Tokens within which a better cut of each kind is worth the move; the last is the end's.
+            worth = ((COSTS[k] - np.append(COSTS, 0.0)) * most / (2 * IMBALANCE) - 3).astype("float32")
             for nearest in following[k::-1]:
-                r = nearest[own]
-                near = 2 * IMBALANCE * (end[r] - end[own] + 3) < (COSTS[k] - self.price[r]) * most
-                right[own[near]] = end[r[near]]
+                r = nearest.take(own)
+                at_r = end.take(r)
+                near = at_r - end.take(own) < worth.take(kind.take(r), mode="wrap")
+                right[own[near]] = at_r[near]
                 own = own[~near]
         least = np.zeros(size, "int32")
         least[where] = least_at
         #: Nodes that begin before a token.
         below = np.zeros(len(t.kind) + 2, "int32")
         np.cumsum(np.bincount(begin, minlength=len(t.kind) + 1), out=below[1:])
-        reached = lambda x: below[np.maximum(x, 0)]
+        reached = lambda x: below.take(x, mode="clip")
         #: First and beyond-the-last node at which a piece that ends here may begin.
-        self.lo = np.maximum(reached(end - most), self.off.astype("int32")[node])
+        self.lo = np.maximum(reached(end - most), np.repeat(self.off.astype("int32"), self.steps + 1))
         self.hi = np.maximum(np.minimum(reached(np.minimum(right - most, end - least + 1)), np.arange(size, dtype="int32")), self.lo)
         self.hi[self.off] = self.lo[self.off]
         pieces = -(-(n - lap) // (most - lap))
         even = (n + (pieces - 1) * lap) / pieces
-        self.end, self.begin = end - first[node], begin - first[node]
+        end -= start
+        begin -= start
+        self.end, self.begin = end, begin
         unit = np.sqrt(IMBALANCE) / most
-        self.x, self.y = (self.end - even[node]) * unit, self.begin * unit
+        self.x, self.y = (end - np.repeat(even, self.steps + 1)) * unit, begin * unit
 
 
 def _edges(w: _Joined, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number of ways to each node, and of all of them the node where the piece begins, and the piece's departure."""
-    lo = w.lo[dst].astype("int64")
-    many = w.hi[dst] - lo
-    src = np.repeat(lo - np.cumsum(many) + many, many)
+    """Where the ways to each node begin and the last end, and of all of them the node where the piece begins, and the piece's departure."""
+    lo = w.lo.take(dst).astype("int64")
+    many = w.hi.take(dst) - lo
+    cut = np.zeros(len(dst) + 1, "int64")
+    np.cumsum(many, out=cut[1:])
+    lo -= cut[:-1]
+    src = np.repeat(lo, many)
     src += np.arange(len(src))
-    way = np.repeat(w.x[dst], many)
-    way -= w.y[src]
+    way = np.repeat(w.x.take(dst), many)
+    way -= w.y.take(src)
     way *= way
-    return many, src, way
+    return cut, src, way
 
 
 def _turns(w: _Joined) -> tuple[np.ndarray, np.ndarray]:
@@ -268,25 +280,24 @@ def _cheapest(w: _Joined) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     while j < len(bound) - 1:
         to = max(j + 1, int(np.searchsorted(work, work[j] + WAYS_AT_ONCE, side="right")) - 1)
         dst = turn[bound[j] : bound[to]]
-        many, src, way = _edges(w, dst)
-        some = np.flatnonzero(many)
-        cut = np.r_[0, np.cumsum(many)]
-        begins, dst = cut[some], dst[some]
-        price = w.price[dst]
+        cut, src, way = _edges(w, dst)
+        some = np.flatnonzero(cut[1:] > cut[:-1])
+        begins, dst = cut.take(some), dst.take(some)
+        price = w.price.take(dst)
         at = bound[j : to + 1] - bound[j]
         e, d = cut[at].tolist(), np.searchsorted(some, at).tolist()
         for e0, e1, d0, d1 in zip(e, e[1:], d, d[1:]):
             if d0 < d1:
-                total = cost[src[e0:e1]]
+                total = cost.take(src[e0:e1])
                 total += way[e0:e1]
                 cost[dst[d0:d1]] = np.minimum.reduceat(total, begins[d0:d1] - e0) + price[d0:d1]
         j = to
     lanes, at, found = np.arange(len(w.text)), w.off + w.steps, []
     while len(lanes):
-        many, src, way = _edges(w, at)
-        way += cost[src]
-        row = np.repeat(np.arange(len(many)), many)
-        least = np.flatnonzero(way == np.minimum.reduceat(way, np.cumsum(many) - many)[row])
+        cut, src, way = _edges(w, at)
+        way += cost.take(src)
+        row = np.repeat(np.arange(len(at)), np.diff(cut))
+        least = np.flatnonzero(way == np.minimum.reduceat(way, cut[:-1])[row])
         prior = src[least[np.r_[np.diff(row[least]) > 0, True]]]  # the last of equals
         found.append((lanes, w.end[at], w.begin[prior]))
         more = prior > w.off[lanes]
@@ -305,7 +316,7 @@ def _pieces(keys: list, texts: list[bytes], limits: list[Limit], vocabulary: str
         found = encode(vocabulary, x.decode("utf-8"))
         if len(found) > least:
             kept.append(i)
-            ids.append(np.array(found, "int32"))
+            ids.append(np.frombuffer(array("i", found), "int32"))
     if not kept:
         return
     t = _Texts([texts[i] for i in kept], ids, vocabulary)
