@@ -18,7 +18,7 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 def latest(df: DataFrame, key: str, columns: list[str], newest: str | None) -> DataFrame:
     """One row per key: the latest by ``newest``, of equally late ones the greatest; null instants are the earliest."""
     order = ([F.col(newest)] if newest else []) + [F.col(c) for c in columns]
-    return df.groupBy(F.col(key).alias(key)).agg(F.max(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("x")).select(key, *[F.col(f"x.o{i + bool(newest)}").alias(c) for i, c in enumerate(columns)])
+    return df.groupBy(F.col(key).alias(key)).agg(F.max(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("_ultima")).select(key, *[F.col(f"_ultima.o{i + bool(newest)}").alias(c) for i, c in enumerate(columns)])
 
 
 def _hash(columns: list[str], seed: int) -> Column:
@@ -130,10 +130,10 @@ def diff_copies(source: DataFrame, copy: DataFrame, key: str, columns: list[str]
     unmatched = [only(i).join(only(1 - i), same, "left_anti").select("_trozo", F.lit(i).alias("_lado")) for i in (0, 1)]
     left = labelled.join(unmatched[0].unionByName(unmatched[1]), ["_trozo", "_lado"], "left_semi").select("_lado", "_h1", "_h2")
     own = rows.withColumns({"_h1": _hash([key, *columns], 2), "_h2": _hash([key, *columns], 3)}).join(left, ["_lado", "_h1", "_h2"], "left_semi")
-    pick = lambda i: F.max(F.when(F.col("_lado") == i, F.struct(*columns))).alias("ab"[i])
+    pick = lambda i: F.max(F.when(F.col("_lado") == i, F.struct(*columns))).alias(("_a", "_b")[i])
     both = own.groupBy(key).agg(pick(0), pick(1))
-    changed = [F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.lit(c)) for c in columns]
-    campos = F.when(F.col("b").isNull(), F.array(F.lit("fila_solo_en_origen"))).when(F.col("a").isNull(), F.array(F.lit("fila_solo_en_copia"))).otherwise(F.array_compact(F.array(*changed)))
+    changed = [F.when(~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")), F.lit(c)) for c in columns]
+    campos = F.when(F.col("_b").isNull(), F.array(F.lit("fila_solo_en_origen"))).when(F.col("_a").isNull(), F.array(F.lit("fila_solo_en_copia"))).otherwise(F.array_compact(F.array(*changed)))
     return both.select(F.col(key).cast(dict(source.dtypes)[key]).alias(key), F.explode(campos).alias("campo"))
 
 

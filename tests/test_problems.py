@@ -158,6 +158,14 @@ def test_equal_copies_compare_no_rows(spark):
     assert prints[0].count() > 100 and 0 < left < 300
 
 
+@pytest.mark.parametrize("key", ["x", "a", "b", "n", "k"])
+def test_copies_whatever_their_columns_are_called(spark, key):
+    others = [c for c in ("a", "b", "x", "n", "x1") if c != key]
+    left = spark.range(60).select(F.col("id").alias(key), *[(F.col("id") % 7).alias(c) for c in others])
+    right = left.filter(F.col(key) != 9).withColumn(others[0], F.when(F.col(key) == 30, None).otherwise(F.col(others[0])))
+    assert {tuple(r) for r in diff_copies(left, right, key, others).collect()} == {(9, "fila_solo_en_origen"), (30, others[0])}
+
+
 def test_copies_of_other_types(spark):
     """97 equals 97.00 in a wider decimal, an integer equals a double, and a text equals only the same text."""
     a = spark.createDataFrame([(1, "97.00", 5, "7"), (2, "1.50", 6, "8"), (3, None, 7, None)], "id int, x string, y int, z string").withColumn("x", F.col("x").cast("decimal(5,2)"))
